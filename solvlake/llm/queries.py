@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvlake.llm import decontam, quality, secrets, urls
+from solvlake.llm import decontam, langid, quality, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,5 +31,9 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op4_secrets, op8_quality, op9_urls)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op4_secrets, op8_quality, op9_urls, op10_language)}
 ORACLE_SQL: dict[str, str] = {"op4_secrets": secrets.ORACLE_SQL, "op9_urls": urls.ORACLE_SQL}
