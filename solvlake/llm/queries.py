@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvlake.llm import decontam, langid, quality, secrets, urls
+from solvlake.llm import decontam, langid, quality, secrets, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.match(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op4_secrets, op8_quality, op9_urls, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op3_toxicity, op4_secrets, op8_quality, op9_urls, op10_language)}
 ORACLE_SQL: dict[str, str] = {"op4_secrets": secrets.ORACLE_SQL, "op9_urls": urls.ORACLE_SQL}
