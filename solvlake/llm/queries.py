@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvlake.llm import decontam, langid, quality, secrets, toxicity, urls
+from solvlake.llm import decontam, langid, packing, quality, secrets, shared, tokens, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a batch that inserts every document; the batch is sent twice and counts once."""
+    rollup = tokens.Rollup(spark, shared.place(spark, "token-rollup"))
+    everything = tokens.inserts(_table(spark, sf_dir, "documents"))
+    rollup.commit("load", everything)
+    rollup.commit("load", everything)
+    return rollup.totals()
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.match(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +36,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
@@ -39,5 +52,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontaminate, op3_toxicity, op4_secrets, op8_quality, op9_urls, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_rollup, op2_decontaminate, op3_toxicity, op4_secrets, op5_packing, op8_quality, op9_urls, op10_language)}
 ORACLE_SQL: dict[str, str] = {"op4_secrets": secrets.ORACLE_SQL, "op9_urls": urls.ORACLE_SQL}
