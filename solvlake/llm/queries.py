@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvlake.llm import decontam, langid, ngram_join, packing, quality, secrets, shared, tokens, toxicity, urls
+from solvlake.llm import decontam, langid, ngram_join, packing, quality, secrets, shared, substrings, tokens, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_rollup, op2_decontaminate, op3_toxicity, op4_secrets, op5_packing, op7_ngram_join, op8_quality, op9_urls, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_rollup, op2_decontaminate, op3_toxicity, op4_secrets, op5_packing, op6_substrings, op7_ngram_join, op8_quality, op9_urls, op10_language)}
 ORACLE_SQL: dict[str, str] = {"op4_secrets": secrets.ORACLE_SQL, "op9_urls": urls.ORACLE_SQL}
