@@ -111,7 +111,7 @@ def nearest(points: DataFrame, stated: DataFrame, keys: list[str], stated_id: li
     each = stated.join(points, keys).withColumn("dx", F.abs(F.col("x") - F.col("x0")))
     least = each.withColumn("min_dx", F.min("dx").over(Window.partitionBy(*stated_id)))
     near = least.withColumn("dy", F.abs(F.col("y") - F.col("y0"))).filter(miss | (F.col("dx") <= window))
-    best = near.groupBy(*stated_id).agg(F.min("min_dx").alias("min_dx"), F.min_by(F.struct("x", "y", "dx", "dy"), F.when(miss, F.struct(F.col("dx"), F.col(ordinal))).otherwise(F.struct(F.col("dy"), F.col(ordinal)))).alias("b"))
+    best = near.groupBy(*stated_id).agg(F.min("min_dx").alias("min_dx"), F.min_by(F.struct("x", "y", "dx", "dy"), F.struct(F.when(miss, F.col("dx")).otherwise(F.col("dy")), F.col(ordinal))).alias("b"))
     return best.select(*stated_id, "min_dx", "b.x", "b.y", "b.dx", "b.dy")
 
 
