@@ -24,9 +24,17 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = 32 << 20) -> Iterator[p
         yield batch.slice(at, step)
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with names that mapInArrow can refer to: those with a dot or backtick are replaced."""
+    return df.toDF(*[f"__column_{i}" if set(c) & set(".`") else c for i, c in enumerate(df.columns)])
+
+
 def add_columns(df: DataFrame, keep: list[str], text: str, make: Factory, added: T.StructType) -> DataFrame:
     """Columns keep of df and the added ones that the function returns, a row for each row of df."""
-    source = df.select(*[df[c] for c in dict.fromkeys([*keep, text])])
+    names = list(dict.fromkeys([*keep, text]))
+    source = plain(df.select(*[df[f"`{c}`"] for c in names]))
+    inner = dict(zip(names, source.columns, strict=True))
+    keep, text, outer = [inner[c] for c in keep], inner[text], [*keep, *added.names]
     schema = T.StructType([source.schema[c] for c in keep] + added.fields)
     arrow = to_arrow_schema(schema)
 
@@ -38,7 +46,7 @@ def add_columns(df: DataFrame, keep: list[str], text: str, make: Factory, added:
                 arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep] + [made[f.name] for f in added.fields]
                 yield pa.RecordBatch.from_arrays([(a if isinstance(a, pa.Array) else pa.array(a)).cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*outer)
 
 
 def keep_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
@@ -50,7 +58,8 @@ def keep_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBa
             for batch in pieces(whole, text):
                 yield batch.filter(pa.array(work(batch)))
 
-    return df.mapInArrow(run, df.schema)
+    source = plain(df)
+    return source.mapInArrow(run, source.schema).toDF(*df.columns)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

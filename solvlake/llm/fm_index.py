@@ -10,6 +10,8 @@ import numpy as np
 
 #: Symbols of a suffix that its order is certain by; patterns have to be shorter.
 DEPTH = 64
+#: Windows of a part that are searched one after another.
+PIECE = 64
 
 
 class Bits:
@@ -91,6 +93,11 @@ def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, ends:
     place on is probed: if that is unique too, no window that holds it can be a repeat, and the search
     goes on before it."""
     longest = DEPTH - 2
+    # long parts in pieces of PIECE windows, which are searched side by side
+    pieces = np.maximum(-(-(ends - starts - window + 1) // PIECE), 1)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts, stops = np.repeat(starts, pieces) + nth * PIECE, np.repeat(ends, pieces)
+    ends = np.minimum(starts + PIECE + window - 1, stops)
     mark = np.zeros(len(text) + 1, dtype=np.int64)
     part = np.arange(len(starts))
     end = ends - 1  # the window end that is searched next

@@ -42,6 +42,8 @@ RECALL = 0.99999
 BLOCK = 1024
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
+#: A column added on the way; no document has such a name.
+KEY = "__ngram_join_key"
 
 SIGNED = T.StructType([T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 VERIFIED = "cls long, n_links long, n_texts long, root long"
@@ -252,5 +254,5 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
         return docs.join(lost, same(lost), "left_anti")
     # rows that are there twice and more: one of them
     gone = lost.unionByName(again)
-    one = docs.join(again, same(again), "left_semi").withColumn("_key", text_key(docs[text_col])).dropDuplicates([id_col, "_key"]).drop("_key")
+    one = docs.join(again, same(again), "left_semi").withColumn(KEY, text_key(docs[text_col])).dropDuplicates([id_col, KEY]).drop(KEY)
     return docs.join(gone, same(gone), "left_anti").unionByName(one)

@@ -132,13 +132,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = docs[text_col]
     masked = F.aggregate(
-        "_live",
+        live["_live"],
         start,
         lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out")),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(2**31 - 1))),
     )
     joined = docs.join(live, docs[id_col].eqNullSafe(live["doc"]) & F.xxhash64(docs[text_col]).eqNullSafe(live["text_hash"]), "left")
-    return joined.select(*[F.when(live["_live"].isNull(), text).otherwise(masked).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(live["_live"].isNull(), text).otherwise(masked).alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns])
 
 
 _P = "[Pp][Aa][Ss][Ss][Ww]"

@@ -42,6 +42,9 @@ CROWD = 2048
 #: Words that one shard takes, about.
 SHARD_WORDS = 1 << 20
 
+#: Columns added on the way; no document has such names.
+TEXT, RUNS, KEPT = "__substrings_text", "__substrings_runs", "__substrings_kept"
+
 REPORTED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
 
@@ -196,16 +199,17 @@ def strip(text: bytes, runs: list[dict] | None, window: int) -> tuple[int, int,
 
 def stripped(window: int) -> Callable[[pa.RecordBatch], list[tuple[int, int, bytes]]]:
     def work(batch: pa.RecordBatch) -> list[tuple[int, int, bytes]]:
-        text = column(batch, "_text").cast(pa.large_binary())
-        return [strip(t.as_py() or b"", r, window) for t, r in zip(text, column(batch, "_runs").to_pylist(), strict=True)]
+        text = column(batch, TEXT).cast(pa.large_binary())
+        return [strip(t.as_py() or b"", r, window) for t, r in zip(text, column(batch, RUNS).to_pylist(), strict=True)]
 
     return work
 
 
 def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, crowd: int, shard_words: int) -> DataFrame:
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_key"))
-    found = repeats(slim, window, gram, crowd, shard_words).withColumnsRenamed({"id": "_id", "text_key": "_key", "runs": "_runs"})
-    return docs.join(found, F.xxhash64(docs[text_col]).eqNullSafe(F.col("_key")) & docs[id_col].eqNullSafe(F.col("_id")), "left").withColumn("_text", docs[text_col]).drop("_id", "_key")
+    found = repeats(slim, window, gram, crowd, shard_words)
+    same = F.xxhash64(docs[text_col]).eqNullSafe(found["text_key"]) & docs[id_col].eqNullSafe(found["id"])
+    return docs.join(found, same, "left").select(*[docs[f"`{c}`"] for c in docs.columns], docs[text_col].alias(TEXT), found["runs"].alias(RUNS))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -221,7 +225,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
         return run
 
     told = _with_runs(docs.select(docs[id_col], docs[text_col]), id_col, text_col, window, gram, crowd, shard_words)
-    return add_columns(told, [id_col, "_runs"], "_text", make, REPORTED).drop("_runs")
+    return add_columns(told, [id_col, RUNS], TEXT, make, REPORTED).drop(RUNS)
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -229,8 +233,8 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     def make() -> Callable[[pa.RecordBatch], dict[str, object]]:
         work = stripped(window)
-        return lambda batch: {"_kept": pa.array([r[2].decode() for r in work(batch)], pa.string())}
+        return lambda batch: {KEPT: pa.array([r[2].decode() for r in work(batch)], pa.string())}
 
     told = _with_runs(docs, id_col, text_col, window, gram, crowd, shard_words)
-    made = add_columns(told, [*docs.columns, "_runs"], "_text", make, T.StructType([T.StructField("_kept", T.StringType())]))
-    return made.select(*[F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    made = add_columns(told, [*docs.columns, RUNS], TEXT, make, T.StructType([T.StructField(KEPT, T.StringType())]))
+    return made.select(*[F.col(KEPT).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
