@@ -69,6 +69,17 @@ def strip_percent(d: Column) -> Column:
     return F.try_divide(F.lit(100.0), 1 + d)
 
 
+def between_ticks(df: DataFrame, ticks: DataFrame, keys: list[str], pixel: str = "pixel") -> DataFrame:
+    """Adds value: piecewise-linear between an axis's ticks (keys, tick, value), level beyond the outer ones."""
+    arrays = ticks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tick", "value"))).alias("_t"))
+    joined = df.join(arrays, keys, "left")
+    p, t = F.col(pixel), F.col("_t")
+    below, above = F.filter(t, lambda s: s["tick"] <= p), F.filter(t, lambda s: s["tick"] > p)
+    lo, hi = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
+    lerp = lo["value"] + (hi["value"] - lo["value"]) * (p - lo["tick"]) / (hi["tick"] - lo["tick"])
+    return joined.withColumn("value", F.coalesce(lerp, lo["value"], hi["value"])).drop("_t")
+
+
 #: Operations of calculate(): operand columns, and the expression of them.
 OPERATIONS = {
     "ppm_to_mM": (("ppm", "mass"), ppm_to_mm),

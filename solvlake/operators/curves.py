@@ -308,3 +308,11 @@ def points_json(markers: DataFrame, keys: list[str], group: str = "group_key", d
     point = F.struct(F.col("data_x").alias("o"), F.array(significant(F.col("data_x"), digits), significant(F.col("data_y"), digits)).alias("p"))
     lists = some.groupBy(*keys, group).agg(F.transform(F.array_sort(F.collect_list(point)), lambda s: s["p"]).alias("points"))
     return lists.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(group, "points"))))).alias("points"))
+
+
+def prompt_block(pages: DataFrame, pdf: str = "pdf", page: str = "page_index") -> DataFrame:
+    """pdf, block: one line of text for each figure page, in page order, for a reader who digitises the rest."""
+    counts = F.array_join(F.transform("series_counts", lambda x: x.cast("string")), ", ")
+    line = F.when(F.col("status") == "confident", F.concat_ws("", F.lit("page "), page, F.lit(" (authoritative): "), F.size("series_counts"), F.lit(" series with markers "), counts)).otherwise(F.concat_ws("", F.lit("page "), page, F.lit(" (estimate): about "), F.size("series_counts"), F.lit(" series with markers "), counts))
+    lines = pages.groupBy(pdf).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), line.alias("line")))).alias("l"))
+    return lines.select(pdf, F.array_join(F.col("l.line"), "\n").alias("block"))

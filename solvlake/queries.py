@@ -486,3 +486,80 @@ def x4_edited_rows(spark: SparkSession, sf: str) -> DataFrame:
     before = t(spark, sf, "orders").select(F.col("o_orderpriority").alias("v")).distinct()
     after = before.filter("v <> '1-URGENT'")
     return after if versions.same_rows(before, after) else after.unionByName(spark.range(1).select(F.lit("(edited)").alias("v")))
+
+
+@query("SELECT doc_id, text IS NOT NULL AS found FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents ORDER BY doc_id LIMIT 1)")
+def s5_lookup_by_hash(spark: SparkSession, sf: str) -> DataFrame:
+    docs = t(spark, sf, "documents").select("doc_id", "text", F.sha2("text", 256).alias("content_sha256"))
+    wanted = docs.orderBy("doc_id").limit(1).select("content_sha256")
+    return docs.join(wanted, "content_sha256", "left_semi").select("doc_id", F.col("text").isNotNull().alias("found"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def s16_latest_status(spark: SparkSession, sf: str) -> DataFrame:
+    changes = t(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("status"), "value")
+    return versions.latest_status(changes, "user_id").select("user_id", "status", "value")
+
+
+@query("SELECT n_name AS element, n_nationkey::DOUBLE AS ph FROM nation WHERE n_regionkey <= 2")
+def s18_commit_and_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Two approved versions of one paper, committed to a new store; the later one is current."""
+    from solvlake.plans.store import Store
+    from solvlake.schema import SCHEMA
+
+    cells = {"element": F.col("n_name"), "ph": F.col("n_nationkey").cast("double")}
+    measured = t(spark, sf, "nation").select("n_regionkey", F.col("n_nationkey").alias("row_ord"), *[cells.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in SCHEMA])
+    store = Store(spark, files.workspace(spark, "store"))
+    store.commit_extraction(measured, content_sha256="one", pdf_path="one.pdf", prompt_version="extraction_v5")
+    store.commit_extraction(measured.filter("n_regionkey <= 2"), content_sha256="one", pdf_path="one.pdf", prompt_version="extraction_v6")
+    return store.current_best().select("element", "ph")
+
+
+@query("SELECT r_name AS custom_id, r_regionkey::DOUBLE AS ph FROM region")
+def t1_incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """A response file for each region, read by a stream that stops when it has them all."""
+    from solvlake.streaming.ingest import ingest
+
+    base = files.workspace(spark, "ingest")
+    for r in t(spark, sf, "region").collect():  # five rows
+        files.write_text(spark, f"{base}/in/{r.r_name}.txt", f'{{"rows": [{{"pH": {r.r_regionkey}}}]}}')
+    ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", per_batch=2)
+    return spark.read.parquet(f"{base}/out/rows").select("custom_id", "ph")
+
+
+@query("SELECT conv_id, count(*) AS calls, sum(length(text))::BIGINT AS input_tokens, sum(CASE WHEN role = 'user' THEN 0 ELSE length(text) END)::BIGINT AS output_tokens FROM conversations GROUP BY 1")
+def a19_usage_sums(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.length("text")
+    return t(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("calls"), F.sum(n).alias("input_tokens"), F.sum(F.when(F.col("role") == "user", 0).otherwise(n)).alias("output_tokens"))
+
+
+@query("SELECT l_orderkey AS page, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS ambiguous FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'N') > 0.3 * count(*)")
+def a23_ambiguous_pages(spark: SparkSession, sf: str) -> DataFrame:
+    shapes = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.when(F.col("l_returnflag") == "N", "ambiguous").otherwise("filled_blob").alias("shape"))
+    return curves.ambiguous_pages(shapes, ["page"])
+
+
+@query(CLUSTERS.replace("SELECT label, a AS vec_id, min(b) AS cluster FROM r GROUP BY 1, 2", ", c AS (SELECT label, a AS vec_id, min(b) AS cluster FROM r GROUP BY 1, 2) SELECT label, cluster, round(avg(x), 9) AS pixel_x, round(avg(y), 9) AS pixel_y, count(*) AS n_paths FROM c JOIN p USING (label, vec_id) GROUP BY 1, 2"))
+def a14_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    found = t(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.lit(0.02).alias("eps"))
+    made = curves.centroids(found, curves.single_linkage(found, ["label"], "x", "y", "eps", "vec_id"), ["label"], "x", "y", "vec_id")
+    return made.select("label", "cluster", F.round("pixel_x", 9).alias("pixel_x"), F.round("pixel_y", 9).alias("pixel_y"), "n_paths")
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE sqrt((l_linenumber * 2.0) ** 2 + (l_quantity / 3) ** 2) <= 12")
+def p16_short_segments(spark: SparkSession, sf: str) -> DataFrame:
+    lines = t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.lit("line").alias("kind"), F.lit(0.0).alias("x0"), (F.col("l_linenumber") * 2.0).alias("x1"), F.lit(0.0).alias("top"), (F.col("l_quantity") / 3).alias("bottom"))
+    return curves.short_segments(lines).select("l_orderkey", "l_partkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' THEN '[RED-flag override] ' || coalesce(nullif(o_orderpriority, '5-LOW'), 'approved despite red QA flags') ELSE nullif(o_orderpriority, '5-LOW') END AS note FROM orders")
+def x3_approval_notes(spark: SparkSession, sf: str) -> DataFrame:
+    note = F.nullif("o_orderpriority", F.lit("5-LOW"))
+    return t(spark, sf, "orders").select("o_orderkey", versions.approval_note(note, F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "1-URGENT").alias("note"))
+
+
+@query("WITH k AS (SELECT e.event_id, e.value AS p, floor(e.value / 100) * 100 AS lo FROM events e) SELECT event_id, round(v, 9) AS value FROM (SELECT event_id, CASE WHEN p >= 500 THEN 25.0 ELSE (lo / 100) ** 2 + (((lo + 100) / 100) ** 2 - (lo / 100) ** 2) * (p - lo) / 100 END AS v FROM k)")
+def f29_between_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    ticks = spark.range(6).select(F.lit(1).alias("axis"), (F.col("id") * 100.0).alias("tick"), F.pow(F.col("id").cast("double"), F.lit(2.0)).alias("value"))
+    pixels = t(spark, sf, "events").select("event_id", F.lit(1).alias("axis"), F.col("value").alias("pixel"))
+    return chem.between_ticks(pixels, ticks, ["axis"]).select("event_id", F.round("value", 9).alias("value"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,12 @@ from solvlake.schema import to_display
 STAGED = "batch_id string, item_id string, file string, status string, started_at timestamp, note string"
 
 
+def file_stem() -> Column:
+    """Name of a row's file without its extension; Spark gives names with escapes."""
+    name = F.try_url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\+", "%2B"))
+    return F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
+
+
 def pdfs(spark: SparkSession, path: str) -> DataFrame:
     """content_sha256, path, length, content of every PDF below path; equal files once."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
@@ -20,7 +29,7 @@ def pdfs(spark: SparkSession, path: str) -> DataFrame:
 
 def prompts(spark: SparkSession, path: str, placeholder: str | None = None) -> DataFrame:
     """prompt_version, text, prompt_sha256 of prompt files; those without the placeholder are left out."""
-    texts = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1).alias("prompt_version"), F.col("value").alias("text"))
+    texts = spark.read.text(path, wholetext=True).select(file_stem().alias("prompt_version"), F.col("value").alias("text"))
     told = texts.withColumn("prompt_sha256", F.sha2("text", 256))
     return told.filter(F.contains("text", F.lit(placeholder))) if placeholder else told
 
@@ -49,6 +58,25 @@ def inspect(pages: DataFrame, pdf: str = "pdf", images: str = "has_image", text:
     return told.withColumn("is_raster_figure", raster_verdict(F.col("n_pages") > 0, F.col("n_images"), F.col("n_texts")))
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder path where all executors can write: below spark.checkpoint.dir, or a local one if unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/solvlake"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, by the file system of its path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def curve_json(results: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and a JSON object of all other columns, nulls kept."""
+    return results.select(*keys, F.to_json(F.struct(*[c for c in results.columns if c not in keys]), {"ignoreNullFields": "false"}).alias("result"))
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     to_display(df).write.mode("overwrite").option("header", "true").csv(path)
 

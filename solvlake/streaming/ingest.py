@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvlake.operators.qa import run_rules, verdicts
+from solvlake.sources.files import file_stem
 from solvlake.sources.responses import parse
 
 
 def responses_in(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
     """A stream of (custom_id, raw_text): a file is one response, named by its id."""
     files = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", str(per_batch)).load(path)
-    return files.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("custom_id"), F.col("value").alias("raw_text"))
+    return files.select(file_stem().alias("custom_id"), F.col("value").alias("raw_text"))
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, per_batch: int = 1000) -> None:
