@@ -14,6 +14,9 @@ DEPTH = 64
 PIECE = 64
 
 
+ONE = np.uint64(1)
+
+
 class Bits:
     """A bit vector with rank: 64-bit words and the ones before each."""
 
@@ -21,26 +24,26 @@ class Bits:
         packed = np.zeros((len(bits) // 64 + 1) * 64, dtype=np.uint8)
         packed[: len(bits)] = bits
         self.words = np.packbits(packed, bitorder="little").view(np.uint64)
-        self.before = np.zeros(len(self.words), dtype=np.int32)
+        self.before = np.zeros(len(self.words), dtype=np.int64)
         np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
         self.zeros = int(len(bits) - np.count_nonzero(bits))
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each position."""
         word = at >> 6
-        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & below)
+        below = (ONE << (at & 63).view(np.uint64)) - ONE
+        return self.before.take(word) + np.bitwise_count(self.words.take(word) & below)
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffixes in order of their first DEPTH symbols, by prefix doubling."""
     rank = text.astype(np.int64)
-    n, step, order = len(text), 1, np.argsort(text, kind="stable")
+    n, step, order = len(text), 1, np.argsort(text)
     while step < DEPTH:
         after = np.zeros(n, dtype=np.int64)
         after[: n - step] = rank[step:] + 1
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.zeros(n, dtype=np.int64)
         np.cumsum(sorted_key[1:] != sorted_key[:-1], out=new[1:])
@@ -75,7 +78,7 @@ class FMIndex:
         """Where positions of the transform end up under the symbol in the last level."""
         for level, bits in enumerate(self.bits):
             ones = bits.rank(at)
-            at = np.where((symbol >> (self.levels - 1 - level)) & 1 == 1, bits.zeros + ones, at - ones)
+            at = np.where(symbol & (1 << (self.levels - 1 - level)), ones + bits.zeros, at - ones)
         return at
 
     def prepend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +88,23 @@ class FMIndex:
         return both[: len(symbol)] + shift, both[len(symbol) :] + shift
 
 
+def unique_core(index: FMIndex, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Whether the symbols that all windows of a part share end in a stretch that occurs once; then no
+    window of that part is a repeat."""
+    out = np.zeros(len(starts), dtype=bool)
+    first, at = ends - window, starts + window - 1  # the last window's start and the first window's end
+    part = np.flatnonzero(first <= at)
+    first, at = first[part], at[part]
+    low, high = np.zeros(len(part), np.int64), np.full(len(part), index.n)
+    while len(part):
+        low, high = index.prepend(text[at], low, high)
+        lost = high - low < 2
+        out[part[lost]] = True
+        live = ~lost & (at > first)
+        part, first, at, low, high = part[live], first[live], at[live] - 1, low[live], high[live]
+    return out
+
+
 def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
     """Matching statistics of parts of the indexed text: a flag at the start of each window of theirs
     that occurs twice or more in the text. starts, ends: the parts, of window symbols at least.
@@ -98,6 +118,8 @@ def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, ends:
     nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     starts, stops = np.repeat(starts, pieces) + nth * PIECE, np.repeat(ends, pieces)
     ends = np.minimum(starts + PIECE + window - 1, stops)
+    open_ = ~unique_core(index, text, starts, ends, window)
+    starts, ends = starts[open_], ends[open_]
     mark = np.zeros(len(text) + 1, dtype=np.int64)
     part = np.arange(len(starts))
     end = ends - 1  # the window end that is searched next
