@@ -188,6 +188,7 @@ def f6_json_field(spark: SparkSession, sf: str) -> DataFrame:
 def f5_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(F.lit('shown work {"a": 1} ```json\n{"rows": [{"pH": '), F.col("value").cast("string"), F.lit(', "Extract%": "garbled"}, {"Extractant": "D2EHPA", "pH": "2.5"}], "text_endpoints": []}\n``` end'))
     said = t(spark, sf, "events").select(F.col("event_id").cast("string").alias("custom_id"), F.when(F.col("event_id") % 7 == 0, "nothing here").otherwise(body).alias("raw_text"))
+    said = said.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # the table is one small file, and parsing is work
     return parse(said)[2]
 
 
@@ -195,6 +196,7 @@ def f5_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
 def f7_parsed_rows(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(F.lit('{"rows": [{"pH": '), F.col("value").cast("string"), F.lit(', "Extract%": "garbled"}, {"Extractant": "D2EHPA", "pH": "2.5"}]}'))
     said = t(spark, sf, "events").select(F.col("event_id").cast("string").alias("custom_id"), F.when(F.col("event_id") % 7 == 0, "nothing here").otherwise(body).alias("raw_text"))
+    said = said.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # the table is one small file, and parsing is work
     return parse(said)[0].select("custom_id", "row_ord", "ph", "extractant")
 
 

@@ -51,8 +51,8 @@ def nan_to_null(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """Text to double, NULL where it is no number. A Java suffix (1.5d) is none; neither is NaN."""
-    text = F.trim(c.cast("string"))
-    return nan_to_null(F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double")))
+    text = c.cast("string")
+    return F.when(~text.rlike(r"(?i)(?:nan|[0-9.][df])\s*$"), F.trim(text).try_cast("double"))
 
 
 def failed(c: Column) -> Column:

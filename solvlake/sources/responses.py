@@ -73,10 +73,14 @@ def parse(responses: DataFrame, id_col: str = "custom_id", text_col: str = "raw_
     """(rows, endpoints, summary): contract rows with row_ord; endpoint records; and, for each response,
     error, row count and coercion failures."""
     told = examined(responses, id_col, text_col)
-    cells = _cells(told, id_col)
+    # each cell's text is taken from the map once; true and false are 1 and 0, as numbers
+    truth = F.create_map(F.lit("true"), F.lit("1"), F.lit("false"), F.lit("0"))
     at = lambda n: F.try_element_at("cells", F.lit(DISPLAY[n]))
-    rows = cells.select(id_col, "row_ord", *[(_number(at(n)) if t == "double" else _text(at(n))).alias(n) for n, _, t in CONTRACT])
-    bad = sum((F.when(_is(at(n), "BOOLEAN"), 0).otherwise(failed(_text(at(n)))) for n, _, t in CONTRACT if t == "double"), F.lit(0))
+    texts = _cells(told, id_col).select(id_col, "row_ord", *[_text(at(n)).alias(n) for n, _, _ in CONTRACT], F.filter(F.map_keys("cells"), lambda k: _is(F.try_element_at("cells", k), "BOOLEAN")).alias("booleans"))
+    plain = lambda n: F.when(F.array_contains("booleans", DISPLAY[n]), F.try_element_at(truth, F.col(n))).otherwise(F.col(n))
+    cells = texts.select(id_col, "row_ord", *[(plain(n) if t == "double" else F.col(n)).alias(n) for n, _, t in CONTRACT])
+    rows = cells.select(id_col, "row_ord", *[(number(F.col(n)) if t == "double" else F.col(n)).alias(n) for n, _, t in CONTRACT])
+    bad = sum((failed(F.col(n)) for n, _, t in CONTRACT if t == "double"), F.lit(0))
     counted = cells.groupBy(id_col).agg(F.count("*").alias("n_rows"), F.sum(bad).alias("coercion_failures"))
     summary = told.select(id_col, "error").join(counted, id_col, "left").select(id_col, "error", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("coercion_failures", F.lit(0)).alias("coercion_failures"))
     each = told.filter("error IS NULL").select(id_col, F.posexplode("endpoints").alias("endpoint_ord", "e"))
