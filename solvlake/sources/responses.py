@@ -73,15 +73,16 @@ def parse(responses: DataFrame, id_col: str = "custom_id", text_col: str = "raw_
     """(rows, endpoints, summary): contract rows with row_ord; endpoint records; and, for each response,
     error, row count and coercion failures."""
     told = examined(responses, id_col, text_col)
-    # each cell's text is taken from the map once; true and false are 1 and 0, as numbers
-    truth = F.create_map(F.lit("true"), F.lit("1"), F.lit("false"), F.lit("0"))
-    at = lambda n: F.try_element_at("cells", F.lit(DISPLAY[n]))
-    texts = _cells(told, id_col).select(id_col, "row_ord", *[_text(at(n)).alias(n) for n, _, _ in CONTRACT], F.filter(F.map_keys("cells"), lambda k: _is(F.try_element_at("cells", k), "BOOLEAN")).alias("booleans"))
-    plain = lambda n: F.when(F.array_contains("booleans", DISPLAY[n]), F.try_element_at(truth, F.col(n))).otherwise(F.col(n))
-    cells = texts.select(id_col, "row_ord", *[(plain(n) if t == "double" else F.col(n)).alias(n) for n, _, t in CONTRACT])
-    rows = cells.select(id_col, "row_ord", *[(number(F.col(n)) if t == "double" else F.col(n)).alias(n) for n, _, t in CONTRACT])
-    bad = sum((failed(F.col(n)) for n, _, t in CONTRACT if t == "double"), F.lit(0))
-    counted = cells.groupBy(id_col).agg(F.count("*").alias("n_rows"), F.sum(bad).alias("coercion_failures"))
+    # over arrays of cells rather than column by column, which would be too much code to compile
+    at = lambda n: F.try_element_at("cells", n)
+    truth = lambda v: F.when(F.try_variant_get(v, "$", "boolean"), "1").otherwise("0")
+    numeric, textual = ([(n, d) for n, d, t in CONTRACT if (t == "double") == kind] for kind in (True, False))
+    said = F.transform(F.array(*[F.lit(d) for _, d in numeric]), lambda n: F.when(_is(at(n), "BOOLEAN"), truth(at(n))).otherwise(_text(at(n))))
+    words = F.transform(F.array(*[F.lit(d) for _, d in textual]), lambda n: _text(at(n)))
+    cells = _cells(told, id_col).select(id_col, "row_ord", said.alias("said"), words.alias("words"))
+    place = {n: ("numbers", i) for i, (n, _) in enumerate(numeric)} | {n: ("words", i) for i, (n, _) in enumerate(textual)}
+    rows = cells.withColumn("numbers", F.transform("said", number)).select(id_col, "row_ord", *[F.col(place[n][0])[place[n][1]].alias(n) for n, _, _ in CONTRACT])
+    counted = cells.groupBy(id_col).agg(F.count("*").alias("n_rows"), F.sum(F.size(F.filter("said", lambda x: failed(x) == 1))).cast("long").alias("coercion_failures"))
     summary = told.select(id_col, "error").join(counted, id_col, "left").select(id_col, "error", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("coercion_failures", F.lit(0)).alias("coercion_failures"))
     each = told.filter("error IS NULL").select(id_col, F.posexplode("endpoints").alias("endpoint_ord", "e"))
     endpoints = each.select(id_col, "endpoint_ord", *[(_number(F.try_variant_get("e", f"$.{n}", "variant")) if t == "double" else _text(F.try_variant_get("e", f"$.{n}", "variant"))).alias(n) for n, t in ENDPOINT.items()])
