@@ -6,8 +6,8 @@ with the same minimizer form a segment. Segments whose minimizer occurs once in
 a repeat. The rest, each different one once and with the number of its occurrences, are dealt to
 shards; each shard builds a compressed FM-index of its segments, and matching statistics by backward
 search over the wavelet matrix give the windows that occur twice or more. A minimizer with more than
-`crowd` different segments is dealt window by window under the windows' own hashes, so that no key
-brings more rows to a shard than it can hold.
+`crowd` different segments is dealt window by window under the windows' own hashes, each different
+window once, so that no key brings more rows to a shard than it can hold.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged.
 
@@ -101,32 +101,45 @@ def all_segments(slim: DataFrame, window: int, gram: int) -> DataFrame:
     return slim.select("id", "text_key", "text").mapInArrow(run, f"id {kind}, text_key long, least long, content long, start int, n int, again boolean")
 
 
-def bodies(texts: DataFrame, window: int) -> DataFrame:
-    """shard, least, content, offset, n, copies, body: the words of each wanted segment; those of a
-    crowded minimizer window by window."""
-    schema = "shard long, least long, content long, offset int, n int, copies long, body binary"
+def _wanted(texts: DataFrame, schema: str, emit: Callable[[Chunk, int, dict], list[tuple]]) -> DataFrame:
+    """Rows that emit gives for each wanted segment; schema: least, content, then what emit adds."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 wanted = column(batch, "wanted").to_pylist()
                 for c in chunks(column(batch, "text"), NOT_SPACE):
-                    starts, ends = c.spans
-                    hashes, view, rows = window_hashes(c.word_hashes, window), memoryview(c.data), []
-                    for i in range(c.lo, c.hi):
-                        for w in wanted[i]:
-                            a = int(c.first_word[i - c.lo]) + w["start"]
-                            if w["crowded"]:
-                                for k in range(w["n"]):
-                                    rows.append((int(hashes[a + k].view(np.int64)), w["least"], w["content"], k, 1, w["copies"], bytes(view[starts[a + k] : ends[a + k + window - 1]])))
-                            else:
-                                rows.append((w["least"], w["least"], w["content"], 0, w["n"], w["copies"], bytes(view[starts[a] : ends[a + w["n"] + window - 2]])))
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["shard", "least", "content", "offset", "n", "copies", "body"])
+                    rows = [r for i in range(c.lo, c.hi) for w in wanted[i] for r in emit(c, int(c.first_word[i - c.lo]) + w["start"], w)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     return texts.select("text", "wanted").mapInArrow(run, schema)
 
 
+def _body(c: Chunk, first: int, words: int) -> bytes:
+    starts, ends = c.spans
+    return bytes(memoryview(c.data)[starts[first] : ends[first + words - 1]])
+
+
+def bodies(texts: DataFrame, window: int) -> DataFrame:
+    """least, content, n, copies, body: the words of each wanted segment, but of crowded minimizers."""
+    emit = lambda c, a, w: [] if w["crowded"] else [(w["least"], w["content"], w["n"], w["copies"], _body(c, a, w["n"] + window - 1))]
+    return _wanted(texts, "least long, content long, n int, copies long, body binary", emit)
+
+
+def crowded_windows(texts: DataFrame, window: int) -> DataFrame:
+    """least, content, at, window, copies, body: each window of the wanted segments of crowded minimizers."""
+
+    def emit(c: Chunk, a: int, w: dict) -> list[tuple]:
+        if not w["crowded"]:
+            return []
+        hashes = window_hashes(c.word_hashes[a : a + w["n"] + window - 1], window).view(np.int64).tolist()
+        return [(w["least"], w["content"], k, h, w["copies"], _body(c, a + k, window)) for k, h in enumerate(hashes)]
+
+    return _wanted(texts.filter(F.exists("wanted", lambda w: w["crowded"])), "least long, content long, at int, window long, copies long, body binary", emit)
+
+
 def search_shard(t: pa.Table, window: int) -> pa.Table:
     """least, content, start, n: runs of repeated windows in each segment of a shard."""
     text = t["body"].combine_chunks().cast(pa.large_binary()).view(pa.large_string())
@@ -149,8 +162,7 @@ def search_shard(t: pa.Table, window: int) -> pa.Table:
     begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     of = np.searchsorted(starts, begin, "right") - 1
     row = pa.array(of)
-    start = begin - starts[of] + t["offset"].to_numpy()[of]
-    return pa.table({"least": t["least"].take(row), "content": t["content"].take(row), "start": pa.array(start, pa.int32()), "n": pa.array(stop - begin, pa.int32())})
+    return pa.table({"least": t["least"].take(row), "content": t["content"].take(row), "start": pa.array(begin - starts[of], pa.int32()), "n": pa.array(stop - begin, pa.int32())})
 
 
 def shard_repeats(dealt: DataFrame, window: int) -> DataFrame:
@@ -159,7 +171,7 @@ def shard_repeats(dealt: DataFrame, window: int) -> DataFrame:
         if held:
             t = pa.Table.from_batches(held)
             # a document that is there twice under one id brings its segments twice
-            key = np.stack([t[x].to_numpy() for x in ("least", "content", "offset")], axis=1)
+            key = np.stack([t[x].to_numpy() for x in ("least", "content")], axis=1)
             _, one = np.unique(key, axis=0, return_index=True)
             yield from search_shard(t.take(pa.array(np.sort(one))), window).combine_chunks().to_batches()
 
@@ -173,13 +185,25 @@ def repeats(slim: DataFrame, window: int, gram: int, crowd: int, shard_words: in
     twice = every.groupBy("least").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("times")).filter("times > 1").select("least")
     found = written(every.drop("again").join(twice, "least"), "substring-segments")
     different = found.groupBy("least", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "text_key", "start", "n")).alias("one"))
-    crowds = different.groupBy("least").agg((F.count("*") > crowd).alias("crowded"))
-    wanted = written(different.join(crowds, "least").select("least", "content", "copies", "crowded", "one.*"), "substring-different")
+    shares = different.groupBy("least").agg((F.count("*") > crowd).alias("crowded"))
+    wanted = written(different.join(shares, "least").select("least", "content", "copies", "crowded", "one.*"), "substring-different")
+    crowded = not wanted.filter("crowded").isEmpty()
     words = wanted.agg(F.sum(F.when(F.col("crowded"), F.col("n").cast("long") * window).otherwise(F.col("n") + window - 1))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // shard_words))
     by_row = wanted.groupBy("id", "text_key").agg(F.collect_list(F.struct("least", "content", "copies", "crowded", "start", "n")).alias("wanted")).withColumnsRenamed({"id": "id_", "text_key": "key_"})
     texts = slim.join(by_row, F.col("text_key").eqNullSafe(F.col("key_")) & F.col("id").eqNullSafe(F.col("id_")))
-    runs = shard_repeats(bodies(texts, window).repartition(parts, "shard"), window).withColumnsRenamed({"start": "from", "n": "windows"})
+    dealt = bodies(texts, window)
+    if crowded:
+        # equal windows of a crowded minimizer are one row with the sum of their copies
+        windows = crowded_windows(texts, window)
+        one = windows.groupBy("window").agg(F.sum("copies").alias("copies"), F.max("body").alias("body"))
+        dealt = dealt.unionByName(one.select(F.col("window").alias("least"), F.col("window").alias("content"), F.lit(1).alias("n"), "copies", "body"))
+    runs = shard_repeats(dealt.repartition(parts, "least"), window).withColumnsRenamed({"start": "from", "n": "windows"})
+    if crowded:
+        runs = written(runs, "substring-runs")
+        again = runs.filter("least = content").select(F.col("least").alias("window"))
+        back = windows.select("least", "content", "at", "window").join(again, "window")
+        runs = runs.filter("least <> content").unionByName(back.select("least", "content", F.col("at").alias("from"), F.lit(1).alias("windows")))
     placed = found.join(runs, ["least", "content"]).select("id", "text_key", F.struct((F.col("start") + F.col("from")).alias("start"), F.col("windows").alias("n")).alias("run"))
     return placed.groupBy("id", "text_key").agg(F.collect_set("run").alias("runs"))
 
