@@ -12,7 +12,8 @@ def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step on edges (a, b) with a > b. A node's neighbours are never
     gathered: each step is an aggregate of minima and a join with them."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    # kept apart from the edges' own shuffle, so that the join can split the edges of a crowded node
+    least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
     large = both.join(least, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     root = large.groupBy("a").agg(F.min("b").alias("b"))
     rest = large.join(root.withColumnRenamed("b", "m"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
