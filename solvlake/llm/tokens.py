@@ -127,7 +127,7 @@ class Rollup:
         if self.committed(batch):
             return False
         attempt = f"{self.path}/deltas/{batch}-{np.random.default_rng().integers(2**62):x}"
-        delta(changes, tokenizer).coalesce(1).write.parquet(attempt)
+        delta(changes, tokenizer).write.parquet(attempt)
         # the marker is created only if absent, so that of two runs of one batch only one counts
         fs, at = self._fs(self._marker(batch))
         try:
@@ -157,7 +157,7 @@ class Rollup:
     def compact(self, name: str) -> None:
         """Replaces nothing in place: commits a snapshot elsewhere, as one delta of the same totals."""
         target = Rollup(self.spark, name)
-        self.totals().coalesce(1).write.parquet(f"{target.path}/deltas/snapshot")
+        self.totals().write.parquet(f"{target.path}/deltas/snapshot")
         fs, at = target._fs(target._marker("snapshot"))
         out = fs.create(at, False)
         out.write(bytearray(b"snapshot"))
