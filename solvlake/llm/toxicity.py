@@ -14,7 +14,9 @@ one of its words is toxic.
 Rows and values, case by case:
 - null or empty text, or text without a word: scored with the chance of a text without toxic words.
 - labels that are null or without a document teach nothing; a document labelled twice counts once for
-  each label. A null id is not held out and joins no label. No labels at all: every score is 0.
+  each label, and so does a text that stands in several documents, equal but for A-Z and white space;
+  every other labelled text counts, near copies too. A null id is not held out and joins no label. No
+  labels at all: every score is 0.
 - repeated rows: each gets its own row. Very long texts: whole. Empty tables: no rows.
 - further columns: ignored. lang, source and id are never read for a score.
 """
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 from solvlake.llm.arrow import add_columns, column, pieces
 from solvlake.llm.decontam import member
 from solvlake.llm.shared import cut
-from solvlake.llm.words import ALNUM, NOT_SPACE, Chunk, byte_class, chunks, inside, mix, window_hashes
+from solvlake.llm.words import ALNUM, NOT_SPACE, Chunk, byte_class, chunks, mix, powers
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -252,27 +254,25 @@ class Model:
     base: float = 0.0
 
 
-def sketches(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The id and sketch of each text: the least hash of its three-word windows, or of its words if it
-    has fewer. Copies share it, near copies mostly do."""
+def wholes(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The id and a hash of the whole text of each row; texts that are equal but for A-Z and white space
+    share it, and have the same features."""
 
     def make() -> Callable[[pa.RecordBatch], dict[str, object]]:
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             out = []
-            for c in chunks(column(batch, text_col), ALNUM, lower=True):
+            for c in chunks(column(batch, text_col), NOT_SPACE, lower=True):
                 words, first = c.word_hashes, c.first_word
-                least = np.full(c.hi - c.lo, np.iinfo(np.uint64).max)
-                for size in (1, 3):  # the windows of a text that has some replace its words
-                    at = np.flatnonzero(inside(first, len(words), size))
-                    if len(at):
-                        lead = np.flatnonzero(np.diff(c.text_of_word[at], prepend=-1))
-                        least[c.text_of_word[at[lead]]] = np.minimum.reduceat(window_hashes(words, size)[at], lead)
-                out.append(least.view(np.int64))
-            return {"sketch": np.concatenate(out) if out else np.zeros(0, np.int64)}
+                up, down = powers(len(words) + 1)
+                total = np.zeros(len(words) + 1, dtype=np.uint64)
+                np.cumsum(words * up[:-1], out=total[1:])
+                lead = first[:-1]
+                out.append(mix((total[first[1:]] - total[lead]) * down[lead] + np.diff(first).astype(np.uint64)).view(np.int64))
+            return {"whole": np.concatenate(out) if out else np.zeros(0, np.int64)}
 
         return work
 
-    return add_columns(texts, [id_col], text_col, make, T.StructType([T.StructField("sketch", T.LongType())]))
+    return add_columns(texts, [id_col], text_col, make, T.StructType([T.StructField("whole", T.LongType())]))
 
 
 def credits(toxic: DataFrame, text_col: str, model: Model, weight: np.ndarray) -> DataFrame:
@@ -306,8 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     cost = language_model(trigrams(docs, text_col))
     known = labels.select(labels[id_col].alias("_id"), labels[toxic_col].alias("_toxic")).dropna().filter(F.col("_toxic").isin(0, 1)).filter(~held_out(F.col("_id"))).distinct()
     texts = docs.filter(~held_out(docs[id_col])).select(docs[id_col].alias("_doc"), docs[text_col].alias("_text"))
-    # of the copies of a text one teaches, or else what one text says would look like a rule
-    one = sketches(texts, "_doc", "_text").join(known, F.col("_doc") == F.col("_id")).groupBy("sketch", "_toxic").agg(F.min("_id").alias("_id"))
+    # of the copies of a whole text one teaches, or else what one text says would look like a rule
+    one = wholes(texts, "_doc", "_text").join(known, F.col("_doc") == F.col("_id")).groupBy("whole", "_toxic").agg(F.min("_id").alias("_id"))
     kept = cut(one.select("_id", "_toxic").distinct())
     labelled = texts.join(kept, F.col("_doc") == F.col("_id")).select("_text", "_toxic")
     overall = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum("_toxic"), F.lit(0)).alias("bad")).first()
