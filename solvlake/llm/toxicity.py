@@ -56,8 +56,8 @@ BEGINNINGS = (4, 5)
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t"}
 #: Costs in nats: a substituted letter, a dropped symbol, a shortened run, a break between spaced letters.
 SUBSTITUTED, DROPPED, SHORTENED, BROKEN = 0.7, 3.0, 0.3, 1.0
-#: A suspicious stretch of more bytes than this is no disguised word (a key, a dump) and is left alone.
-LONGEST = 64
+#: Characters of decoded stretches that a task keeps at most.
+KEPT_CHARS = 1 << 24
 
 _LETTER = byte_class(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)]))
 _LEET = byte_class("".join(IMITATES).encode())
@@ -122,11 +122,12 @@ def lattice(stretch: str, spaced: bool) -> list[list[tuple[str, float]]]:
 
 
 def decode(stretch: str, cost: list[list[list[float]]], spaced: bool = False) -> str:
-    """The cheapest reading of a stretch; spaces where it breaks into words."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The cheapest reading of a stretch, however long; spaces where it breaks into words. A state is
+    the last two classes, with its cost and its path: (earlier path, letters)."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in [*lattice(stretch, spaced), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (so_far, text) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (so_far, path) in states.items():
             for letters, price in choices:
                 x, y, total = a, b, so_far + price
                 for ch in letters:
@@ -134,9 +135,18 @@ def decode(stretch: str, cost: list[list[list[float]]], spaced: bool = False) ->
                     total += cost[x][y][z]
                     x, y = y, z
                 if (old := after.get((x, y))) is None or total < old[0]:
-                    after[x, y] = (total, text + letters)
+                    after[x, y] = (total, (path, letters) if letters else path)
         states = after
-    return min(states.values())[1].strip()
+    least = min(total for total, _ in states.values())
+    return min(spelled(path) for total, path in states.values() if total == least).strip()
+
+
+def spelled(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def stretches(c: Chunk) -> list[tuple[int, str, bool]]:
@@ -157,7 +167,7 @@ def stretches(c: Chunk) -> list[tuple[int, str, bool]]:
     n_letters = lettered[ends] - lettered[starts]
     text_of = c.text_of_word
     out = []
-    for k in np.flatnonzero((some[ends] > some[starts]) & (n_letters > 0) & (ends - starts <= LONGEST)):
+    for k in np.flatnonzero((some[ends] > some[starts]) & (n_letters > 0)):
         out.append((int(text_of[k]), bytes(c.data[starts[k] : ends[k]]).decode(errors="ignore").lower(), False))
     # words of one letter (or imitation), three or more in a row
     single = (ends - starts == 1) & (letter[starts] | leet[starts])
@@ -167,10 +177,9 @@ def stretches(c: Chunk) -> list[tuple[int, str, bool]]:
     last[:-1] &= ~(single[1:] & (text_of[1:] == text_of[:-1]))
     for a, b in zip(np.flatnonzero(first), np.flatnonzero(last) + 1, strict=True):
         if b - a >= 3:
-            whole = bytes(c.data[starts[a:b]]).decode().lower()
-            out += [(int(text_of[a]), whole[k : k + LONGEST], True) for k in range(0, len(whole), LONGEST)]
+            out.append((int(text_of[a]), bytes(c.data[starts[a:b]]).decode().lower(), True))
     # letters joined by dots, dashes and the like
-    for k in np.flatnonzero((n_letters >= 3) & (ends - starts >= 2 * n_letters - 1) & (ends - starts <= LONGEST)):
+    for k in np.flatnonzero((n_letters >= 3) & (ends - starts >= 2 * n_letters - 1)):
         word = bytes(c.data[starts[k] : ends[k]]).decode(errors="ignore").lower()
         if re.fullmatch(r"[a-z0-9@$!|+]([-._*][a-z0-9@$!|+]){2,}[-._*,;:!?]?", word):
             out.append((int(text_of[k]), re.sub(r"[-._*,;:?]", "", word), True))
@@ -181,14 +190,16 @@ class Decoder:
     """Decodes stretches; equal ones once a task, as far as memory for them is set aside."""
 
     def __init__(self, cost: np.ndarray):
-        self.cost, self.known = cost.tolist(), {}
+        self.cost, self.known, self.chars = cost.tolist(), {}, 0
 
     def __call__(self, stretch: str, spaced: bool) -> str:
         key = (stretch, spaced)
         if key not in self.known:
-            if len(self.known) > 200_000:
+            if len(self.known) > 200_000 or self.chars > KEPT_CHARS:
                 self.known.clear()
+                self.chars = 0
             self.known[key] = decode(stretch, self.cost, spaced)
+            self.chars += len(stretch) + len(self.known[key])
         return self.known[key]
 
 

@@ -104,3 +104,38 @@ def test_only_whole_copies_teach_once(spark):
     model = toxicity.fit(df, spark.createDataFrame(labels, LABELS))
     assert model.base == sum(i % 2 for i in taught) / len(taught)
     assert len(model.features)
+
+
+def test_decodes_long_stretches_whole(cost):
+    # a disguised word at each place of a run of spaced letters, of repeated ones and of joined ones
+    filler = "reading"
+    for before in range(50, 70):
+        text = " ".join((filler * 10)[:before] + "moron" + filler * 10)
+        c = next(chunks(pa.array([text, "m" + "o" * 90 + "ron", ".".join(filler * 12 + "moron")]), ALNUM, lower=True))
+        found = toxicity.stretches(Chunk(c.lo, c.hi, c.data, c.offsets, NOT_SPACE))
+        assert [(i, s) for i, s, spaced in found if spaced] == [(0, text.replace(" ", "")), (2, filler * 12 + "moron")]
+        assert all("moron" in toxicity.decode(s, cost, True) for _, s, spaced in found if spaced)
+        assert [toxicity.decode(s, cost) for i, s, spaced in found if i == 1] == ["moron"]
+    # decoding takes time in proportion: a run as long as a text goes in one piece
+    said = "moron" * 10000
+    assert toxicity.decode(said, cost, True).replace(" ", "") == said
+
+
+def test_a_long_reading_is_the_cheapest_path(cost):
+    def copied(stretch, spaced):
+        states = {(0, 0): (0.0, "")}
+        for choices in [*toxicity.lattice(stretch, spaced), [(" ", 0.0)]]:
+            after = {}
+            for (a, b), (so_far, text) in states.items():
+                for letters, price in choices:
+                    x, y, total = a, b, so_far + price
+                    for ch in letters:
+                        z = 0 if ch == " " else ord(ch) - 96 if "a" <= ch <= "z" else 27
+                        total, x, y = total + cost[x][y][z], y, z
+                    if (x, y) not in after or total < after[x, y][0]:
+                        after[x, y] = (total, text + letters)
+            states = after
+        return min(states.values())[1].strip()
+
+    for said, spaced in (("m0r0n1d!0ttr45h" * 9, True), ("0" * 70 + "m0ron" * 20, False), ("", False), ("$a$", True)):
+        assert toxicity.decode(said, cost, spaced) == copied(said, spaced)
