@@ -36,7 +36,7 @@ WINDOW = 10
 GRAM = 4
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 4 << 20
-#: Words of a suffix that are kept for the longest match; a match that is longer counts as this long.
+#: Words of a suffix that are kept for comparison; matches that are longer are followed from suffix to suffix.
 DEPTH = 128
 
 FOUND = T.StructType(
@@ -58,6 +58,10 @@ class Block:
     queries: np.ndarray  # a row of word ids (big-endian, 0 past the end) for each distinct test suffix
     lengths: np.ndarray  # words of its window
     names: list[list[str]]  # items it stands in
+    long_first: np.ndarray  # where each query's entries begin in the next two arrays
+    long_at: np.ndarray  # places in the items, one after another, that have depth words left or more
+    long_item: np.ndarray  # the item of each, as its index in item_names
+    item_names: list[str]  # sorted
 
 
 def rows_of(ids: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
@@ -94,7 +98,14 @@ def block(items: list[tuple[str, str | None]], window: int) -> Block | None:
     for k, i in zip(of, item, strict=True):
         names[k].add(items[i][0])
     grams = np.unique(window_hashes(words, gram)[inside(first, len(words), gram)])
-    return Block(vocabulary, grams, gram, shortest, depth, rows[one], size[item][one], [sorted(x) for x in names])
+    item_names = sorted({name for name, _ in items})
+    number = {name: k for k, name in enumerate(item_names)}
+    long = np.flatnonzero(first[1:][item] - starts >= depth)
+    long = long[np.argsort(of[long], kind="stable")]
+    long_first = np.searchsorted(of[long], np.arange(len(one) + 1))
+    # the item is added so that an item's last place is not followed by the next one's first
+    long_at, long_item = (starts + item)[long], np.array([number[items[i][0]] for i in item[long]], dtype=np.int64)
+    return Block(vocabulary, grams, gram, shortest, depth, rows[one], size[item][one], [sorted(x) for x in names], long_first, long_at, long_item, item_names)
 
 
 def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -141,10 +152,11 @@ class Shard:
         self.places, self.rows = at[order], rows[order]
         self.keys = as_keys(self.rows)
 
-    def search(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query, place and match length of every occurrence of a test suffix's window."""
+    def search(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
+        """Query, place and match length of every occurrence of a test suffix's window, and by place the
+        item with the longest match where that has more words than a row."""
         if not len(self.places):
-            return (np.zeros(0, np.int64),) * 3
+            return (*(np.zeros(0, np.int64),) * 3, {})
         past = np.arange(b.depth) >= b.lengths[:, None]
         lo = np.searchsorted(self.keys, as_keys(np.where(past, 0, b.queries).astype(">u4")), "left")
         hi = np.searchsorted(self.keys, as_keys(np.where(past, 0xFFFFFFFF, b.queries).astype(">u4")), "right")
@@ -156,7 +168,29 @@ class Shard:
             s = slice(a, a + (1 << 16))
             same = (self.rows[row[s]] == b.queries[query[s]]) & (b.queries[query[s]] != 0)
             length[s] = np.where(same.all(axis=1), b.depth, np.argmin(same, axis=1))
-        return query, self.places[row], length
+        return query, self.places[row], length, self.follow(b, query, self.places[row], length)
+
+    def follow(self, b: Block, query: np.ndarray, place: np.ndarray, length: np.ndarray) -> dict[int, str]:
+        """Puts the true length where a whole row is equal. Such a match has as many words more as there
+        are such matches in the next places of both the text and the item."""
+        full = np.flatnonzero((length == b.depth) & (np.diff(b.long_first)[query] > 0))
+        items: dict[int, str] = {}
+        if not len(full):
+            return items
+        # for each place in the items, how many matches follow the match with the text's last place seen
+        after = np.zeros(int(b.long_at.max()) + 2, dtype=np.int64)
+        last, seen = -1, np.zeros(0, np.int64)
+        for k in full[np.argsort(-place[full], kind="stable")]:
+            entries = slice(b.long_first[query[k]], b.long_first[query[k] + 1])
+            at = b.long_at[entries]
+            found = after[at + 1] + 1 if place[k] + 1 == last else np.ones(len(at), np.int64)
+            after[seen], after[at] = 0, found
+            last, seen = int(place[k]), at
+            most = found.max()
+            length[k] = b.depth + most - 1
+            if most > 1:
+                items[last] = b.item_names[b.long_item[entries][found == most].min()]
+        return items
 
 
 def examine(text: str, window: int, blocks: list) -> Callable[[pa.RecordBatch], dict[str, object]]:
@@ -171,7 +205,7 @@ def examine(text: str, window: int, blocks: list) -> Callable[[pa.RecordBatch],
             best: dict[int, tuple[int, int, str]] = {}
             for one in blocks:
                 b = one.value
-                query, place, length = Shard(c, b).search(b)
+                query, place, length, items = Shard(c, b).search(b)
                 np.add.at(cover, place, 1)
                 np.add.at(cover, place + b.lengths[query], -1)
                 text_of = c.text_of_word[place]
@@ -182,7 +216,7 @@ def examine(text: str, window: int, blocks: list) -> Callable[[pa.RecordBatch],
                 _, lead = np.unique(text_of[order], return_index=True)
                 for k in order[lead]:
                     i = int(text_of[k])
-                    mine = (-int(length[k]), int(place[k] - c.first_word[i]), b.names[query[k]][0])
+                    mine = (-int(length[k]), int(place[k] - c.first_word[i]), items.get(int(place[k]), b.names[query[k]][0]))
                     best[i] = min(best.get(i, mine), mine)
                 if len(blocks) > 1:
                     one.unpersist_value()

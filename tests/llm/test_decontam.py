@@ -61,3 +61,36 @@ def test_remove_keeps_clean_documents_whole(spark):
     assert kept.schema == df.schema and 0 < bad < len(made) and kept.count() == len(made) - bad
     assert decontam.remove(df, items.limit(0)).count() == len(made)
     assert decontam.match(df.limit(0), items).count() == 0
+
+
+def brute_longest(text, items):
+    """Length, place and item of the longest match: the first place, the least item."""
+    w, best = split(text), []
+    for name, item in items:
+        v = split(item)
+        after = [0] * (len(v) + 1)
+        for a in range(len(w) - 1, -1, -1):
+            after = [after[k + 1] + 1 if w[a] == v[k] else 0 for k in range(len(v))] + [0]
+            best.append((-max(after), a, str(name)))
+    length, place, name = min(best)
+    return -length, place, name
+
+
+@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+def test_matches_longer_than_a_row(spark, block_bytes):
+    k = [f"k{i}" for i in range(700)]
+    # 3 and 4 begin alike and go on differently; 5 repeats one word; 6 is in 3
+    items = [(3, " ".join(k[:400])), (4, " ".join(k[:150] + k[500:700])), (5, "so " * 300), (6, " ".join(k[20:320])), (7, " ".join(k[600:]))]
+    texts = [
+        " ".join(["x"] + k[:140] + ["y"] + k[:390] + ["z"]),
+        " ".join(["x"] + k[:150] + k[500:690]),
+        " ".join(k[130:300] + ["y"] + k[30:310]),
+        "so " * 250 + "x " + "so " * 290 + "y",
+        "so " * 400,
+        " ".join(k[:128]) + " x",
+        " ".join(k[:129] + ["x"] + k[560:]),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n long")
+    got = decontam.match(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).orderBy("doc_id").collect()
+    assert [(r.longest, r.longest_at, r.longest_item) for r in got] == [brute_longest(t, items) for t in texts]
+    assert got[0].longest == 390 and got[0].longest_at == 142
