@@ -31,8 +31,6 @@ FOLDS, HELD_OUT = 3, 1
 BUCKETS = 1 << 16
 #: Added to every count.
 SMOOTH = 0.05
-#: Most languages that one document is taken to mix.
-MOST = 3
 ROUNDS = 12
 #: Cost of a further language in log likelihood, for each unit of log(number of n-grams); n-grams
 #: overlap four times, so each counts for a quarter.
@@ -148,7 +146,7 @@ def infer(model: Model, p: np.ndarray, n: np.ndarray, first: np.ndarray) -> tupl
     value = alone.max(axis=1) / OVERLAP
     share = every
     rank = np.argsort(np.argsort(-every, axis=1, kind="stable"), axis=1, kind="stable")
-    for k in range(2, min(MOST, langs) + 1):
+    for k in range(2, langs + 1):
         # no set of k can gain more than all languages do
         open_ = np.flatnonzero(best / OVERLAP - (k - 1) * cost > value)
         if not len(open_):

@@ -56,3 +56,17 @@ def test_odd_rows_and_empty_tables(spark):
     assert langid.identify(odd).count() == len(rows()) and langid.identify(odd.limit(0)).count() == 0
     nothing = spark.createDataFrame([(0, "text", None, "s", 1)], SCHEMA)
     assert [r.lang_pred for r in langid.identify(nothing).collect()] == ["und"]
+
+
+def test_a_mixture_gets_all_four_languages(spark):
+    rng = random.Random(3)
+    more = {"dd": "zsk wyp krz mluv prst hvo".split()}
+    SYLLABLES.update(more)
+    try:
+        made = [(i, text(rng, lang, rng.randrange(8, 40)), lang, "s", 1) for i in range(200) for lang in [rng.choice(list(SYLLABLES))]]
+        mixed = (1000, " ".join(text(rng, lang, n) for lang, n in (("aa", 80), ("bb", 70), ("cc", 60), ("dd", 60))), None, "s", 1)
+    finally:
+        SYLLABLES.pop("dd")
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame([*made, mixed], SCHEMA)).collect()}
+    assert sorted(got[1000].languages) == ["aa", "bb", "cc", "dd"] and got[1000].score < 0.45
+    assert np.isclose(sum(got[1000].proportions), 1)
