@@ -1,9 +1,8 @@
-"""Near-duplicate self-join on word n-grams: MinHash LSH forest, then exact Jaccard verification.
+"""Near-duplicate self-join on word n-grams: MinHash banding, then exact Jaccard verification.
 
-Texts with one n-gram set form a class. Each class has a MinHash signature cut into trees; a tree is
-the sorted trie of its prefixes. Matching starts at full depth and shortens the prefix until pairs at
-the threshold share one in some tree with the target recall. Classes that share a prefix are linked to
-the least class of that trie node, so a crowded node gives as many links as members and never all its
+Texts with one n-gram set form a class. Each class has a MinHash signature cut into bands ("trees") of
+one length, the longest at which pairs at the threshold share a band with the target recall; it follows
+from the constants alone. Classes that share a band ("node") are linked to the least class of that node, so a crowded node gives as many links as members and never all its
 pairs. The components of these links are small groups that hold every candidate pair; in each, all
 Jaccard similarities are computed exactly from the n-gram sets. A group of more than `block` classes
 is compared block against block in as many tasks as it needs; pairs are counted, never emitted.
