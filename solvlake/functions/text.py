@@ -16,7 +16,8 @@ def find_doi(text: Column) -> Column:
 
 
 def canonical_doi(doi: Column) -> Column:
-    return F.lower(F.trim(doi))
+    """A DOI for comparing; NULL if blank."""
+    return F.nullif(F.lower(F.trim(doi)), F.lit(""))
 
 
 def normal(value: Column) -> Column:

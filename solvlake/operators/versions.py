@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvlake.functions.text import canonical_doi
+
 
 def best_runs(runs: DataFrame, paper: str = "paper_id", order: tuple[Column | str, ...] = (), approved: Column | None = None) -> DataFrame:
     """The latest approved run of each paper. Versions compare as text; NULLs come last."""
@@ -41,13 +45,44 @@ def history(events: DataFrame, papers: DataFrame, newest: str, paper: str = "pap
 def find_duplicates(incoming: DataFrame, known: DataFrame, sha: str = "content_sha256", doi: str = "doi", paper: str = "paper_id") -> DataFrame:
     """incoming with paper_id and reason: by content hash first, by DOI otherwise; NULL if new."""
     by_hash = known.groupBy(sha).agg(F.min(paper).alias("_by_hash"))
-    canonical = lambda c: F.when(F.trim(c) != "", F.lower(F.trim(c)))
-    by_doi = known.withColumn("_doi", canonical(F.col(doi))).filter("_doi IS NOT NULL").groupBy("_doi").agg(F.min(paper).alias("_by_doi"))
-    told = incoming.withColumn("_doi", canonical(F.col(doi))).join(by_hash, sha, "left").join(by_doi, "_doi", "left")
+    by_doi = known.withColumn("_doi", canonical_doi(F.col(doi))).filter("_doi IS NOT NULL").groupBy("_doi").agg(F.min(paper).alias("_by_doi"))
+    told = incoming.withColumn("_doi", canonical_doi(F.col(doi))).join(by_hash, sha, "left").join(by_doi, "_doi", "left")
     reason = F.when(F.col("_by_hash").isNotNull(), "content_hash").when(F.col("_by_doi").isNotNull(), "doi")
     return told.withColumn("match_id", F.coalesce("_by_hash", "_by_doi")).withColumn("reason", reason).drop("_doi", "_by_hash", "_by_doi")
 
 
+def lookup(papers: DataFrame, content_sha256: str | None = None, doi: str | None = None, paper_id: int | None = None) -> DataFrame:
+    """The paper with a hash, a DOI (in any case, trimmed) or an id, the first if there are several. A blank DOI finds none."""
+    if content_sha256 is not None:
+        found = papers.filter(F.col("content_sha256") == content_sha256)
+    elif paper_id is not None:
+        found = papers.filter(F.col("paper_id") == paper_id)
+    else:
+        found = papers.filter(canonical_doi(F.col("doi")) == F.nullif(F.lit((doi or "").strip().lower()), F.lit("")))
+    return found.orderBy("paper_id").limit(1)
+
+
+def totals(papers: DataFrame, runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: papers, approved runs, current rows."""
+    each = [papers.select(F.lit(0).alias("kind")), runs.filter("status = 'approved'").select(F.lit(1).alias("kind")), rows.select(F.lit(2).alias("kind"))]
+    return reduce(DataFrame.unionByName, each).agg(*[F.count_if(F.col("kind") == k).alias(c) for k, c in enumerate(("papers", "approved", "n_rows"))])
+
+
+def included_rows(df: DataFrame, column: str, chosen: list) -> DataFrame:
+    """Rows with one of the chosen values; all rows if none is chosen."""
+    return df.filter(F.col(column).isin(chosen)) if chosen else df
+
+
+def usage_sums(calls: DataFrame, keys: list[str], counts: dict[str, Column]) -> DataFrame:
+    """keys, calls, and the sum of each count over a chain of calls."""
+    return calls.groupBy(*keys).agg(F.count("*").alias("calls"), *[F.sum(c).alias(n) for n, c in counts.items()])
+
+
+def first_known(rows: DataFrame, keys: list[str], value: Column, ordinal: str, name: str) -> DataFrame:
+    """keys and the first value that is not NULL, by the ordinal."""
+    return rows.groupBy(*keys).agg(F.min_by(value, F.when(value.isNotNull(), F.col(ordinal))).alias(name))
+
+
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
     """Whether two frames hold the same rows as often; an edited frame does not."""
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
@@ -55,4 +90,4 @@ def same_rows(left: DataFrame, right: DataFrame) -> bool:
 
 def approval_note(note: Column, override: Column, passed: Column) -> Column:
     """Notes of approvals in spite of red flags say so."""
-    return F.when(override & ~passed, F.concat(F.lit("[RED-flag override] "), F.coalesce(note, F.lit("approved despite red QA flags")))).otherwise(note)
+    return F.when(override & ~passed, F.concat(F.lit("[RED-flag override] "), F.coalesce(note, F.lit("no reason given")))).otherwise(note)

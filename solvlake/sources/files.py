@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,11 @@ def pdfs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, path: str, placeholder: str | None = None) -> DataFrame:
-    """prompt_version, text, prompt_sha256 of prompt files; those without the placeholder are left out."""
+    """prompt_version, text, prompt_sha256 of prompt files. A file without the placeholder is an error when it is read."""
     texts = spark.read.text(path, wholetext=True).select(file_stem().alias("prompt_version"), F.col("value").alias("text"))
     told = texts.withColumn("prompt_sha256", F.sha2("text", 256))
-    return told.filter(F.contains("text", F.lit(placeholder))) if placeholder else told
+    lacks = F.raise_error(F.concat(F.lit(f"no {placeholder} in prompt "), F.col("prompt_version"))).cast("string")
+    return told.withColumn("text", F.when(F.contains("text", F.lit(placeholder)), F.col("text")).otherwise(lacks)) if placeholder else told
 
 
 def sidecars(spark: SparkSession, path: str, schema: str = STAGED) -> DataFrame:
@@ -51,17 +53,56 @@ def raster_verdict(readable: Column, images: Column, texts: Column) -> Column:
     return F.when(readable, F.when((images > 0) & (images >= texts), 1).otherwise(0))
 
 
-def inspect(pages: DataFrame, pdf: str = "pdf", images: str = "has_image", text: str = "has_text") -> DataFrame:
-    """pdf, n_pages, pages with images and with text, and the raster verdict. A PDF that cannot be read is a
-    row with NULL flags."""
-    told = pages.groupBy(pdf).agg(F.count(images).alias("n_pages"), F.count_if(F.col(images)).alias("n_images"), F.count_if(F.col(text)).alias("n_texts"))
+def inspect(pages: DataFrame, pdf: str = "pdf", images: str = "has_image", text: str = "has_text", title: str | None = None) -> DataFrame:
+    """pdf, n_pages, pages with images and with text, the raster verdict, and, if asked, the title: the first
+    that is not blank, trimmed. A PDF that cannot be read is a row with NULL flags."""
+    own = [F.min(F.nullif(F.trim(title), F.lit(""))).alias("title")] if title else []
+    told = pages.groupBy(pdf).agg(F.count(images).alias("n_pages"), F.count_if(F.col(images)).alias("n_images"), F.count_if(F.col(text)).alias("n_texts"), *own)
     return told.withColumn("is_raster_figure", raster_verdict(F.col("n_pages") > 0, F.col("n_images"), F.col("n_texts")))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Only where it is unset and driver and executors are one process, a local folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/solvlake-{spark.sparkContext.applicationId}"
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder path where all executors can write: below spark.checkpoint.dir, or a local one if unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/solvlake"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder path where all executors can write."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Puts a small file in place whole, by renaming it, unless there is one already: False, and that one
+    stays. An empty file is what a writer that died has left, and counts as none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if fs.exists(at) and fs.getFileStatus(at).getLen() == 0:
+        fs.delete(at, False)
+    folder, _, name = path.rpartition("/")
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    write_text(spark, part, text)
+    rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(jvm.org.apache.hadoop.fs.Path(part), at, how)
+    except Exception as e:
+        delete(spark, part)
+        if fs.exists(at):
+            return False
+        raise e
+    return True
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -85,6 +126,13 @@ def export_json(df: DataFrame, path: str) -> None:
     to_display(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_sidecars(df: DataFrame, path: str, name: str) -> None:
+    """One JSON file for each row, named by a column, nulls kept; rows reach the driver one partition at a time."""
+    each = df.select(F.col(name).cast("string").alias("name"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    for r in each.toLocalIterator():
+        write_text(df.sparkSession, f"{path.rstrip('/')}/{r.name}.json", r.json)
+
+
 def json_rows(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row: a JSON array of all row objects, nulls kept. For results of a bounded size."""
     each = (df.orderBy(*order) if order else df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))

@@ -39,7 +39,7 @@ def test_a_refused_commit_leaves_nothing(spark, store):
     with pytest.raises(CommitError, match="one approved run"):
         commit(store, measured(spark))
     assert {n: store.table(n).count() for n in before} == before
-    assert store.table("review_log").first().note == "[RED-flag override] approved despite red QA flags"
+    assert store.table("review_log").first().note == "[RED-flag override] no reason given"
     with pytest.raises(CommitError, match="status"):
         store.publish({"run_status": spark.createDataFrame([(9, 1, "maybe")], "event_id long, prompt_run_id long, status string")})
     with pytest.raises(CommitError, match="no paper"):
