@@ -15,11 +15,12 @@ def views(spark):
 ALLOWED = [
     "SELECT * FROM papers", "select count(*) from papers;", "SELECT p.title FROM papers p JOIN v_current_best v ON p.paper_id = v.paper_id", "WITH x AS (SELECT * FROM papers) SELECT * FROM x", "SELECT * FROM papers -- DROP TABLE papers", "SELECT /* ; */ 1",
     "SELECT title FROM papers UNION SELECT title FROM prompt_runs", "SELECT 'DROP TABLE x; --' AS s FROM papers", "SELECT replace(title, 'D', 'd') FROM papers", 'SELECT "Extract%" FROM "v_current_best"', "SELECT * FROM PAPERS", "SELECT row_number() OVER (ORDER BY paper_id) FROM papers",
+    "SELECT title AS begin, doi AS commit, paper_id AS release FROM papers", "SELECT title FROM papers EXCEPT SELECT title FROM prompt_runs", "SELECT title FROM papers INTERSECT SELECT title FROM prompt_runs",
 ]
 REFUSED = [
-    ("", "empty"), ("  -- only this", "empty"), ("SELECT 1; SELECT 2", "multiple statements"), ("DROP TABLE papers", "only SELECT"), ("PRAGMA x", "only SELECT"), ("SELECT * FROM extractions", "allow-list"), ("SELECT * FROM papers, review_log", "allow-list"), ("SELECT * FROM papers WHERE paper_id IN (SELECT paper_id FROM review_log)", "allow-list"),
+    ("", "no query"), ("  -- only this", "no query"), ("SELECT 1; SELECT 2", "one statement"), ("DROP TABLE papers", "starts with SELECT"), ("PRAGMA x", "starts with SELECT"), ("SELECT * FROM extractions", "allow-list"), ("SELECT * FROM papers, review_log", "allow-list"), ("SELECT * FROM papers WHERE paper_id IN (SELECT paper_id FROM review_log)", "allow-list"),
     ("SELECT (SELECT max(review_id) FROM review_log) FROM papers", "allow-list"), ("WITH x AS (SELECT * FROM review_log) SELECT * FROM x", "allow-list"), ("SELECT 'review_log AS (' FROM review_log", "allow-list"), ("SELECT * FROM `review_log`", "allow-list"), ("SELECT * FROM parquet.`/tmp`", "allow-list"), ("SELECT * FROM range(5)", "allow-list"),
-    ("WITH papers AS (SELECT 1 AS a) SELECT * FROM papers", "CTE"), ("SELECT * FROM papers WHERE 1 = 1 DELETE", "forbidden keyword"), ("WITH x AS (SELECT 1) INSERT INTO papers SELECT * FROM x", "forbidden keyword"), ("SELECT reflect('java.lang.System', 'exit', 1)", "forbidden keyword"), ("SELECT FROM WHERE", "query failed"), ("SELECT nope FROM papers", "query failed"),
+    ("WITH papers AS (SELECT 1 AS a) SELECT * FROM papers", "CTE"), ("SELECT * FROM papers WHERE 1 = 1 DELETE", "query failed"), ("WITH x AS (SELECT 1) INSERT INTO papers SELECT * FROM x", "may only read"), ("WITH x AS (SELECT 1) DELETE FROM papers", "query failed"), ("SELECT reflect('java.lang.System', 'exit', 1)", "outside of SQL"), ("SELECT `reflect`('java.lang.System', 'exit', 1)", "outside of SQL"), ("SELECT FROM WHERE", "query failed"), ("SELECT nope FROM papers", "query failed"),
 ]
 
 
