@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Geometry limits in points (vector) and pixels (raster).
-LEAST_MARKERS, LEAST_SERIES, LEAST_TOTAL = 3, 2, 24
+LEAST_MARKERS, LEAST_SERIES, LEAST_TOTAL, LEAST_TICKS = 3, 2, 24, 3
 UNIFORM = 0.15
 RESIDUAL = 0.02
 LOW_OUTLIER = 0.6
@@ -130,6 +130,11 @@ def uniform(counts: Column) -> Column:
     return F.coalesce((F.size(counts) >= LEAST_SERIES) & (upper > 0) & (F.array_max(counts) - F.array_min(counts) <= UNIFORM * upper), F.lit(False))
 
 
+def enough_ticks(ticks: DataFrame, keys: list[str], least: int = LEAST_TICKS) -> DataFrame:
+    """Each tick once, of the axes that have enough of them."""
+    return ticks.distinct().withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("_n") >= least).drop("_n")
+
+
 def read_ticks(words: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """keys, axis, pixel, value: numbers just outside the frame, each place once; three and more to an axis."""
     number = centre(words.filter(F.col("text").rlike(TICK))).join(frames, keys).withColumn("value", F.col("text").try_cast("double"))
@@ -137,8 +142,7 @@ def read_ticks(words: DataFrame, frames: DataFrame, keys: list[str]) -> DataFram
     below = (F.col("cy") > f("bottom") - 2) & (F.col("cy") < f("bottom") + 28) & (F.col("cx") > f("x0") - 25) & (F.col("cx") < f("x1") + 25)
     left = (F.col("cx") > f("x0") - 50) & (F.col("cx") < f("x0") + 4) & (F.col("cy") > f("top") - 12) & (F.col("cy") < f("bottom") + 12)
     axes = F.array_compact(F.array(F.when(below, F.struct(F.lit("x").alias("axis"), F.col("cx").alias("pixel"))), F.when(left, F.struct(F.lit("y").alias("axis"), F.col("cy").alias("pixel")))))
-    ticks = number.select(*keys, F.explode(axes).alias("t"), "value").select(*keys, "t.axis", "t.pixel", "value").distinct()
-    return ticks.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "axis"))).filter("_n >= 3").drop("_n")
+    return enough_ticks(number.select(*keys, F.explode(axes).alias("t"), "value").select(*keys, "t.axis", "t.pixel", "value"), [*keys, "axis"])
 
 
 def calibrate(ticks: DataFrame, keys: list[str], pixel: str = "pixel", value: str = "value") -> DataFrame:

@@ -17,6 +17,10 @@ LEAST_ROWS = 8
 NOISE = 5.0
 PH_TOLERANCE, PERCENT_TOLERANCE = 0.3, 10.0
 SHORT_OF = 0.8
+#: Counts that a message names at most.
+NAMED = 10
+#: Patterns that always compile.
+SIMPLE = r"^\^?(?:(?:[^\\^$.|?*+()\[\]{}]|\.|\[[A-Za-z0-9 ]+\]|\((?:[^\\^$.|?*+()\[\]{}]|\.|\|)+\))[*+?]?|\|)+\$?$"
 # Plausible ranges, columns of stated values, and the vocabulary.
 BOUNDS = {"extract_pct": (0.0, 100.0), "recovery_pct": (0.0, 100.0), "ph": (-1.0, 14.0), "sf_pct": (0.0, float("inf"))}
 Y_COLUMNS = {"Extract%": "extract_pct", "extract%": "extract_pct", "Recovery %": "recovery_pct", "recovery %": "recovery_pct", "recovery": "recovery_pct"}
@@ -63,6 +67,25 @@ def axis_bounds(df: DataFrame, scope: tuple[str, ...], ordinal: str = "row_ord")
     return flags(out_of_bounds(df, scope, BOUNDS, ordinal), scope, "axis_bounds", RED, F.col("column"), F.col("n"), F.concat(F.lit("e.g. "), F.col("example").cast("string")))
 
 
+def curve_sizes(df: DataFrame, keys: list[Column | str]) -> DataFrame:
+    """Rows of each group; a NULL key is a key."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def matching_or_all(df: DataFrame, keys: list[str], hit: Column) -> DataFrame:
+    """In each group the rows that hit, or all of them if none does."""
+    told = df.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumn("_any", F.max("_hit").over(Window.partitionBy(*keys)))
+    return told.filter("_hit OR NOT _any").drop("_hit", "_any")
+
+
+def contains_pattern(text: Column, pattern: Column) -> Column:
+    """Whether a text contains a pattern, in any case. The pattern is a regular expression if it is of simple
+    shape (letters, dots, one level of brackets and groups, repetitions, alternatives), so that none can fail
+    to compile; any other is looked for as it stands."""
+    quoted = F.regexp_replace(pattern, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    return F.regexp(text, F.concat(F.lit("(?i)"), F.when(pattern.rlike(SIMPLE), pattern).otherwise(quoted)))
+
+
 def reversals(df: DataFrame, keys: list[str], x: str, y: str, ordinal: str, noise: float = NOISE) -> DataFrame:
     """keys, n, ups, downs: steps along x that rise or fall by more than the noise."""
     w = Window.partitionBy(*keys).orderBy(x, ordinal)
@@ -108,8 +131,12 @@ def nearest(points: DataFrame, stated: DataFrame, keys: list[str], stated_id: li
     """stated_id, min_dx, dx, x, y, dy: for each stated (x0, y0), of the points with its keys that lie within
     the window of x0 (or at the least distance where that is the window) the one with the nearest y. `miss`
     says, from min_dx, that no point is near enough."""
-    each = stated.join(points, keys).withColumn("dx", F.abs(F.col("x") - F.col("x0")))
-    least = each.withColumn("min_dx", F.min("dx").over(Window.partitionBy(*stated_id)))
+    return nearest_of(stated.join(points, keys), stated_id, window, miss, ordinal)
+
+
+def nearest_of(each: DataFrame, stated_id: list[str], window: Column, miss: Column, ordinal: str) -> DataFrame:
+    """nearest() of rows that hold a stated (x0, y0) and one of its points (x, y) each."""
+    least = each.withColumn("dx", F.abs(F.col("x") - F.col("x0"))).withColumn("min_dx", F.min("dx").over(Window.partitionBy(*stated_id)))
     near = least.withColumn("dy", F.abs(F.col("y") - F.col("y0"))).filter(miss | (F.col("dx") <= window))
     best = near.groupBy(*stated_id).agg(F.min("min_dx").alias("min_dx"), F.min_by(F.struct("x", "y", "dx", "dy"), F.struct(F.when(miss, F.col("dx")).otherwise(F.col("dy")), F.col(ordinal))).alias("b"))
     return best.select(*stated_id, "min_dx", "b.x", "b.y", "b.dx", "b.dy")
@@ -117,23 +144,19 @@ def nearest(points: DataFrame, stated: DataFrame, keys: list[str], stated_id: li
 
 def text_endpoints(df: DataFrame, endpoints: DataFrame, scope: tuple[str, ...], ordinal: str = "row_ord", ep: str = "endpoint_ord") -> DataFrame:
     """Stated values against digitised ones. An endpoint's element is matched as a case-insensitive pattern
-    (as text if it is no valid pattern); if no row matches, all rows of the scope are taken."""
+    (as text if it is no simple one); if no row matches, all rows of the scope are taken."""
     x_of, y_of = (F.create_map(*[F.lit(v) for p in m.items() for v in p]) for m in (X_COLUMNS, Y_COLUMNS))
     stated = endpoints.withColumn("x_col", F.try_element_at(x_of, F.col("x_basis"))).withColumn("y_col", F.try_element_at(y_of, F.col("y_metric")))
     stated = stated.filter("x_col IS NOT NULL AND y_col IS NOT NULL AND x_value IS NOT NULL AND y_value IS NOT NULL")
     stated = stated.select(*scope, ep, F.col("element").alias("wanted"), "x_col", "y_col", F.col("x_value").alias("x0"), F.col("y_value").alias("y0"))
     pick = lambda col, names: reduce(lambda acc, n: F.when(F.col(col) == n, F.col(n)).otherwise(acc), sorted(set(names.values())), F.lit(None).cast("double"))
     rows = df.select(*scope, ordinal, "element", *sorted(set(X_COLUMNS.values()) | set(Y_COLUMNS.values())))
-    # plain words are patterns of themselves; anything else is quoted, so that no pattern can fail
-    quoted = F.regexp_replace("wanted", r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    pairs = stated.join(rows, list(scope)).withColumn("fits", F.coalesce((F.col("wanted") == "") | F.regexp(F.col("element"), F.concat(F.lit("(?i)"), quoted)), F.col("wanted").isNull()))
-    any_fits = F.max("fits").over(Window.partitionBy(*scope, ep))
-    points = pairs.withColumn("any", any_fits).filter("fits OR NOT any").withColumn("x", pick("x_col", X_COLUMNS)).withColumn("y", pick("y_col", Y_COLUMNS)).filter("x IS NOT NULL AND y IS NOT NULL")
     ids = [*scope, ep]
-    dist = points.withColumn("dx", F.abs(F.col("x") - F.col("x0"))).withColumn("dy", F.abs(F.col("y") - F.col("y0"))).withColumn("min_dx", F.min("dx").over(Window.partitionBy(*ids)))
+    fits = F.coalesce((F.col("wanted") == "") | contains_pattern(F.col("element"), F.col("wanted")), F.col("wanted").isNull())
+    points = matching_or_all(stated.join(rows, list(scope)), ids, fits).withColumn("x", pick("x_col", X_COLUMNS)).withColumn("y", pick("y_col", Y_COLUMNS)).filter("x IS NOT NULL AND y IS NOT NULL")
     on_ph = F.col("x_col") == "ph"
-    far = on_ph & (F.col("min_dx") > PH_TOLERANCE)
-    best = dist.filter(far | (F.col("dx") <= F.when(on_ph, PH_TOLERANCE).otherwise(F.col("min_dx")))).groupBy(*ids).agg(F.first("wanted").alias("wanted"), F.first(far).alias("far"), F.min("dy").alias("dy"))
+    window = F.when(on_ph, PH_TOLERANCE).otherwise(F.col("min_dx"))
+    best = nearest_of(points, [*ids, "wanted", "x_col"], window, on_ph & (F.col("min_dx") > PH_TOLERANCE), ordinal).withColumn("far", on_ph & (F.col("min_dx") > PH_TOLERANCE))
     bad = best.filter(F.col("far") | (F.col("dy") > PERCENT_TOLERANCE))
     return flags(bad, scope, "text_endpoint_cross_check", RED, F.col("wanted"), F.col(ep), F.when(F.col("far"), "truncated curve").otherwise(F.concat(F.lit("off by "), F.col("dy").cast("string"))))
 
@@ -151,7 +174,9 @@ def curve_counts(df: DataFrame, known: DataFrame, scope: tuple[str, ...]) -> Dat
     """known: scope, n (markers of a series). Flags scopes that fall short of a known count."""
     seen = df.groupBy(*scope, label().alias("label")).agg(F.count("*").alias("n"))
     short = rank_aligned(known, seen, scope).filter(F.col("seen") < SHORT_OF * F.col("known")).groupBy(*scope).agg(F.count("*").alias("n"), F.min_by(F.struct("known", "seen"), "rank").alias("e"))
-    return flags(short, scope, "deterministic_curve_count", AMBER, F.lit(None), F.col("n"), F.concat_ws(" ", F.lit("expected"), "e.known", F.lit("got"), "e.seen"))
+    named = seen.groupBy(*scope).agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, NAMED), lambda x: x.cast("string")), ", ").alias("counts"))
+    told = short.join(named, list(scope), "left")
+    return flags(told, scope, "deterministic_curve_count", AMBER, F.lit(None), F.col("n"), F.concat_ws(" ", F.lit("expected"), "e.known", F.lit("got"), "e.seen", F.lit("of"), F.coalesce("counts", F.lit("none"))))
 
 
 def run_rules(df: DataFrame, runs: DataFrame, endpoints: DataFrame | None = None, known: DataFrame | None = None, scope: tuple[str, ...] = ("custom_id",), figure_is_curve: bool = True) -> DataFrame:
@@ -179,3 +204,11 @@ def verdicts(runs: DataFrame, flags_: DataFrame, scope: tuple[str, ...]) -> Data
     rank = F.coalesce("r", F.lit(0))
     verdict = F.element_at(F.array(F.lit(GREEN), F.lit(AMBER), F.lit(RED)), rank + 1)
     return runs.select(*scope).distinct().join(told, list(scope), "left").select(*scope, verdict.alias("verdict"), (rank < 2).alias("passed"), F.coalesce("report", F.lit("[]")).alias("report"))
+
+
+REPORT = "array<struct<rule: string, severity: string, subject: string, n: bigint, detail: string>>"
+
+
+def read_report(report: Column) -> Column:
+    """The flags of a report that verdicts() wrote; none if it is NULL or no report."""
+    return F.coalesce(F.from_json(report, REPORT), F.array().cast(REPORT))

@@ -80,10 +80,24 @@ def parse(responses: DataFrame, id_col: str = "custom_id", text_col: str = "raw_
     said = F.transform(F.array(*[F.lit(d) for _, d in numeric]), lambda n: F.when(_is(at(n), "BOOLEAN"), truth(at(n))).otherwise(_text(at(n))))
     words = F.transform(F.array(*[F.lit(d) for _, d in textual]), lambda n: _text(at(n)))
     cells = _cells(told, id_col).select(id_col, "row_ord", said.alias("said"), words.alias("words"))
+    # a response's cells are counted in its own row, so that two responses of one id do not mix
+    ok = F.col("error").isNull()
+    keyed = lambda r: F.when(F.col("positional"), F.map_from_arrays("columns", F.try_variant_get(r, "$", "array<variant>"))).otherwise(F.try_variant_get(r, "$", "map<string,variant>"))
+    cell = lambda v: F.when(_is(v, "BOOLEAN"), truth(v)).otherwise(_text(v))
+    names = F.array(*[F.lit(d) for _, d in numeric])
+    bad = lambda r: F.size(F.filter(F.transform(names, lambda n: cell(F.try_element_at(keyed(r), n))), lambda x: failed(x) == 1))
+    failures = F.aggregate(F.transform("rows", bad), F.lit(0).cast("long"), lambda a, x: a + x)
+    zero = F.lit(0).cast("long")
     place = {n: ("numbers", i) for i, (n, _) in enumerate(numeric)} | {n: ("words", i) for i, (n, _) in enumerate(textual)}
     rows = cells.withColumn("numbers", F.transform("said", number)).select(id_col, "row_ord", *[F.col(place[n][0])[place[n][1]].alias(n) for n, _, _ in CONTRACT])
-    counted = cells.groupBy(id_col).agg(F.count("*").alias("n_rows"), F.sum(F.size(F.filter("said", lambda x: failed(x) == 1))).cast("long").alias("coercion_failures"))
-    summary = told.select(id_col, "error").join(counted, id_col, "left").select(id_col, "error", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("coercion_failures", F.lit(0)).alias("coercion_failures"))
+    summary = told.select(id_col, "error", F.when(ok, F.size("rows").cast("long")).otherwise(zero).alias("n_rows"), F.when(ok, failures).otherwise(zero).alias("coercion_failures"))
     each = told.filter("error IS NULL").select(id_col, F.posexplode("endpoints").alias("endpoint_ord", "e"))
     endpoints = each.select(id_col, "endpoint_ord", *[(_number(F.try_variant_get("e", f"$.{n}", "variant")) if t == "double" else _text(F.try_variant_get("e", f"$.{n}", "variant"))).alias(n) for n, t in ENDPOINT.items()])
     return rows, endpoints, summary
+
+
+def results_of(requests: DataFrame, results: DataFrame, key: str = "custom_id") -> DataFrame:
+    """Every request with its result's columns, and an error where there is no result or it has one."""
+    error = F.when(F.col("_seen").isNull(), "no result returned")
+    told = requests.select(key).join(results.withColumn("_seen", F.lit(True)), key, "left")
+    return told.withColumn("error", F.coalesce(error, F.col("error")) if "error" in results.columns else error).drop("_seen")
