@@ -7,17 +7,20 @@ content hash, events are curve points (user and type: series) and hold JSON payl
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvlake.functions import chem, text
-from solvlake.operators import curves, qa, ranges, versions
+from solvlake.operators import curves, figures, qa, ranges, versions
 from solvlake.plans import guard
-from solvlake.schema import failed, number
+from solvlake.schema import CONTRACT, NAMES, conform, failed, number
 from solvlake.sources import files
-from solvlake.sources.responses import parse
+from solvlake.sources.responses import parse, results_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,19 +88,22 @@ def j3_paper_list(spark: SparkSession, sf: str) -> DataFrame:
     return versions.paper_list(papers, all_runs.filter("status = 'approved'"), best)
 
 
-@query("WITH n AS (SELECT e.event_id, e.user_id, e.event_type, p.event_id AS o, abs(epoch_us(e.ts) - epoch_us(p.ts)) AS dx, abs(e.value * 1.05 - p.value) AS dy, p.value AS y FROM events e JOIN events p USING (user_id, event_type) WHERE e.event_id % 50 = 0), m AS (SELECT *, min(dx) OVER (PARTITION BY event_id) AS min_dx FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dy, o) AS r FROM m WHERE dx <= 21600000000) SELECT event_id, min_dx::DOUBLE AS min_dx, y, dy FROM k WHERE r = 1")
+@query("WITH n AS (SELECT e.event_id, e.user_id, e.event_type, p.event_id AS o, abs(epoch_us(e.ts) - epoch_us(p.ts)) AS dx, abs(e.value * 1.05 - p.value) AS dy, p.value AS y FROM events e JOIN events p USING (user_id, event_type) WHERE e.event_id % 20 = 0), m AS (SELECT *, min(dx) OVER (PARTITION BY event_id) AS min_dx FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dy, o) AS r FROM m WHERE dx <= 21600000000) SELECT event_id, min_dx::DOUBLE AS min_dx, y, dy FROM k WHERE r = 1")
 def j4_nearest_point(spark: SparkSession, sf: str) -> DataFrame:
     all_points = points(spark, sf).withColumnRenamed("event_id", "ordinal")
-    stated = points(spark, sf).filter("event_id % 50 = 0").select("event_id", "user_id", "event_type", F.col("x").alias("x0"), (F.col("y") * 1.05).alias("y0"))
+    stated = points(spark, sf).filter("event_id % 20 = 0").select("event_id", "user_id", "event_type", F.col("x").alias("x0"), (F.col("y") * 1.05).alias("y0"))
     found = qa.nearest(all_points.withColumn("x", F.col("x").cast("double")), stated, ["user_id", "event_type"], ["event_id"], F.lit(21_600_000_000), F.lit(False), "ordinal")
     return found.select("event_id", F.col("min_dx").cast("double").alias("min_dx"), "y", "dy")
 
 
-@query("WITH d AS (SELECT doc_id, sha256(text) AS sha, source || ':' || lang AS doi FROM documents), k AS (SELECT * FROM d WHERE doc_id % 2 = 0), h AS (SELECT sha, min(doc_id) AS i FROM k GROUP BY 1), o AS (SELECT lower(trim(doi)) AS doi, min(doc_id) AS i FROM k GROUP BY 1) SELECT d.doc_id, coalesce(h.i, o.i)::DOUBLE AS match_id, CASE WHEN h.i IS NOT NULL THEN 'content_hash' WHEN o.i IS NOT NULL THEN 'doi' END AS reason FROM d LEFT JOIN h USING (sha) LEFT JOIN o ON o.doi = lower(trim(d.doi)) WHERE d.doc_id % 2 = 1")
+@query("WITH k AS (SELECT doc_id, sha256(text) AS sha, source || ':' || lang AS doi FROM documents), h AS (SELECT sha, min(doc_id) AS i FROM k GROUP BY 1), o AS (SELECT lower(trim(doi)) AS doi, min(doc_id) AS i FROM k WHERE doi IS NOT NULL GROUP BY 1) SELECT d.doc_id, coalesce(h.i, o.i)::DOUBLE AS match_id, CASE WHEN h.i IS NOT NULL THEN 'content_hash' WHEN o.i IS NOT NULL THEN 'doi' END AS reason FROM documents d LEFT JOIN h ON h.sha = sha256(lower(d.text)) LEFT JOIN o ON o.doi = lower(trim(d.source || ':' || d.lang))")
 def j5_find_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    docs = t(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("content_sha256"), F.concat_ws(":", "source", "lang").alias("doi"))
-    known = docs.filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "paper_id")
-    return versions.find_duplicates(docs.filter("doc_id % 2 = 1"), known).select("doc_id", F.col("match_id").cast("double").alias("match_id"), "reason")
+    """Every document, in lower case, is looked up among all documents."""
+    docs = t(spark, sf, "documents")
+    doi = F.when(F.col("source").isNotNull() & F.col("lang").isNotNull(), F.concat_ws(":", "source", "lang")).alias("doi")
+    known = docs.select(F.col("doc_id").alias("paper_id"), F.sha2("text", 256).alias("content_sha256"), doi)
+    incoming = docs.select("doc_id", F.sha2(F.lower("text"), 256).alias("content_sha256"), doi)
+    return versions.find_duplicates(incoming, known).select("doc_id", F.col("match_id").cast("double").alias("match_id"), "reason")
 
 
 @query("WITH g AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), k AS (SELECT user_id, n + 2 AS n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS rank FROM g WHERE event_type <> 'click'), s AS (SELECT user_id, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS rank FROM g WHERE event_type <> 'view') SELECT k.user_id, k.rank::INT AS rank, k.n AS known, coalesce(s.n, 0) AS seen FROM k LEFT JOIN s USING (user_id, rank)")
@@ -127,8 +133,8 @@ def j8_novel_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS prompt_run_id, coalesce(n, 0) AS n_rows, CASE WHEN n IS NULL THEN 'no result returned' END AS error FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) ON o_orderkey = l_orderkey")
 def j10_results_of_requests(spark: SparkSession, sf: str) -> DataFrame:
-    results = rows(spark, sf).filter("l_linenumber <= 2").groupBy("prompt_run_id").agg(F.count("*").alias("n"))
-    return runs(spark, sf).select("prompt_run_id").join(results, "prompt_run_id", "left").select("prompt_run_id", F.coalesce("n", F.lit(0)).alias("n_rows"), F.when(F.col("n").isNull(), "no result returned").alias("error"))
+    results = rows(spark, sf).filter("l_linenumber <= 2").groupBy("prompt_run_id").agg(F.count("*").alias("n_rows"))
+    return results_of(runs(spark, sf), results, "prompt_run_id").na.fill(0, ["n_rows"])
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -170,13 +176,12 @@ def s12_nan_to_null(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#11', 'Brand#22')")
 def p8_chosen(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "part").filter(F.col("p_brand").isin("Brand#11", "Brand#22")).select("p_partkey", "p_brand")
+    return versions.included_rows(t(spark, sf, "part"), "p_brand", ["Brand#11", "Brand#22"]).select("p_partkey", "p_brand")
 
 
 @query("WITH m AS (SELECT user_id, event_type, event_id, event_type ILIKE '%SIGN%' AS hit, bool_or(event_type ILIKE '%SIGN%') OVER (PARTITION BY user_id) AS any_hit FROM events) SELECT user_id, event_id FROM m WHERE hit OR NOT any_hit")
 def p10_pattern_or_all(spark: SparkSession, sf: str) -> DataFrame:
-    told = t(spark, sf, "events").withColumn("hit", F.col("event_type").rlike("(?i)SIGN")).withColumn("any", F.max("hit").over(Window.partitionBy("user_id")))
-    return told.filter("hit OR NOT any").select("user_id", "event_id")
+    return qa.matching_or_all(t(spark, sf, "events"), ["user_id"], qa.contains_pattern(F.col("event_type"), F.lit("SIGN"))).select("user_id", "event_id")
 
 
 @query("SELECT json_extract_string(props, '$.k')::DOUBLE AS k, count(*) AS n FROM events GROUP BY 1")
@@ -205,8 +210,7 @@ def f7_parsed_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT (SELECT count(*) FROM customer) AS papers, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS approved, (SELECT count(*) FROM lineitem) AS n_rows")
 def a1_counts(spark: SparkSession, sf: str) -> DataFrame:
-    one = [t(spark, sf, "customer").agg(F.count("*").alias("papers")), runs(spark, sf).agg(F.count_if(F.col("status") == "approved").alias("approved")), rows(spark, sf).agg(F.count("*").alias("n_rows"))]
-    return one[0].join(one[1]).join(one[2])  # three rows of one
+    return versions.totals(t(spark, sf, "customer"), runs(spark, sf), rows(spark, sf))
 
 
 @query("SELECT l_orderkey AS prompt_run_id, coalesce(nullif(l_returnflag, 'N'), '(unspecified)') AS label, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) < 8")
@@ -217,7 +221,7 @@ def a2_sparse_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber::DOUBLE END AS k, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
 def a3_null_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark, sf).groupBy(F.when(F.col("l_linenumber") != 7, F.col("l_linenumber").cast("double")).alias("k"), "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return qa.curve_sizes(rows(spark, sf), [F.when(F.col("l_linenumber") != 7, F.col("l_linenumber").cast("double")).alias("k"), "l_returnflag", "l_linestatus"])
 
 
 @query(f"WITH {E_POINTS}, d AS (SELECT *, y - lag(y) OVER (PARTITION BY user_id, event_type ORDER BY x, event_id) AS dy FROM p) SELECT user_id, event_type, count(*) AS n, count(*) FILTER (dy > 5) AS ups, count(*) FILTER (dy < -5) AS downs FROM d GROUP BY 1, 2 HAVING count(*) >= 4 AND count(*) FILTER (dy > 5) >= 2 AND count(*) FILTER (dy < -5) >= 2")
@@ -320,7 +324,7 @@ def a21_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, arg_min(value, event_id) FILTER (value > 20) AS first_value FROM events GROUP BY 1")
 def a22_first_known(spark: SparkSession, sf: str) -> DataFrame:
     v = F.when(F.col("value") > 20, F.col("value"))
-    return t(spark, sf, "events").groupBy("user_id").agg(F.min_by(v, F.when(v.isNotNull(), F.col("event_id"))).alias("first_value"))
+    return versions.first_known(t(spark, sf, "events"), ["user_id"], v, "event_id", "first_value")
 
 
 @query(f"WITH {SERIES}, g AS (SELECT page_index % 10 AS pdf, list_sort(list(n), 'DESC') AS c, sum(n) AS total FROM s GROUP BY page_index), k AS (SELECT pdf, unnest(c) AS n FROM g WHERE len(c) >= 2 AND total >= 24 AND c[1] - c[len(c)] <= 0.15 * list_sort(c)[len(c) // 2 + 1]) SELECT pdf, string_agg(n, ',' ORDER BY n DESC) AS counts FROM k GROUP BY 1")
@@ -352,8 +356,8 @@ def w6_without_text_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id, axis, pixel FROM (SELECT user_id, event_type AS axis, value AS pixel, count(DISTINCT value) OVER (PARTITION BY user_id, event_type) AS k FROM (SELECT DISTINCT user_id, event_type, value FROM events)) WHERE k >= 3")
 def l5_ticks(spark: SparkSession, sf: str) -> DataFrame:
-    ticks = t(spark, sf, "events").select("user_id", F.col("event_type").alias("axis"), F.col("value").alias("pixel")).distinct()
-    return ticks.withColumn("k", F.count("*").over(Window.partitionBy("user_id", "axis"))).filter("k >= 3").drop("k").orderBy("user_id", "axis", "pixel")
+    ticks = t(spark, sf, "events").select("user_id", F.col("event_type").alias("axis"), F.col("value").alias("pixel"))
+    return curves.enough_ticks(ticks, ["user_id", "axis"]).orderBy("user_id", "axis", "pixel")
 
 
 # --- scalar functions ---
@@ -532,7 +536,7 @@ def t1_incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT conv_id, count(*) AS calls, sum(length(text))::BIGINT AS input_tokens, sum(CASE WHEN role = 'user' THEN 0 ELSE length(text) END)::BIGINT AS output_tokens FROM conversations GROUP BY 1")
 def a19_usage_sums(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length("text")
-    return t(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("calls"), F.sum(n).alias("input_tokens"), F.sum(F.when(F.col("role") == "user", 0).otherwise(n)).alias("output_tokens"))
+    return versions.usage_sums(t(spark, sf, "conversations"), ["conv_id"], {"input_tokens": n, "output_tokens": F.when(F.col("role") == "user", 0).otherwise(n)})
 
 
 @query("SELECT l_orderkey AS page, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS ambiguous FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'N') > 0.3 * count(*)")
@@ -554,7 +558,7 @@ def p16_short_segments(spark: SparkSession, sf: str) -> DataFrame:
     return curves.short_segments(lines).select("l_orderkey", "l_partkey", "l_linenumber")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' THEN '[RED-flag override] ' || coalesce(nullif(o_orderpriority, '5-LOW'), 'approved despite red QA flags') ELSE nullif(o_orderpriority, '5-LOW') END AS note FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' THEN '[RED-flag override] ' || coalesce(nullif(o_orderpriority, '5-LOW'), 'no reason given') ELSE nullif(o_orderpriority, '5-LOW') END AS note FROM orders")
 def x3_approval_notes(spark: SparkSession, sf: str) -> DataFrame:
     note = F.nullif("o_orderpriority", F.lit("5-LOW"))
     return t(spark, sf, "orders").select("o_orderkey", versions.approval_note(note, F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "1-URGENT").alias("note"))
@@ -565,3 +569,232 @@ def f29_between_ticks(spark: SparkSession, sf: str) -> DataFrame:
     ticks = spark.range(6).select(F.lit(1).alias("axis"), (F.col("id") * 100.0).alias("tick"), F.pow(F.col("id").cast("double"), F.lit(2.0)).alias("value"))
     pixels = t(spark, sf, "events").select("event_id", F.lit(1).alias("axis"), F.col("value").alias("pixel"))
     return chem.between_ticks(pixels, ticks, ["axis"]).select("event_id", F.round("value", 9).alias("value"))
+
+
+# --- quality rules over measurements: runs are users, elements are event types ---
+
+MEASURED = "m AS (SELECT user_id AS run, event_id AS row_ord, event_type AS element, (event_id % 140) / 10.0 AS ph, value AS extract_pct, (event_id % 3) * 100.0 AS extractant_mm, CASE event_id % 5 WHEN 0 THEN 'acidic' WHEN 1 THEN ' Neutral ' WHEN 2 THEN 'ionic liquid' WHEN 3 THEN 'Carrier-' || event_type END AS extractant_type FROM events)"
+
+
+def measured(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    kind = F.when(k % 5 == 0, "acidic").when(k % 5 == 1, " Neutral ").when(k % 5 == 2, "ionic liquid").when(k % 5 == 3, F.concat(F.lit("Carrier-"), "event_type"))
+    cells = {"element": F.col("event_type"), "ph": (k % 140) / 10.0, "extract_pct": F.col("value"), "extractant_mm": (k % 3) * 100.0, "extractant_type": kind}
+    return conform(t(spark, sf, "events").select("*", F.col("user_id").alias("run"), k.alias("row_ord"), *[c.alias(n) for n, c in cells.items()]), keep=("run", "row_ord"))
+
+
+@query("SELECT user_id AS run, 'schema_conformance' AS rule, CASE WHEN count(*) FILTER (value > 30) = 0 THEN 0 ELSE count(*) FILTER (value > 60) END AS n, CASE WHEN count(*) FILTER (value > 30) = 0 THEN 'no rows' ELSE 'cells that are no numbers' END AS detail FROM events GROUP BY 1 HAVING count(*) FILTER (value > 30) = 0 OR count(*) FILTER (value > 60) > 0")
+def c_schema_rule(spark: SparkSession, sf: str) -> DataFrame:
+    counted = t(spark, sf, "events").groupBy(F.col("user_id").alias("run")).agg(F.count_if(F.col("value") > 30).alias("n_rows"), F.count_if(F.col("value") > 60).alias("coercion_failures"))
+    return qa.schema_conformance(counted, ("run",)).select("run", "rule", "n", "detail")
+
+
+@query(f"WITH {MEASURED} SELECT run, 'axis_bounds' AS rule, c AS subject, count(*) AS n FROM (SELECT run, 'extract_pct' AS c, extract_pct AS v, 0 AS lo, 100 AS hi FROM m UNION ALL SELECT run, 'ph', ph, -1, 14 FROM m) WHERE v < lo OR v > hi GROUP BY 1, 3")
+def c_axis_rule(spark: SparkSession, sf: str) -> DataFrame:
+    return qa.axis_bounds(measured(spark, sf), ("run",)).select("run", "rule", "subject", "n")
+
+
+@query(f"WITH {MEASURED}, d AS (SELECT *, extract_pct - lag(extract_pct) OVER (PARTITION BY run, element, extractant_mm ORDER BY ph, row_ord) AS dy FROM m) SELECT run, 'monotonicity' AS rule, element AS subject, count(*) FILTER (abs(dy) > 5) AS n FROM d GROUP BY run, element, extractant_mm HAVING count(*) >= 4 AND count(*) FILTER (dy > 5) >= 2 AND count(*) FILTER (dy < -5) >= 2")
+def c_monotonicity_rule(spark: SparkSession, sf: str) -> DataFrame:
+    return qa.monotonicity(measured(spark, sf), ("run",)).select("run", "rule", "subject", "n")
+
+
+@query(f"WITH {MEASURED}, v AS (SELECT run, extractant_type AS value, min(row_ord) AS first FROM m WHERE trim(extractant_type) <> '' AND lower(trim(extractant_type)) NOT IN ('acidic', 'basic', 'neutral', 'solvating', 'chelating', 'cation exchanger', 'anion exchanger') GROUP BY 1, 2) SELECT run, 'vocabulary' AS rule, 'extractant_type' AS subject, count(*) AS n, string_agg(value, ', ' ORDER BY first) AS detail FROM v GROUP BY 1")
+def c_vocabulary_rule(spark: SparkSession, sf: str) -> DataFrame:
+    return qa.vocabulary(measured(spark, sf), ("run",)).select("run", "rule", "subject", "n", "detail")
+
+
+@query(f"""WITH {MEASURED}, e AS (SELECT event_id AS ep, user_id AS run, CASE event_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN 'v.ew' ELSE 'none' END AS wanted, (event_id % 140) / 10.0 + 0.25 AS x0, value * 0.9 AS y0 FROM events WHERE event_id % 20 = 0),
+p AS (SELECT e.*, abs(ph - x0) AS dx, abs(extract_pct - y0) AS dy, regexp_matches(element, wanted, 'i') AS fits FROM e JOIN m USING (run)), q AS (SELECT *, bool_or(fits) OVER (PARTITION BY ep) AS any_fits FROM p),
+w AS (SELECT *, min(dx) OVER (PARTITION BY ep) AS least FROM q WHERE fits OR NOT any_fits),
+b AS (SELECT run, ep, least > 0.3 AS far, min(dy) AS dy FROM w WHERE least > 0.3 OR dx <= 0.3 GROUP BY ALL)
+SELECT run, 'text_endpoint_cross_check' AS rule, ep AS n, CASE WHEN far THEN 'truncated curve' ELSE 'off' END AS detail FROM b WHERE far OR dy > 10""")
+def c_endpoint_rule(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    wanted = F.when(k % 3 == 0, F.upper("event_type")).when(k % 3 == 1, "v.ew").otherwise("none")
+    stated = t(spark, sf, "events").filter(k % 20 == 0).select(F.col("user_id").alias("run"), k.alias("endpoint_ord"), wanted.alias("element"), ((k % 140) / 10.0 + 0.25).alias("x_value"), F.lit("pH").alias("x_basis"), (F.col("value") * 0.9).alias("y_value"), F.lit("Extract%").alias("y_metric"))
+    return qa.text_endpoints(measured(spark, sf), stated, ("run",)).select("run", "rule", "n", F.when(F.col("detail") == "truncated curve", F.col("detail")).otherwise("off").alias("detail"))
+
+
+@query("WITH g AS (SELECT user_id AS run, event_type, count(*) AS n FROM events GROUP BY 1, 2), k AS (SELECT run, n + 4 AS n, row_number() OVER (PARTITION BY run ORDER BY n DESC) AS rank FROM g), s AS (SELECT run, n, row_number() OVER (PARTITION BY run ORDER BY n DESC) AS rank FROM g WHERE event_type <> 'view') SELECT k.run, 'deterministic_curve_count' AS rule, count(*) AS n FROM k LEFT JOIN s USING (run, rank) WHERE coalesce(s.n, 0) < 0.8 * k.n GROUP BY 1")
+def c_curve_count_rule(spark: SparkSession, sf: str) -> DataFrame:
+    known = t(spark, sf, "events").groupBy(F.col("user_id").alias("run"), "event_type").agg((F.count("*") + 4).alias("n")).select("run", "n")
+    return qa.curve_counts(measured(spark, sf).filter("element <> 'view'"), known, ("run",)).select("run", "rule", "n")
+
+
+@query(f"WITH {MEASURED}, f AS (SELECT run, element, count(*) AS n FROM m GROUP BY 1, 2 HAVING count(*) < 8) SELECT run, element AS subject, n FROM f")
+def f8_report_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """The flags of a run's stored report, read again."""
+    rows_ = measured(spark, sf)
+    told = qa.verdicts(rows_.select("run").distinct(), qa.row_count_sanity(rows_, ("run",)), ("run",))
+    return told.select("run", F.explode(qa.read_report(F.col("report"))).alias("f")).select("run", "f.subject", "f.n")
+
+
+# --- the contract, responses, files ---
+
+
+@query("SELECT p_partkey, p_brand AS element, CASE WHEN p_size % 2 = 0 THEN p_size::DOUBLE END AS ph, p_retailprice AS extractant_mm, 0 AS rest FROM part")
+def p1_conform(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns by display name, internal name, and not of the contract, to the 26 columns in order."""
+    cells = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("n/a")
+    given = t(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("Rare Earth Elements (REY:La, Ce, Nd)"), cells.alias("pH"), F.col("p_retailprice").alias("extractant_mm"), "p_name")
+    told = conform(given, keep=("p_partkey",))
+    others = [F.col(n).isNotNull().cast("int") for n in NAMES if n not in ("element", "ph", "extractant_mm")]
+    return told.select("p_partkey", "element", "ph", "extractant_mm", reduce(add, others).alias("rest"))
+
+
+@query("SELECT event_id::VARCHAR AS custom_id, CASE event_id % 4 WHEN 1 THEN 'positional rows without columns' WHEN 2 THEN 'row length differs from columns' WHEN 3 THEN 'columns differ from the contract' END AS error, CASE WHEN event_id % 4 = 0 THEN value END AS ph, CASE WHEN event_id % 4 = 0 THEN 'D2EHPA' END AS extractant FROM events")
+def f7_positional_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows as arrays in the order of a column list that is the contract reversed, and three faults of that form."""
+    names = [d for _, d, _ in CONTRACT][::-1]
+    listed = json.dumps(names)
+    cells = F.concat_ws(",", *[F.col("value").cast("string") if n == "pH" else F.lit('"D2EHPA"' if n == "Extractant" else "null") for n in names])
+    k = F.col("event_id")
+    columns = F.when(k % 4 == 1, "5").when(k % 4 == 3, listed.replace('"pH"', '"PH"')).otherwise(listed)
+    body = F.concat(F.lit('{"columns": '), columns, F.lit(', "rows": [['), cells, F.when(k % 4 == 2, ', "more"').otherwise(""), F.lit("]]}"))
+    said = t(spark, sf, "events").select(k.cast("string").alias("custom_id"), body.alias("raw_text"))
+    said = said.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # the table is one small file, and parsing is work
+    found, _, summary = parse(said)
+    return summary.select("custom_id", "error").join(found.select("custom_id", "ph", "extractant"), "custom_id", "left")
+
+
+@query("SELECT r_name AS prompt_version, sha256('Use {rows} of ' || r_name) AS prompt_sha256 FROM region")
+def s9_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    base = files.workspace(spark, "prompts")
+    for r in t(spark, sf, "region").collect():  # five rows
+        files.write_text(spark, f"{base}/{r.r_name}.md", f"Use {{rows}} of {r.r_name}")
+    return files.prompts(spark, base, "{rows}").select("prompt_version", F.sha2("text", 256).alias("prompt_sha256"))
+
+
+@query("SELECT sha256('%PDF ' || (r_regionkey // 2)) AS content_sha256, count(*) AS copies, length('%PDF ' || (r_regionkey // 2)) AS length FROM region GROUP BY r_regionkey // 2")
+def s6_pdfs(spark: SparkSession, sf: str) -> DataFrame:
+    """Five files of three contents, in two folders."""
+    base = files.workspace(spark, "pdfs")
+    regions = t(spark, sf, "region").collect()  # five rows
+    for r in regions:
+        files.write_text(spark, f"{base}/{r.r_regionkey % 2}/{r.r_name}.pdf", f"%PDF {r.r_regionkey // 2}")
+    files.write_text(spark, f"{base}/0/notes.txt", "not a PDF")
+    copies = spark.createDataFrame([(f"%PDF {r.r_regionkey // 2}",) for r in regions], "text string").groupBy(F.sha2("text", 256).alias("content_sha256")).agg(F.count("*").alias("copies"))
+    return files.pdfs(spark, base).join(copies, "content_sha256").select("content_sha256", "copies", F.col("length").cast("int").alias("length"))
+
+
+@query("SELECT n_name AS Extractant, n_nationkey::DOUBLE AS \"pH\" FROM nation")
+def s19_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows as a CSV file and as JSON lines under display names, read again and joined."""
+    base = files.workspace(spark, "exports")
+    given = t(spark, sf, "nation").select(F.col("n_name").alias("extractant"), F.col("n_nationkey").cast("double").alias("ph"))
+    files.export_csv(given, f"{base}/csv")
+    files.export_json(given, f"{base}/json")
+    return spark.read.option("header", "true").csv(f"{base}/csv").select("Extractant").join(spark.read.json(f"{base}/json"), "Extractant")
+
+
+@query("SELECT r_name AS item_id, r_regionkey::DOUBLE AS note FROM region WHERE r_regionkey <> 3")
+def s10_restored_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Staged items after a restart: one whose rows are gone is dropped, a corrupt sidecar is skipped."""
+    from solvlake.plans.review import Staging
+
+    staging = Staging(spark, files.workspace(spark, "staging"))
+    for r in t(spark, sf, "region").collect():  # five rows
+        staging.stage(r.r_name.replace(" ", "_"), spark.range(2), {"note": float(r.r_regionkey), "name": r.r_name})
+        if r.r_regionkey == 3:
+            files.delete(spark, f"{staging.path}/rows/{r.r_name.replace(' ', '_')}")
+    files.write_text(spark, f"{staging.path}/meta/bad.json", '{"note": ')
+    return staging.restore("name string, note double").select(F.col("name").alias("item_id"), "note")
+
+
+@query("SELECT * FROM (VALUES (1, 'approved'), (2, 'pending'), (3, 'rejected')) v(prompt_run_id, status)")
+def s15_run_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """One committed extraction, and two runs that were recorded as pending, one of which was rejected."""
+    from solvlake.plans.store import Store
+
+    store = Store(spark, files.workspace(spark, "store"))
+    rows_ = conform(t(spark, sf, "region").select(F.col("r_name").alias("element"), F.col("r_regionkey").alias("row_ord")), keep=("row_ord",))
+    paper = store.commit_extraction(rows_, content_sha256="one", pdf_path="one.pdf", prompt_version="extraction_v5")["paper_id"]
+    store.insert_run(paper, prompt_version="extraction_v6")
+    store.set_status(store.insert_run(paper, prompt_version="extraction_v7"), "rejected")
+    return store.runs().select(F.col("prompt_run_id").cast("int").alias("prompt_run_id"), "status")
+
+
+@query("WITH d AS (SELECT doc_id, sha256(text) AS sha, '10.' || (1000 + doc_id // 2) || '/x' AS doi, n_chars FROM documents), k AS (SELECT doc_id AS paper_id, sha, doi FROM d WHERE n_chars > 2000), u AS (SELECT sha, min(doi) AS doi, count(*) AS n_pages FROM d GROUP BY 1), h AS (SELECT sha, min(paper_id) AS i FROM k GROUP BY 1), o AS (SELECT doi, min(paper_id) AS i FROM k GROUP BY 1) SELECT u.sha AS content_sha256, u.doi, u.n_pages, 1::INT AS is_raster_figure, CASE WHEN coalesce(h.i, o.i) IS NULL THEN 'new' ELSE 'existing (paper_id=' || coalesce(h.i, o.i) || ')' END AS status FROM u LEFT JOIN h USING (sha) LEFT JOIN o ON o.doi = u.doi")
+def x1_previews(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as uploads; each row of one content is one of its pages, and names a DOI in its metadata."""
+    from solvlake.plans.review import preview
+
+    doi = F.concat(F.lit("10."), (F.floor(F.col("doc_id") / 2) + 1000).cast("string"), F.lit("/x"))
+    docs = t(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", "n_chars", F.sha2("text", 256).alias("content_sha256"), doi.alias("own"))
+    # ids grow by page, so the first page's DOI is the least
+    pages = docs.select("content_sha256", F.col("doc_id").alias("page_index"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("doi:"), "own").alias("meta"), F.lit(None).cast("string").alias("title"), F.lit(True).alias("has_image"), F.lit(False).alias("has_text"))
+    known = docs.filter("n_chars > 2000").select(F.col("doc_id").alias("paper_id"), "content_sha256", F.col("own").alias("doi"))
+    uploads = docs.groupBy("content_sha256").agg(F.min("doc_id").cast("string").alias("path"))
+    return preview(uploads, pages, known).select("content_sha256", "doi", "n_pages", "is_raster_figure", "status")
+
+
+# --- ad-hoc SQL ---
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_acctbal > 9990")
+def d1_set_operations(spark: SparkSession, sf: str) -> DataFrame:
+    return guard.guarded(spark, "SELECT c_custkey FROM papers WHERE c_mktsegment = 'BUILDING' EXCEPT SELECT o_custkey FROM prompt_runs WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM papers WHERE c_acctbal > 9990", {"papers": t(spark, sf, "customer"), "prompt_runs": t(spark, sf, "orders")}, limit=1_000_000)
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place, sum(o_totalprice) OVER (PARTITION BY o_custkey) > 400000 AS large FROM orders")
+def d1_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return guard.guarded(spark, "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place, sum(o_totalprice) OVER (PARTITION BY o_custkey) > 400000 AS large FROM prompt_runs", {"prompt_runs": t(spark, sf, "orders")}, limit=100_000_000)
+
+
+@query("SELECT o_custkey AS paper_id, o_orderkey AS prompt_run_id, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey = 7")
+def p5_history_of_one(spark: SparkSession, sf: str) -> DataFrame:
+    papers = t(spark, sf, "customer").select(F.col("c_custkey").alias("paper_id"), "c_name")
+    return versions.history(runs(spark, sf), papers, "prompt_run_id", only=7).select("paper_id", "prompt_run_id", "c_name")
+
+
+# --- figures: users are pages, event types are colours; x is the event's number, y its value ---
+
+_RED = "CASE event_type WHEN 'click' THEN '#ff0000' WHEN 'view' THEN '#00ff00' WHEN 'purchase' THEN '#0000ff' ELSE '#000000' END"
+FIGURES = f"p AS (SELECT user_id, event_id, {_RED} AS colour, event_id / 100.0 AS data_x, 50 - value / 20 AS data_y FROM events), n AS (SELECT user_id, colour, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 3)"
+
+
+def page_objects(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Objects and words of vector pages, and no images: markers of 5 x 6 points, a frame, and three numbers on
+    each axis."""
+    events = t(spark, sf, "events")
+    x, y = F.col("event_id").cast("double"), F.col("value")
+    channel = lambda kind: F.when(F.col("event_type") == kind, 1.0).otherwise(0.0)
+    box = lambda a, b, w, h: [(a - w / 2).alias("x0"), (a + w / 2).alias("x1"), (b - h / 2).alias("top"), (b + h / 2).alias("bottom"), F.lit(float(w)).alias("width"), F.lit(float(h)).alias("height")]
+    marks = events.select("user_id", F.col("event_id").alias("object_id"), F.lit("curve").alias("kind"), F.lit(True).alias("fill"), channel("click").alias("r"), channel("view").alias("g"), channel("purchase").alias("b"), *box(x, y, 5, 6))
+    pages = events.select("user_id").distinct()
+    frame = pages.select("user_id", F.lit(-1).cast("long").alias("object_id"), F.lit("rect").alias("kind"), F.lit(False).alias("fill"), *[F.lit(None).cast("double").alias(c) for c in "rgb"], F.lit(0.0).alias("x0"), F.lit(1e6).alias("x1"), F.lit(0.0).alias("top"), F.lit(1000.0).alias("bottom"), F.lit(1e6).alias("width"), F.lit(1000.0).alias("height"))
+    word = lambda text, a, b: F.struct(F.lit(text).alias("text"), *[c for c in box(F.lit(float(a)), F.lit(float(b)), 4, 4)[:4]])
+    numbers = [word(str(k), 100 * k, 1010) for k in (1, 4, 9)] + [word(str(v), -20, 1000 - 20 * v) for v in (5, 20, 45)]
+    return marks.unionByName(frame), pages.select("user_id", F.explode(F.array(*numbers)).alias("w")).select("user_id", "w.*"), pages.select("user_id", F.lit(0).alias("height"), F.lit(0).alias("width"), F.lit(b"").alias("pixels")).limit(0)
+
+
+@query(f"WITH {FIGURES} SELECT user_id, colour AS group_key, round(data_x, 6) AS data_x, round(data_y, 6) AS data_y, true AS calibrated FROM p JOIN n USING (user_id, colour)")
+def e3_vector_figures(spark: SparkSession, sf: str) -> DataFrame:
+    found = figures.extract(*page_objects(spark, sf), ["user_id"])
+    return found.markers.select("user_id", "group_key", F.round("data_x", 6).alias("data_x"), F.round("data_y", 6).alias("data_y"), "calibrated")
+
+
+@query(f"WITH {FIGURES}, m AS (SELECT *, median(n) OVER (PARTITION BY user_id) AS median, count(*) OVER (PARTITION BY user_id) AS k FROM n) SELECT user_id, 'series ' || colour || ' has ' || n || ' markers where the median is ' || floor(median)::BIGINT AS warning FROM m WHERE k >= 3 AND n < 0.6 * median")
+def e3_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return figures.extract(*page_objects(spark, sf), ["user_id"]).warnings
+
+
+@query(f"WITH {FIGURES}, g AS (SELECT user_id, list_sort(list(n), 'DESC') AS c FROM n GROUP BY 1), ok AS (SELECT user_id FROM g WHERE len(c) >= 2 AND list_sum(c) >= 24 AND c[1] - c[len(c)] <= 0.15 * list_sort(c)[len(c) // 2 + 1]) SELECT user_id AS page_index, colour AS group_key, count(*) AS n, round(sum(data_x), 4) AS x_sum FROM p JOIN n USING (user_id, colour) WHERE user_id IN (SELECT user_id FROM ok) GROUP BY 1, 2")
+def e14_confident_points(spark: SparkSession, sf: str) -> DataFrame:
+    keyed = [df.withColumn("pdf", F.lit(1)).withColumnRenamed("user_id", "page_index") for df in page_objects(spark, sf)]
+    _, found = figures.document_prepass(figures.extract(*keyed, ["pdf", "page_index"]))
+    return found.groupBy("page_index", "group_key").agg(F.count("*").alias("n"), F.round(F.sum("data_x"), 4).alias("x_sum"))
+
+
+@query("SELECT user_id, count(*) FILTER (value > 50) > 0 AS is_vector FROM events GROUP BY 1")
+def p14_vector_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return curves.vector_pages(t(spark, sf, "events").select("user_id", F.lit("curve").alias("kind"), (F.col("value") > 50).alias("fill")), ["user_id"])
+
+
+@query("SELECT user_id, string_agg(k::VARCHAR, ',' ORDER BY k) AS counts, 'page ' || user_id AS said FROM (SELECT user_id, event_type, count(*) AS k FROM events GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 2 AND sum(k) >= 24")
+def f22_prompt_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The line that a reader gets for each figure page."""
+    pages = curves.prepass(t(spark, sf, "events").groupBy(F.col("user_id").alias("pdf"), F.col("user_id").alias("page_index"), "event_type").agg(F.count("*").alias("n")))
+    told = pages.select("pdf", "series_counts").join(curves.prompt_block(pages), "pdf")
+    return told.select(F.col("pdf").alias("user_id"), F.array_join(F.transform(F.sort_array("series_counts"), lambda x: x.cast("string")), ",").alias("counts"), F.regexp_extract("block", r"^page \d+", 0).alias("said"))
