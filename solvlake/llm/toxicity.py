@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from solvlake.llm.arrow import add_columns, column, pieces
 from solvlake.llm.decontam import member
 from solvlake.llm.shared import cut
-from solvlake.llm.words import ALNUM, NOT_SPACE, Chunk, byte_class, chunks, mix, powers
+from solvlake.llm.words import ALNUM, NOT_SPACE, Chunk, byte_class, chunks, mix, whole_hashes
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -48,8 +48,9 @@ PRIOR_TEXTS = 6.0
 SIGNIFICANT, LEAST_CHANCE = 4.0, 0.5
 #: A feature stays if in so many toxic texts it has this share of the weightiest feature's ratio at least.
 LEAST_CREDIT, CREDITED = 2, 0.3
-#: Size of the classifier: most features it keeps, by significance.
-MOST_FEATURES = 1 << 18
+#: The classifier is fitted on so many labelled rows, about: all if there are no more, else those whose ids
+#: have the least hashes.
+MOST_LABELLED = 1 << 20
 BEGINNINGS = (4, 5)
 
 #: The letters that a character imitates.
@@ -265,25 +266,18 @@ class Model:
     base: float = 0.0
 
 
-def wholes(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The id and a hash of the whole text of each row; texts that are equal but for A-Z and white space
+def wholes(texts: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """The columns to keep and a hash of the whole text of each row; texts that are equal but for A-Z and white space
     share it, and have the same features."""
 
     def make() -> Callable[[pa.RecordBatch], dict[str, object]]:
         def work(batch: pa.RecordBatch) -> dict[str, object]:
-            out = []
-            for c in chunks(column(batch, text_col), NOT_SPACE, lower=True):
-                words, first = c.word_hashes, c.first_word
-                up, down = powers(len(words) + 1)
-                total = np.zeros(len(words) + 1, dtype=np.uint64)
-                np.cumsum(words * up[:-1], out=total[1:])
-                lead = first[:-1]
-                out.append(mix((total[first[1:]] - total[lead]) * down[lead] + np.diff(first).astype(np.uint64)).view(np.int64))
+            out = [whole_hashes(c).view(np.int64) for c in chunks(column(batch, text_col), NOT_SPACE, lower=True)]
             return {"whole": np.concatenate(out) if out else np.zeros(0, np.int64)}
 
         return work
 
-    return add_columns(texts, [id_col], text_col, make, T.StructType([T.StructField("whole", T.LongType())]))
+    return add_columns(texts, keep, text_col, make, T.StructType([T.StructField("whole", T.LongType())]))
 
 
 def credits(toxic: DataFrame, text_col: str, model: Model, weight: np.ndarray) -> DataFrame:
@@ -312,15 +306,24 @@ def credits(toxic: DataFrame, text_col: str, model: Model, weight: np.ndarray) -
     return toxic.select(text_col).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model:
-    """The character model over all documents and the classifier from the labels that are not held out."""
+def bounded(known: DataFrame, id_col: str, most: int) -> DataFrame:
+    """known, or about `most` of its rows, whichever its hash of the id picks."""
+    n = known.count()
+    return known if n <= most else known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) < int(most / n * 2**32))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", most: int = MOST_LABELLED) -> Model:
+    """The character model over all documents and the classifier from the labels that are not held out, or from about `most` of them."""
     cost = language_model(trigrams(docs, text_col))
-    known = labels.select(labels[id_col].alias("_id"), labels[toxic_col].alias("_toxic")).dropna().filter(F.col("_toxic").isin(0, 1)).filter(~held_out(F.col("_id"))).distinct()
+    named = labels.select(labels[id_col].alias("_id"), labels[toxic_col].alias("_toxic")).dropna().filter(F.col("_toxic").isin(0, 1)).filter(~held_out(F.col("_id"))).distinct()
+    known = bounded(cut(named), "_id", most)
     texts = docs.filter(~held_out(docs[id_col])).select(docs[id_col].alias("_doc"), docs[text_col].alias("_text"))
-    # of the copies of a whole text one teaches, or else what one text says would look like a rule
-    one = wholes(texts, "_doc", "_text").join(known, F.col("_doc") == F.col("_id")).groupBy("whole", "_toxic").agg(F.min("_id").alias("_id"))
+    # of the copies of a whole text one teaches, or else what one text says would look like a rule; the
+    # broadcast has `most` ids at most, so that no text is shuffled
+    taught = texts.join(F.broadcast(known), F.col("_doc") == F.col("_id"))
+    one = wholes(taught, ["_id", "_toxic"], "_text").groupBy("whole", "_toxic").agg(F.min("_id").alias("_id"))
     kept = cut(one.select("_id", "_toxic").distinct())
-    labelled = texts.join(kept, F.col("_doc") == F.col("_id")).select("_text", "_toxic")
+    labelled = texts.join(F.broadcast(kept), F.col("_doc") == F.col("_id")).select("_text", "_toxic")
     overall = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum("_toxic"), F.lit(0)).alias("bad")).first()
     if not overall.bad or overall.bad == overall.n:
         return Model(cost, base=float(overall.bad > 0))
@@ -334,14 +337,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     g2 = 2 * (part(a, b * bad / n) + part(b - a, b * (n - bad) / n) + part(bad - a, (n - b) * bad / n) + part(n - bad - (b - a), (n - b) * (n - bad) / n))
     chance = (a + PRIOR_TEXTS * bad / n) / (b + PRIOR_TEXTS)
     likely = counts.filter(chance >= LEAST_CHANCE).withColumn("g2", g2).filter(F.col("g2") >= SIGNIFICANT + 2 * np.log(max(tried, 1)))
-    rows = likely.orderBy(F.desc("g2"), "feature").limit(MOST_FEATURES).toArrow()
+    rows = likely.toArrow()
     order = np.argsort(rows["feature"].to_numpy().view(np.uint64))
     names = rows["feature"].to_numpy().view(np.uint64)[order]
     chances = ((rows["n_toxic"].to_numpy() + PRIOR_TEXTS * bad / n) / (rows["n"].to_numpy() + PRIOR_TEXTS))[order]
     model = Model(cost, names, chances, bad / n)
     if not len(names):
         return model
-    credited = credits(labelled.filter("_toxic = 1"), "_text", model, rows["g2"].to_numpy()[order]).toArrow()
+    toxic = texts.join(F.broadcast(kept.filter("_toxic = 1")), F.col("_doc") == F.col("_id"))
+    credited = credits(toxic, "_text", model, rows["g2"].to_numpy()[order]).toArrow()
     kept_names = credited.filter(pa.compute.greater_equal(credited["n"], LEAST_CREDIT))["feature"].to_numpy().view(np.uint64)
     at = np.flatnonzero(np.isin(names, kept_names))
     return Model(cost, names[at], chances[at], bad / n)
@@ -366,7 +370,7 @@ def score_chunk(model: Model, c: Chunk, plain: Chunk, decoder: Decoder) -> np.nd
 
 def score(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """The id columns, score and prediction of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # K**3 costs and MOST_FEATURES features at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # K**3 costs and the significant features of MOST_LABELLED texts
 
     def make() -> Callable[[pa.RecordBatch], dict[str, object]]:
         decoder = Decoder(shared.value.cost)

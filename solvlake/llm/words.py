@@ -186,3 +186,13 @@ def inside(first_word: np.ndarray, n_words: int, size: int) -> np.ndarray:
     counts = np.diff(first_word)
     end = np.repeat(first_word[1:], counts)
     return end[:n] - np.arange(n) >= size
+
+
+def whole_hashes(c: Chunk) -> np.ndarray:
+    """A hash of each text's words; texts of a chunk that was lower-cased share it if they are equal but for
+    A-Z and what stands between words."""
+    words, first = c.word_hashes, c.first_word
+    up, down = powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * up[:-1], out=total[1:])
+    return mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(np.uint64))

@@ -97,7 +97,7 @@ def test_only_whole_copies_teach_once(spark):
     texts = [f"so it goes {PLAIN[i % 16]} {'moron' if i % 2 else 'store'} {i} {i * i}" for i in range(40)]
     docs = [(i, x, "en", "s", 1) for i, x in enumerate(texts)] + [(100 + i, x.upper().replace(" ", "\n "), "en", "s", 1) for i, x in enumerate(texts)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n long")
-    got = toxicity.wholes(df, "doc_id", "text").toPandas().set_index("doc_id").whole
+    got = toxicity.wholes(df, ["doc_id"], "text").toPandas().set_index("doc_id").whole
     assert got.nunique() == 40 and all(got[i] == got[100 + i] for i in range(40))
     labels = [(i, 1, i % 2, "x") for i, *_ in docs if zlib.crc32(str(i).encode()) % 4 != 2]
     taught = {i % 100 for i, *_ in labels}
