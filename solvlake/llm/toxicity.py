@@ -6,7 +6,7 @@ nothing; a run may be one or two letters or all of them; spaced letters may be o
 Viterbi search takes the path that a trigram character model of the whole corpus and the channel's
 costs like best. The restored words are scored together with the text's own words.
 
-A word's features are itself and its four- and five-byte beginnings. Over the labelled rows of the
+A word's features are itself and its beginnings of four to eight bytes. Over the labelled rows of the
 training folds, a feature that is significantly commoner in toxic texts gets the share of toxic texts
 among those that hold it, drawn towards the overall share; a text's score is the chance that at least
 one of its words is toxic.
@@ -42,16 +42,17 @@ from solvlake.llm.words import ALNUM, NOT_SPACE, Chunk, byte_class, chunks, mix,
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Texts that stand for the overall share when a feature's share is estimated.
-PRIOR_TEXTS = 6.0
-#: Least log-likelihood ratio (G squared) of a feature, besides twice the log of the number of features
-#: tried (the largest ratio that so many features reach by chance grows so), and its least chance.
-SIGNIFICANT, LEAST_CHANCE = 4.0, 0.5
+PRIOR_TEXTS = 1.0
+#: Log-likelihood ratio (G squared) that a feature may stay below twice the log of the number of features
+#: tried, which is about the largest that so many reach by chance (so about one of them may be chance); and
+#: a feature's least chance.
+SLACK, LEAST_CHANCE = 4.0, 0.8
 #: A feature stays if in so many toxic texts it has this share of the weightiest feature's ratio at least.
 LEAST_CREDIT, CREDITED = 2, 0.3
 #: The classifier is fitted on so many labelled rows, about: all if there are no more, else those whose ids
 #: have the least hashes.
 MOST_LABELLED = 1 << 20
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7, 8)
 
 #: The letters that a character imitates.
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t"}
@@ -336,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g2 = 2 * (part(a, b * bad / n) + part(b - a, b * (n - bad) / n) + part(bad - a, (n - b) * bad / n) + part(n - bad - (b - a), (n - b) * (n - bad) / n))
     chance = (a + PRIOR_TEXTS * bad / n) / (b + PRIOR_TEXTS)
-    likely = counts.filter(chance >= LEAST_CHANCE).withColumn("g2", g2).filter(F.col("g2") >= SIGNIFICANT + 2 * np.log(max(tried, 1)))
+    likely = counts.filter(chance >= LEAST_CHANCE).withColumn("g2", g2).filter(F.col("g2") >= 2 * np.log(max(tried, 1)) - SLACK)
     rows = likely.toArrow()
     order = np.argsort(rows["feature"].to_numpy().view(np.uint64))
     names = rows["feature"].to_numpy().view(np.uint64)[order]

@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -139,3 +142,64 @@ def test_a_long_reading_is_the_cheapest_path(cost):
 
     for said, spaced in (("m0r0n1d!0ttr45h" * 9, True), ("0" * 70 + "m0ron" * 20, False), ("", False), ("$a$", True)):
         assert toxicity.decode(said, cost, spaced) == copied(said, spaced)
+
+
+def plain_scores(docs, labels):
+    """Features, their ratios and chances, credits and scores in loops over strings; for texts without disguise."""
+    def features(text):
+        out = []
+        for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower()):
+            b = w.encode()
+            out.append([("word", b)] + [("beginning", b[:k]) for k in toxicity.BEGINNINGS if len(b) > k])
+        return out
+
+    texts, one = {i: t for i, t, *_ in docs}, {}
+    for i, _, toxic, _ in labels:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            key = (tuple(texts[i].lower().split()), toxic)
+            one[key] = min(i, one.get(key, i))
+    taught = [(i, toxic) for (_, toxic), i in one.items()]
+    n, bad = len(taught), sum(y for _, y in taught)
+    has = {i: {f for w in features(texts[i]) for f in w} for i, _ in taught}
+    a, b = Counter(f for i, y in taught if y for f in has[i]), Counter(f for i, _ in taught for f in has[i])
+    tried = sum(v > 1 for v in b.values())
+    part = lambda x, e: x * math.log(x / e) if x > 0 else 0.0
+    model = {}
+    for f, k in b.items():
+        g2 = 2 * (part(a[f], k * bad / n) + part(k - a[f], k * (n - bad) / n) + part(bad - a[f], (n - k) * bad / n) + part(n - bad - k + a[f], (n - k) * (n - bad) / n))
+        chance = (a[f] + toxicity.PRIOR_TEXTS * bad / n) / (k + toxicity.PRIOR_TEXTS)
+        if k > 1 and chance >= toxicity.LEAST_CHANCE and g2 >= 2 * math.log(tried) - toxicity.SLACK:
+            model[f] = (chance, g2)
+    credit = Counter()
+    for i, y in taught:
+        own = has[i] & set(model)
+        if y and own:
+            most = max(model[f][1] for f in own)
+            credit.update(f for f in own if model[f][1] >= toxicity.CREDITED * most)
+    model = {f: c for f, (c, _) in model.items() if credit[f] >= toxicity.LEAST_CREDIT}
+    for i, text, *_ in docs:
+        left = {}
+        for w in features(text):
+            best = max((model.get(f, 0.0) for f in w), default=0.0)
+            if best > bad / n:
+                left[w[0]] = 1 - min(best, 1 - 1e-9)
+        yield i, 1 - math.prod(left.values()) if model else bad / n
+
+
+def test_scores_against_brute_force(spark):
+    docs, labels = make(300)
+    plain = [(i, re.sub(r"[^a-z ]", "", re.sub(r"(.)\1\1+", r"\1", t.lower())), *rest) for i, t, *rest in docs]
+    plain = [(i, " ".join(w for w in t.split() if len(w) > 1), *rest) for i, t, *rest in plain]
+    df = spark.createDataFrame(plain, "doc_id long, text string, lang string, source string, n long")
+    got = {r.doc_id: r.score for r in toxicity.assess(df, spark.createDataFrame(labels, LABELS)).collect()}
+    want = dict(plain_scores(plain, labels))
+    assert len({round(x, 6) for x in want.values()}) > 2
+    for i, score in want.items():
+        assert abs(got[i] - score) < 1e-9
+
+
+def test_a_bound_on_labelled_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "_id long, _toxic int")
+    assert toxicity.bounded(labels, "_id", 4000).count() == 4000
+    some = toxicity.bounded(labels, "_id", 1000)
+    assert 850 < some.count() < 1150 and sorted(some.collect()) == sorted(toxicity.bounded(labels.repartition(7), "_id", 1000).collect())
