@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; one of our own only where it is unset."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_to:
-        set_to = f"file://{tempfile.gettempdir()}/solvlake-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to
+from solvlake.sources.files import shared_folder, workspace
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder; its lineage ends there."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(folder(df.sparkSession))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def place(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return workspace(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

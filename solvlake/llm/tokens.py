@@ -4,7 +4,9 @@ A change is an insert, a delete, or a revision of a document (its old and its ne
 counted with a tokenizer and become signed deltas by source, language and tokenizer version; totals
 are the sums of all committed deltas, so nothing is ever counted twice or updated in place. A batch is
 committed under its id: its delta is written to a folder of its own and becomes visible with a marker
-that names it, so a batch that is run again, whole or after a crash, changes nothing.
+that names it. The marker is renamed into place whole, and only if there is none, so a batch that is run
+again counts once: after it was committed it changes nothing, and after a crash at any point before that
+it is committed then. A compacted rollup remembers the batches that its snapshot covers.
 
 Rows and values, case by case:
 - null or empty text: 0 tokens; the document counts. Null source or language: a group of its own.
@@ -17,6 +19,7 @@ Rows and values, case by case:
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvlake.llm.arrow import column, pieces
+from solvlake.sources.files import publish_text
 
 #: Fixed value: how byte-level BPE vocabularies split a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,12 +44,17 @@ def version_of(path: str) -> str:
     return re.sub(r"\.[a-z]+$", "", path.rsplit("/", 1)[-1])
 
 
-def counter(ranks: dict[bytes, int], name: str) -> Callable[[str], int]:
-    """Number of tokens of a text under a byte-level BPE vocabulary."""
+def encoder(ranks: dict[bytes, int], name: str) -> Callable[[str], list[int]]:
+    """Token ids of a text under a byte-level BPE vocabulary."""
     import tiktoken
 
-    encoding = tiktoken.Encoding(name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(encoding.encode_ordinary(text))
+    return tiktoken.Encoding(name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def counter(ranks: dict[bytes, int], name: str) -> Callable[[str], int]:
+    """Number of tokens of a text under a byte-level BPE vocabulary."""
+    encode = encoder(ranks, name)
+    return lambda text: len(encode(text))
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -103,50 +112,46 @@ def delta(changes: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder: deltas/<attempt>/ holds written deltas, commits/<batch>/ the marker of each batch."""
+    """Totals in a folder: deltas/<attempt>/ holds written deltas, commits/<batch>.json the marker of each
+    batch: the name of its delta, and for a snapshot the batches that it covers."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
     def _marker(self, batch: str) -> str:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError("a batch id has letters, digits, _ . - only")
         return f"{self.path}/commits/{batch}.json"
 
+    def _markers(self) -> list[dict]:
+        """A line for each committed batch or snapshot; markers that a dead writer left empty have none."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at) or not fs.listStatus(at):
+            return []
+        return [json.loads(r.value) for r in self.spark.read.text(f"{self.path}/commits").collect() if r.value]
+
+    def batches(self) -> set[str]:
+        """Ids of all batches that count."""
+        return {b for m in self._markers() for b in m["batches"]}
+
     def committed(self, batch: str) -> bool:
-        fs, at = self._fs(self._marker(batch))
-        return fs.exists(at)
+        self._marker(batch)
+        return batch in self.batches()
 
     def commit(self, batch: str, changes: DataFrame, tokenizer: str = TOKENIZER) -> bool:
         """Adds a batch of changes; False, and nothing done, if the batch is there already."""
         if self.committed(batch):
             return False
-        attempt = f"{self.path}/deltas/{batch}-{np.random.default_rng().integers(2**62):x}"
-        delta(changes, tokenizer).write.parquet(attempt)
-        # the marker is created only if absent, so that of two runs of one batch only one counts
-        fs, at = self._fs(self._marker(batch))
-        try:
-            out = fs.create(at, False)
-        except Exception as e:
-            if self.committed(batch):
-                return False
-            raise e
-        out.write(bytearray(attempt.rsplit("/", 1)[-1].encode()))
-        out.close()
-        return True
+        attempt = f"{batch}-{np.random.default_rng().integers(2**62):x}"
+        delta(changes, tokenizer).write.parquet(f"{self.path}/deltas/{attempt}")
+        return publish_text(self.spark, self._marker(batch), json.dumps({"delta": attempt, "batches": [batch]}))
 
     def deltas(self) -> DataFrame:
         """All committed deltas."""
-        fs, at = self._fs(f"{self.path}/commits")
-        if not fs.exists(at) or not fs.listStatus(at):
+        names = [m["delta"] for m in self._markers()]
+        if not names:
             return self.spark.createDataFrame([], DELTA)
-        markers = self.spark.read.text(f"{self.path}/commits")
-        names = [r.value for r in markers.collect()]  # one short line a committed batch
         return self.spark.read.schema(DELTA).parquet(*[f"{self.path}/deltas/{n}" for n in names])
 
     def totals(self) -> DataFrame:
@@ -155,12 +160,12 @@ class Rollup:
         return self.deltas().groupBy(*keys).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self, name: str) -> None:
-        """Replaces nothing in place: commits a snapshot elsewhere, as one delta of the same totals."""
-        target = Rollup(self.spark, name)
-        self.totals().write.parquet(f"{target.path}/deltas/snapshot")
-        fs, at = target._fs(target._marker("snapshot"))
-        out = fs.create(at, False)
-        out.write(bytearray(b"snapshot"))
-        out.close()
-
-
+        """Replaces nothing in place: commits a snapshot in a new folder, as one delta of the same totals
+        that covers the same batches."""
+        target, markers = Rollup(self.spark, name), self._markers()
+        seen = Rollup(self.spark, self.path)
+        seen._markers = lambda: markers
+        attempt = f"snapshot-{np.random.default_rng().integers(2**62):x}"
+        seen.totals().write.parquet(f"{target.path}/deltas/{attempt}")
+        if not publish_text(self.spark, target._marker("snapshot"), json.dumps({"delta": attempt, "batches": sorted({b for m in markers for b in m["batches"]})})):
+            raise FileExistsError(f"{name} has a snapshot already")

@@ -1,6 +1,7 @@
 import pytest
 
 from solvlake.llm import shared, tokens
+from solvlake.sources import files
 from tests.llm.corpus import documents, rows, with_extra
 
 
@@ -32,7 +33,15 @@ def test_inserts_deletes_and_revisions_add_up(spark):
     assert rollup.commit("empty", tokens.inserts(documents(spark, made).limit(0)))
     snapshot = shared.place(spark, "snapshot")
     rollup.compact(snapshot)
-    assert totals(tokens.Rollup(spark, snapshot)) == brute(new + made[20:])
+    after = tokens.Rollup(spark, snapshot)
+    assert totals(after) == brute(new + made[20:])
+    # the snapshot remembers what it covers
+    assert after.batches() == {"one", "two", "three", "empty"}
+    assert not after.commit("three", tokens.inserts(documents(spark, made)))
+    assert after.commit("four", tokens.deletes(documents(spark, made[20:])))
+    assert totals(after) == brute(new)
+    with pytest.raises(FileExistsError):
+        rollup.compact(snapshot)
 
 
 def test_an_unfinished_attempt_does_not_count(spark):
@@ -53,3 +62,24 @@ def test_versions_are_apart_and_bad_input_is_refused(spark):
         rollup.commit("a/b", tokens.inserts(df))
     with pytest.raises(Exception, match="sign 1 or -1"):
         tokens.delta(tokens.inserts(df).selectExpr("2 AS sign", "text", "source", "lang")).count()
+
+
+def test_a_crash_before_or_while_the_marker_is_written(spark):
+    rollup = tokens.Rollup(spark, shared.place(spark, "rollup"))
+    made = rows()
+    marker = rollup._marker("one")
+    files.write_text(spark, marker, "")  # what a writer that died between create and write leaves
+    files.write_text(spark, marker.replace("/one.json", "/.one.json.part"), '{"delta"')  # and one that died while it wrote
+    assert not rollup.committed("one") and totals(rollup) == {}
+    assert rollup.commit("one", tokens.inserts(documents(spark, made)))
+    assert not rollup.commit("one", tokens.inserts(documents(spark, made)))
+    assert totals(rollup) == brute(made)
+
+
+def test_of_two_runs_of_a_batch_one_counts(spark, monkeypatch):
+    rollup = tokens.Rollup(spark, shared.place(spark, "rollup"))
+    made = rows()[:5]
+    rollup.commit("one", tokens.inserts(documents(spark, made)))
+    monkeypatch.setattr(tokens.Rollup, "committed", lambda self, batch: False)  # the other run looked before this one committed
+    assert not rollup.commit("one", tokens.inserts(documents(spark, made)))
+    assert totals(rollup) == brute(made)
