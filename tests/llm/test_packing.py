@@ -6,7 +6,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from solvlake.llm import packing
+from pyspark.sql import Row
+
+from solvlake.llm import packing, tokens
 from tests.llm.corpus import documents, rows, with_extra
 
 
@@ -40,7 +42,7 @@ def test_equals_a_plain_search(pieces):
 
 def test_pieces_cover_every_text_and_bins_hold_no_conflict(spark):
     made = rows()
-    got = packing.pack(documents(spark, made), capacity=128, slots=2, block=16).collect()
+    got = packing.pack(documents(spark, made), capacity=128, slots=2, block=16, tokenizer=None).collect()
     words = Counter()
     for i, text, *_ in made:
         words[i] += len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
@@ -62,6 +64,38 @@ def test_fill_hot_source_and_empty_table(spark):
     rng = random.Random(4)
     made = [(i, "w " * rng.randrange(1, 400), "en", "src0" if i % 3 else f"s{i % 7}", 1) for i in range(600)]
     df = with_extra(spark, made)
-    bins = packing.pack(df, capacity=512).select("bin", "bin_tokens").distinct().toPandas()
+    bins = packing.pack(df, capacity=512, tokenizer=None).select("bin", "bin_tokens").distinct().toPandas()
     assert bins.bin_tokens.mean() > 0.85 * 512
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_the_rows_alone_decide(spark):
+    """However the rows are partitioned, whatever the settings, the same bins come out."""
+    df = documents(spark, rows())
+    want = sorted(map(str, packing.pack(df, capacity=64, block=20).collect()))
+    for parts in (1, 7):
+        assert sorted(map(str, packing.pack(df.repartition(parts), capacity=64, block=20).collect())) == want
+
+
+def test_sequences_give_back_the_texts(spark):
+    made = rows()
+    df = with_extra(spark, made)
+    encode = tokens.encoder(tokens.vocabulary(tokens.TOKENIZER), "x")
+    got = packing.sequences(df, capacity=64, block=20).collect()
+    told = packing.pack(df, capacity=64, block=20).collect()
+    assert sorted(map(str, told)) == sorted(str(Row(**{k: v for k, v in r.asDict().items() if k != "tokens"})) for r in got)
+    for r in got:
+        assert len(r.tokens) == r.n_tokens <= 64
+    by_id = defaultdict(dict)
+    for r in got:
+        by_id[r.doc_id].setdefault(r.piece, r.tokens)
+    for i, text, *_ in made:
+        if i is not None:
+            assert [x for _, p in sorted(by_id[i].items()) for x in p] == encode(text or "")
+    assert packing.sequences(df.limit(0)).count() == 0
+
+
+def test_many_copies_of_a_row_are_dealt_apart(spark):
+    df = documents(spark, [(None, "same text", "en", "s", 1)] * 9000)
+    got = packing.pack(df, block=1000).toPandas()
+    assert len(got) == 9000 and got.bin.nunique() == 9000 and got.bin.str.split("-").str[0].value_counts().max() < 1500
