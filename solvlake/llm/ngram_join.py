@@ -1,11 +1,14 @@
-"""Near-duplicate self-join on word n-grams: MinHash banding, then exact Jaccard verification.
-
-Texts with one n-gram set form a class. Each class has a MinHash signature cut into bands ("trees") of
-one length, the longest at which pairs at the threshold share a band with the target recall; it follows
-from the constants alone. Classes that share a band ("node") are linked to the least class of that node, so a crowded node gives as many links as members and never all its
-pairs. The components of these links are small groups that hold every candidate pair; in each, all
-Jaccard similarities are computed exactly from the n-gram sets. A group of more than `block` classes
-is compared block against block in as many tasks as it needs; pairs are counted, never emitted.
+"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+
+Texts with one n-gram set form a class. Each class has a MinHash signature of `trees` paths, which an LSH
+forest keeps in sorted order (forest.py). Classes are first matched by whole paths. What the exact
+similarities of the pairs found so say about the pairs missed (a pair of similarity s meets at depth k
+with probability 1 - (1 - s^k)^trees) gives the longest prefix that reaches the target recall; matched
+prefixes are shortened to it, but no further than to the depth at which even pairs at the threshold reach
+the recall. The links of the forest join classes into groups that hold every candidate pair; in each, all
+Jaccard similarities are computed exactly from the n-gram sets. A group of more than `block` classes is
+compared block against block in as many tasks as it needs; pairs are counted, never emitted. Shortening
+merges groups, and only merged ones are compared again.
 
 Words are runs of letters and digits (any non-ASCII character counts as a letter), lower-cased in A-Z.
 A text of fewer words than n is one n-gram. Classes go by a 64-bit hash of the n-gram set.
@@ -28,14 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from solvlake.llm.arrow import add_columns, column, pieces
+from solvlake.llm.arrow import add_columns, column, keep_rows, pieces
+from solvlake.llm.bloom import bloom, passing
 from solvlake.llm.components import connected
-from solvlake.llm.shared import cut
+from solvlake.llm.forest import DEPTH, LABEL_BITS, plant
+from solvlake.llm.shared import cut, written
 from solvlake.llm.words import ALNUM, Chunk, chunks, inside, mix, window_hashes
 
 N = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 32, 8
+TREES = 32
 RECALL = 0.99999
 #: Classes compared with each other in one task.
 BLOCK = 1024
@@ -44,14 +49,19 @@ COLUMNS = 4096
 #: A column added on the way; no document has such a name.
 KEY = "__ngram_join_key"
 
-SIGNED = T.StructType([T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-VERIFIED = "cls long, n_links long, n_texts long, root long"
+SIGNED = T.StructType([T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("hi", T.ArrayType(T.LongType())), T.StructField("lo", T.ArrayType(T.LongType()))])
+VERIFIED = "grp long, cls long, n_links long, n_texts long, root long, met array<double>"
+
+
+def meet(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
+    """Probability that a pair shares a node of the depth in one of the trees."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix, shortened from depth, at which pairs at the threshold meet with the recall."""
+    """The longest prefix at which pairs at the threshold meet with the recall: prefixes need not be shorter."""
     for k in range(depth, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
+        if meet(threshold, k, trees) >= recall:
             return k
     raise ValueError("no prefix reaches the recall; more trees are needed")
 
@@ -73,35 +83,54 @@ def ngram_sets(c: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     return text[new], grams[new]
 
 
-def sign(text_col: str, n: int, trees: int, prefix: int) -> Callable[[pa.RecordBatch], dict[str, object]]:
-    seeds = np.random.default_rng(7).integers(0, 2**63, (2, trees * prefix), dtype=np.uint64)
+def sign(text_col: str, n: int, trees: int) -> Callable[[pa.RecordBatch], dict[str, object]]:
+    """Class, size of the n-gram set, and paths of each text; the paths once a task for each class."""
+    seeds = np.random.default_rng(7).integers(0, 2**63, (2, trees * DEPTH), dtype=np.uint64)
     factors, offsets = seeds[0] * np.uint64(2) + np.uint64(1), seeds[1]
+    half, top = DEPTH // 2, np.uint64(64 - LABEL_BITS)
+    seen: set[int] = set()
+
+    def paths(grams: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """Texts x trees x 2: the packed labels."""
+        out = np.zeros((len(lead), trees, 2), dtype=np.uint64)
+        for t in range(trees):
+            for k in range(DEPTH):
+                least = np.minimum.reduceat((grams ^ offsets[t * DEPTH + k]) * factors[t * DEPTH + k], lead)
+                out[:, t, k // half] |= (mix(least) >> top) << (top - np.uint64(LABEL_BITS * (k % half)))
+        return out.view(np.int64)
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
-        cls, size, keys = [], [], []
+        cls, size, row, found, at = [], [], [], [], 0
         for c in chunks(column(batch, text_col), ALNUM, lower=True):
             texts = c.hi - c.lo
             text, grams = ngram_sets(c, n)
             count = np.bincount(text, minlength=texts)
             own = np.zeros(texts, dtype=np.uint64)
-            key = np.zeros((texts, trees), dtype=np.uint64)
             if len(grams):
                 lead = np.flatnonzero(np.diff(text, prepend=-1))
                 have = text[lead]
                 own[have] = mix(np.add.reduceat(mix(grams), lead) + count[have].astype(np.uint64))
-                for t in range(trees):
-                    node = np.full(len(have), t, dtype=np.uint64)
-                    for k in range(t * prefix, (t + 1) * prefix):
-                        node = mix(node) + np.minimum.reduceat((grams ^ offsets[k]) * factors[k], lead)
-                    key[have, t] = mix(node)
+                fresh = [i for i in have.tolist() if not (own[i] in seen or seen.add(own[i]))]
+                if fresh:
+                    some = np.zeros(texts, dtype=bool)
+                    some[fresh] = True
+                    part = some[text]
+                    found.append(paths(grams[part], np.flatnonzero(np.diff(text[part], prepend=-1))))
+                    row.append(np.array(fresh) + at)
             cls.append(own.view(np.int64))
             size.append(count.astype(np.int32))
-            keys.append(key.view(np.int64))
-        if not cls:
-            return {"cls": np.zeros(0, np.int64), "n": np.zeros(0, np.int32), "keys": pa.array([], pa.list_(pa.int64()))}
-        flat = np.concatenate(keys).ravel()
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, trees), pa.int32()), pa.array(flat))
-        return {"cls": np.concatenate(cls), "n": np.concatenate(size), "keys": lists}
+            at += texts
+        places = np.full(at, -1)
+        if row:
+            places[np.concatenate(row)] = np.arange(sum(map(len, row)))
+        flat = np.concatenate(found) if found else np.zeros((0, trees, 2), np.int64)
+        index = pa.array(places, mask=places < 0)
+
+        def lists(half: int) -> pa.Array:
+            return pa.FixedSizeListArray.from_arrays(pa.array(flat[:, :, half].ravel()), trees).cast(pa.list_(pa.int64())).take(index)
+
+        none = np.zeros(0, np.int64)
+        return {"cls": np.concatenate([none, *cls]), "n": np.concatenate([none.astype(np.int32), *size]), "hi": lists(0), "lo": lists(1)}
 
     return work
 
@@ -144,8 +173,10 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def verify(threshold: float) -> Callable[[pa.Table], pa.Table]:
-    """Links of one pair of blocks: a row for each class, with the least class that it is linked to here."""
+def verify(threshold: float, trees: int, floor: int) -> Callable[[pa.Table], pa.Table]:
+    """Links of one pair of blocks: a row for each class, with the least class that it is linked to here, and
+    how many pairs like its linked ones there are (each stands for as many as it had chances not to meet)
+    and meet at each depth from floor on."""
 
     def run(t: pa.Table) -> pa.Table:
         cls, one = np.unique(t["cls"].to_numpy(), return_index=True)
@@ -154,15 +185,30 @@ def verify(threshold: float) -> Callable[[pa.Table], pa.Table]:
         low, high = t["low"][0].as_py(), t["high"][0].as_py()
         n = np.array([len(s) for s in sets])
         if low == high:
-            linked = similar(overlaps(sets, None), n, n, threshold)
+            common = overlaps(sets, None)
+            linked = similar(common, n, n, threshold)
             np.fill_diagonal(linked, False)
         else:
             a, b = np.flatnonzero(side == low), np.flatnonzero(side == high)
-            linked = np.zeros((len(cls), len(cls)), dtype=bool)
+            common = np.zeros((len(cls), len(cls)), dtype=np.int64)
             if len(a) and len(b):
-                linked[np.ix_(a, b)] = similar(overlaps([sets[i] for i in a], [sets[i] for i in b]), n[a], n[b], threshold)
-            linked |= linked.T
-        return pa.table({"cls": cls, "n_links": (linked * size[None, :]).sum(axis=1).astype(np.int64), "n_texts": linked.sum(axis=1).astype(np.int64), "root": cls[roots(linked)]})
+                common[np.ix_(a, b)] = overlaps([sets[i] for i in a], [sets[i] for i in b])
+            common += common.T
+            linked = similar(common, n, n, threshold) & (side[:, None] != side[None, :])
+        i, j = np.nonzero(linked)
+        likeness = common[i, j] / (n[i] + n[j] - common[i, j])
+        weight = 1 / meet(likeness, DEPTH, trees)
+        met = np.stack([np.bincount(i, weights=w, minlength=len(cls)) for w in (weight, *(weight * meet(likeness, k, trees) for k in range(floor, DEPTH + 1)))], axis=1)
+        return pa.table(
+            {
+                "grp": pa.array([t["root"][0].as_py()] * len(cls), pa.int64()),
+                "cls": cls,
+                "n_links": (linked * size[None, :]).sum(axis=1).astype(np.int64),
+                "n_texts": linked.sum(axis=1).astype(np.int64),
+                "root": cls[roots(linked)],
+                "met": pa.FixedSizeListArray.from_arrays(pa.array(met.ravel()), met.shape[1]).cast(pa.list_(pa.float64())),
+            }
+        )
 
     return run
 
@@ -197,29 +243,55 @@ def text_key(text: Column) -> Column:
 class Join:
     """The join of one DataFrame; its steps are kept in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, trees: int, depth: int, recall: float, block: int):
-        prefix = prefix_length(threshold, trees, depth, recall)
-        slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), text_key(docs[text_col]).alias("text_key"))
-        self.slim = slim
-        self.rows = cut(add_columns(slim, ["id", "text_key"], "text", lambda: sign("text", n, trees, prefix), SIGNED))
-        self.classes = self.rows.filter("n > 0").groupBy("cls").agg(F.min(F.struct("id", "text_key")).alias("one"), F.min("id").alias("copy_id"), F.count("*").alias("size"))
-        self.verified = cut(self._verified(self._groups(), n, threshold, block))
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, trees: int, recall: float, block: int):
+        self.n, self.threshold, self.trees, self.recall, self.block = n, threshold, trees, recall, block
+        self.floor = prefix_length(threshold, trees, DEPTH, recall)
+        self.slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), text_key(docs[text_col]).alias("text_key"))
+        signed = cut(add_columns(self.slim, ["id", "text_key"], "text", lambda: sign("text", n, trees), SIGNED))
+        self.rows = signed.drop("hi", "lo")
+        path = F.first(F.when(F.col("hi").isNotNull(), F.struct("hi", "lo")), ignorenulls=True)
+        classes = signed.filter("n > 0").groupBy("cls").agg(F.min(F.struct("id", "text_key")).alias("one"), F.min("id").alias("copy_id"), F.count("*").alias("size"), path.alias("path"))
+        classes = written(classes, "ngram-classes")
+        self.classes = classes.drop("path")
+        paths = classes.select("cls", F.posexplode(F.arrays_zip("path.hi", "path.lo")).alias("tree", "p")).select("tree", "p.hi", "p.lo", "cls")
+        self.verified = self._joined(plant(paths, self.floor))
         self.roots = connected(self.verified.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
 
-    def _groups(self) -> DataFrame:
-        """node, root: the candidate groups, components of classes that share a trie node."""
-        nodes = self.rows.filter("n > 0").select("cls", F.explode("keys").alias("key"))
-        crowded = nodes.groupBy("key").agg(F.min("cls").alias("b"), F.max("cls").alias("top")).filter("b <> top").select("key", "b")
-        return connected(nodes.join(crowded, "key").select(F.col("cls").alias("a"), "b"))
-
-    def _verified(self, groups: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
-        sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
+    def _joined(self, links: DataFrame) -> DataFrame:
+        """The verified groups at the depth that the recall asks for."""
+        deep = written(connected(links.filter(F.col("depth") == DEPTH).select("a", "b")), "ngram-groups")
+        first = cut(self._verified(deep))
+        self.depth = self._depth(first)
+        if self.depth == DEPTH:
+            return first
+        # the shorter prefixes' links, between groups in place of classes
+        more = links.filter((F.col("depth") >= self.depth) & (F.col("depth") < DEPTH)).select("a", "b")
+        for end in ("a", "b"):
+            more = more.join(deep.select(F.col("node").alias(end), F.col("root").alias(f"{end}_")), end, "left").withColumn(end, F.coalesce(f"{end}_", end)).drop(f"{end}_")
+        merged = written(connected(more), "ngram-merged")
+        top = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        groups = deep.join(top, "root").select("node", F.col("top").alias("root")).unionByName(merged.join(deep.select("node"), "node", "left_anti"))
+        again = self._verified(groups)
+        return cut(first.join(merged.select(F.col("node").alias("grp")), "grp", "left_anti").unionByName(again))
+
+    def _depth(self, first: DataFrame) -> int:
+        """The longest prefix with the recall, by the pairs that whole paths have found; the shortest if they found none."""
+        sums = {r.pos: r.s for r in first.select(F.posexplode("met")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}  # a row a depth
+        if not sums.get(0):
+            return self.floor
+        return max((k for k in range(self.floor, DEPTH + 1) if sums[1 + k - self.floor] >= self.recall * sums[0]), default=self.floor)
+
+    def _verified(self, groups: DataFrame) -> DataFrame:
+        sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / self.block).cast("long").alias("parts"))
         wanted = groups.join(sizes, "root").join(self.classes, groups["node"] == self.classes["cls"]).select("cls", "root", "parts", "size", F.col("one.id").alias("one_id"), F.col("one.text_key").alias("one_key"))
-        texts = self.slim.join(wanted, F.col("text_key").eqNullSafe(F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id")))
-        grams = gram_rows(texts, "text", n).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+        wanted = written(wanted.withColumn("row", F.xxhash64("one_id", "one_key")), "ngram-wanted")
+        # texts of the groups only: a Bloom filter, and then the exact join
+        some = keep_rows(self.slim.withColumn("row", F.xxhash64("id", "text_key")), "text", passing(bloom(wanted, "row"), "row"))
+        texts = some.drop("row").join(wanted.drop("row"), F.col("text_key").eqNullSafe(F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id")))
+        grams = gram_rows(texts, "text", self.n).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
         pairs = grams.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         dealt = pairs.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "cls", "size", "grams")
-        return dealt.groupBy("root", "low", "high").applyInArrow(verify(threshold), VERIFIED)
+        return dealt.groupBy("root", "low", "high").applyInArrow(verify(self.threshold, self.trees, self.floor), VERIFIED)
 
     def result(self) -> DataFrame:
         """id, text_key, class_id, copy_id, n_links, n_texts and the winner of its class of every row."""
@@ -232,18 +304,18 @@ class Join:
         return some.unionByName(alone)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """A row for each document: id; class_id, the least id that it is linked to directly or through
     others; copy_id, the least id with its n-gram set; n_links, the other documents whose similarity
     reaches the threshold; n_texts, how many different n-gram sets those have besides its own."""
-    found = Join(docs, id_col, text_col, n, threshold, trees, depth, recall, block).result()
+    found = Join(docs, id_col, text_col, n, threshold, trees, recall, block).result()
     return found.select(F.col("id").alias(id_col), "class_id", "copy_id", "n_links", "n_texts")
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One document of each class, the one with the least id (then text hash), with all its columns;
     documents without words all stay."""
-    found = Join(docs, id_col, text_col, n, threshold, trees, depth, recall, block).result()
+    found = Join(docs, id_col, text_col, n, threshold, trees, recall, block).result()
     own = F.struct("id", "text_key")
     told = cut(found.groupBy("id", "text_key").agg(F.min("winner").alias("winner"), F.count("*").alias("rows"), F.max("n_links").alias("links")))
     lost = told.filter(~own.eqNullSafe(F.col("winner"))).select("id", "text_key")
@@ -255,3 +327,18 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     gone = lost.unionByName(again)
     one = docs.join(again, same(again), "left_semi").withColumn(KEY, text_key(docs[text_col])).dropDuplicates([id_col, KEY]).drop(KEY)
     return docs.join(gone, same(gone), "left_anti").unionByName(one)
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (SELECT DISTINCT r, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, w, least(len(w), {N}) AS k, unnest(range(1, len(w) - least(len(w), {N}) + 2)) AS i FROM d WHERE len(w) > 0)),
+sets AS (SELECT r, count(*) AS n, md5(string_agg(g, ',' ORDER BY g)) AS kind FROM grams GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sets a ON a.r = x JOIN sets b ON b.r = y WHERE c >= {THRESHOLD} * (a.n + b.n - c) - 1e-9),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+groups AS (SELECT x AS r, min(doc_id) AS least FROM reach JOIN d ON d.r = y GROUP BY x),
+copies AS (SELECT kind, min(doc_id) AS copy_id FROM sets JOIN d USING (r) GROUP BY kind),
+counts AS (SELECT x AS r, count(*) AS n_links, count(DISTINCT b.kind) FILTER (b.kind <> a.kind) AS n_texts FROM links JOIN sets a ON a.r = x JOIN sets b ON b.r = y GROUP BY x)
+SELECT doc_id, coalesce(least(least, doc_id), doc_id) AS class_id, coalesce(copy_id, doc_id) AS copy_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_texts, 0)::BIGINT AS n_texts
+FROM d LEFT JOIN sets USING (r) LEFT JOIN copies USING (kind) LEFT JOIN groups USING (r) LEFT JOIN counts USING (r)
+"""
