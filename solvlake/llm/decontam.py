@@ -14,6 +14,7 @@ Rows and values, case by case:
 - null or empty text: no words, no hits, not contaminated. Items without words have no window.
 - an item id that is null counts as an item named "null"; rows that repeat an item id are one item.
 - repeated document rows: a result row each. Empty documents: no rows. Empty benchmark: no hits.
+- ties: the longest match is the one at the first place, there with the item whose id is first as a string.
 - further columns: ignored by match(), carried along unchanged by remove().
 """
 
@@ -37,7 +38,7 @@ GRAM = 4
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 4 << 20
 #: Words of a suffix that are kept for comparison; matches that are longer are followed from suffix to suffix.
-DEPTH = 128
+DEPTH = 32
 
 FOUND = T.StructType(
     [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType())]
@@ -62,6 +63,7 @@ class Block:
     long_at: np.ndarray  # places in the items, one after another, that have depth words left or more
     long_item: np.ndarray  # the item of each, as its index in item_names
     item_names: list[str]  # sorted
+    name_rank: np.ndarray  # of each query, its first item's index in item_names
 
 
 def rows_of(ids: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
@@ -105,7 +107,7 @@ def block(items: list[tuple[str, str | None]], window: int) -> Block | None:
     long_first = np.searchsorted(of[long], np.arange(len(one) + 1))
     # the item is added so that an item's last place is not followed by the next one's first
     long_at, long_item = (starts + item)[long], np.array([number[items[i][0]] for i in item[long]], dtype=np.int64)
-    return Block(vocabulary, grams, gram, shortest, depth, rows[one], size[item][one], [sorted(x) for x in names], long_first, long_at, long_item, item_names)
+    return Block(vocabulary, grams, gram, shortest, depth, rows[one], size[item][one], [sorted(x) for x in names], long_first, long_at, long_item, item_names, np.array([number[min(x)] for x in names], dtype=np.int64))
 
 
 def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -212,7 +214,7 @@ def examine(text: str, window: int, blocks: list) -> Callable[[pa.RecordBatch],
                 pairs = np.unique(text_of * len(b.names) + query)
                 for i, q in zip(pairs // len(b.names), pairs % len(b.names), strict=True):
                     names.setdefault(int(i), set()).update(b.names[q])
-                order = np.lexsort((query, place, -length, text_of))
+                order = np.lexsort((b.name_rank[query], place, -length, text_of))
                 _, lead = np.unique(text_of[order], return_index=True)
                 for k in order[lead]:
                     i = int(text_of[k])
@@ -285,3 +287,23 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
         return lambda batch: ~np.asarray(work(batch)["contaminated"])
 
     return keep_rows(docs, text_col, make)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS row, coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT *, least(len(w), 10) AS s FROM b WHERE len(w) > 0),
+windows AS (SELECT row, item, s, i, array_to_string(w[i:i + s - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - s + 2)) AS i FROM sized)),
+kinds AS (SELECT DISTINCT s, t FROM windows),
+starts AS (SELECT r, w, s, unnest(range(1, len(w) - s + 2)) AS p FROM d, (SELECT DISTINCT s FROM sized) WHERE len(w) >= s),
+hits AS (SELECT r, s, p, t FROM (SELECT r, s, p, array_to_string(w[p:p + s - 1], ' ') AS t FROM starts) SEMI JOIN kinds USING (s, t)),
+met AS (SELECT r, p, s, row, item, i FROM hits JOIN windows USING (s, t)),
+cover AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(p, p + s)) AS k FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM met) GROUP BY r),
+islands AS (SELECT *, p - row_number() OVER (PARTITION BY r, row, p - i ORDER BY p) AS island FROM met),
+matches AS (SELECT r, item, min(p) AS p, count(*) + min(s) - 1 AS n FROM islands GROUP BY r, item, row, p - i, island),
+best AS (SELECT r, n, p - 1 AS place, item FROM matches QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, p, item) = 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n, 0)::BIGINT AS longest, place::DOUBLE AS longest_at, item AS longest_item
+FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r) LEFT JOIN best USING (r)
+"""
