@@ -32,14 +32,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks the secrets that look live; n_chars follows the text. No document goes."""
+    """Masks the secrets that look live; n_chars, if there is one, follows the text. No document goes."""
     masked = secrets.redact(docs)
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into bins."""
-    return packing.pack(docs)
+    """Packs all documents into bins: a row for each piece, with its token ids."""
+    return packing.sequences(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
