@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols of a suffix that its order is certain by; patterns have to be shorter.
+#: Symbols of a suffix that its order is certain by, at least; patterns have to be shorter.
 DEPTH = 64
 #: Windows of a part that are searched one after another.
 PIECE = 64
@@ -35,11 +35,11 @@ class Bits:
         return self.before.take(word) + np.bitwise_count(self.words.take(word) & below)
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order of their first DEPTH symbols, by prefix doubling."""
+def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in order of their first depth symbols, by prefix doubling."""
     rank = text.astype(np.int64)
     n, step, order = len(text), 1, np.argsort(text)
-    while step < DEPTH:
+    while step < depth:
         after = np.zeros(n, dtype=np.int64)
         after[: n - step] = rank[step:] + 1
         key = rank * (n + 2) + after
@@ -56,12 +56,13 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Counts occurrences in a text of symbols 1 to sigma; 0 separates its parts."""
+    """Counts occurrences in a text of symbols 1 to sigma; 0 separates its parts. depth: symbols of the
+    longest pattern, and one more."""
 
-    def __init__(self, text: np.ndarray):
-        self.n = len(text)
+    def __init__(self, text: np.ndarray, depth: int = DEPTH):
+        self.n, self.depth = len(text), max(depth, DEPTH)
         sigma = int(text.max()) + 1
-        order = suffix_order(text)
+        order = suffix_order(text, self.depth)
         bwt = text[order - 1].astype(np.int64)
         count = np.bincount(text, minlength=sigma)
         self.first = np.cumsum(count) - count
@@ -105,20 +106,25 @@ def unique_core(index: FMIndex, text: np.ndarray, starts: np.ndarray, ends: np.n
     return out
 
 
-def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, copied: np.ndarray | None = None) -> np.ndarray:
     """Matching statistics of parts of the indexed text: a flag at the start of each window of theirs
-    that occurs twice or more in the text. starts, ends: the parts, of window symbols at least.
+    that occurs twice or more in the text. starts, ends: the parts, of window symbols at least; copied:
+    those known to stand in the text twice, which are not tested for a stretch that occurs once.
 
     Each part is matched backwards from an end. Where the match gives out, a short stretch from that
     place on is probed: if that is unique too, no window that holds it can be a repeat, and the search
     goes on before it."""
-    longest = DEPTH - 2
+    longest = index.depth - 2
+    if window > longest:
+        raise ValueError(f"the index is sorted for windows of {longest} symbols at most")
     # long parts in pieces of PIECE windows, which are searched side by side
     pieces = np.maximum(-(-(ends - starts - window + 1) // PIECE), 1)
     nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     starts, stops = np.repeat(starts, pieces) + nth * PIECE, np.repeat(ends, pieces)
     ends = np.minimum(starts + PIECE + window - 1, stops)
-    open_ = ~unique_core(index, text, starts, ends, window)
+    open_ = np.ones(len(starts), dtype=bool) if copied is None else np.repeat(copied, pieces)
+    doubtful = np.flatnonzero(~open_) if copied is not None else np.arange(len(starts))
+    open_[doubtful] = ~unique_core(index, text, starts[doubtful], ends[doubtful], window)
     starts, ends = starts[open_], ends[open_]
     mark = np.zeros(len(text) + 1, dtype=np.int64)
     part = np.arange(len(starts))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from solvlake.llm import decontam, langid, ngram_join, packing, quality, secrets, shared, substrings, tokens, toxicity, urls
 
@@ -16,16 +17,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after a batch that inserts every document; the batch is sent twice and counts once."""
+    """Totals after three batches, each of which is sent twice and counts once: every document is inserted,
+    those without a language are revised to `und`, and those without text are deleted."""
+    docs = _table(spark, sf_dir, "documents")
     rollup = tokens.Rollup(spark, shared.place(spark, "token-rollup"))
-    everything = tokens.inserts(_table(spark, sf_dir, "documents"))
-    rollup.commit("load", everything)
-    rollup.commit("load", everything)
+    unnamed = docs.filter("lang IS NULL")
+    batches = {"load": tokens.inserts(docs), "name": tokens.revisions(unnamed, unnamed.withColumn("lang", F.lit("und"))), "clear": tokens.deletes(docs.filter("text IS NULL OR text = ''").withColumn("lang", F.coalesce("lang", F.lit("und"))))}
+    for batch, changes in batches.items():
+        rollup.commit(batch, changes)
+        rollup.commit(batch, changes)
     return rollup.totals()
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.match(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.match(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("longest_at", F.col("longest_at").cast("double"))  # may be NULL
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +67,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_rollup, op2_decontaminate, op3_toxicity, op4_secrets, op5_packing, op6_substrings, op7_ngram_join, op8_quality, op9_urls, op10_language)}
-ORACLE_SQL: dict[str, str] = {"op4_secrets": secrets.ORACLE_SQL, "op9_urls": urls.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {f"op{n}": sql for n, sql in {"2_decontaminate": decontam.ORACLE_SQL, "4_secrets": secrets.ORACLE_SQL, "6_substrings": substrings.ORACLE_SQL, "7_ngram_join": ngram_join.ORACLE_SQL, "9_urls": urls.ORACLE_SQL}.items()}
