@@ -46,7 +46,7 @@ GRAM = 12
 #: Different segments of a minimizer beyond which its windows are dealt one by one.
 CROWD = 2048
 #: Words that one shard takes, about.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 
 #: Columns added on the way; no document has such names.
 TEXT, RUNS, KEPT = "__substrings_text", "__substrings_runs", "__substrings_kept"
