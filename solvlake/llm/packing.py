@@ -150,7 +150,8 @@ def _dealt(pieces: DataFrame, block: int) -> DataFrame:
     spread = many.repartition(F.xxhash64(*names, "k"))
     each = spread.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("copies") - F.col("k") * SPREAD, F.lit(SPREAD)) - 1)))
     numbered = each.withColumn("block", F.pmod(F.xxhash64(*names, "k", "copy"), F.lit(blocks)))
-    return numbered.select(*names, "block").repartition(blocks, "block").sortWithinPartitions("block")
+    parts = min(blocks, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a task packs its blocks one after another
+    return numbered.select(*names, "block").repartition(parts, "block").sortWithinPartitions("block")
 
 
 def packed(t: pa.Table, name: str, id_col: str, capacity: int, slots: int) -> pa.Table:
