@@ -84,7 +84,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
 def ownership(found: DataFrame) -> DataFrame:
     """value_hash, n_repos, n_owners of every candidate value over the corpus."""
     each = found.select("repo", "owner", F.explode(F.concat("base", "opaque")).alias("s"))
-    seen = each.select(F.sha2("s.value", 256).alias("value_hash"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner"))
+    seen = each.select(F.sha2("s.value", 256).alias("value_hash"), *[F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias(c) for c in ("repo", "owner")])  # NULL is none of the named
     return seen.groupBy("value_hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
 
 
@@ -163,7 +163,7 @@ base AS (
   SELECT * FROM ({_sql_kind("opaque", "[A-Za-z0-9+/_-]{20,}", 0, "regexp_matches(v, '[0-9].*[0-9].*[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')")}) o
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = o.row AND b.start < o.stop AND o.start < b.stop)
 ), found AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
-freq AS (SELECT value, NOT (count(DISTINCT coalesce(source, '')) >= {EXAMPLE_OWNERS} AND count(DISTINCT coalesce(doc_id::VARCHAR, '')) >= {EXAMPLE_REPOS}) AS live FROM found GROUP BY value),
+freq AS (SELECT value, NOT (count(DISTINCT coalesce('=' || source, '')) >= {EXAMPLE_OWNERS} AND count(DISTINCT coalesce('=' || doc_id, '')) >= {EXAMPLE_REPOS}) AS live FROM found GROUP BY value),
 told AS (SELECT f.row, f.rank, f.start, f.stop, q.live, ['assign', 'access', 'hex', 'opaque'][f.rank + 1] || ':' || f.start || ':' || f.stop AS span FROM found f JOIN freq q USING (value) WHERE f.rank < 3 OR q.live),
 by_row AS (
   SELECT row, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c, count(*) FILTER (rank = 3) AS o,

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvlake.sources.files import shared_folder, workspace
+from solvlake.sources.files import delete, shared_folder, workspace
+
+#: Paths of the tables that operators have written on their way, by application.
+_made: dict[str, list[str]] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,8 +23,22 @@ def place(spark: SparkSession, name: str) -> str:
     return workspace(spark, name)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again."""
     path = place(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return stored(df, path)
+
+
+def tidy(spark: SparkSession) -> int:
+    """Deletes the tables that operators have written on their way, and says how many. For when the results
+    that read them have been stored elsewhere, as they cannot be read any more."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete(spark, path)
+    return len(paths)

@@ -1,12 +1,12 @@
 """The pipeline's stages against brute force, each on its own input, and run() as a whole."""
 
 import random
-import re
 
 import pytest
 
 import corpus_pipeline
-from solvlake.llm import queries
+from solvlake.llm import queries, shared, tokens
+from tests.llm.corpus import documents, rows, with_extra
 from tests.llm.test_decontam import brute as contaminated
 from tests.llm.test_ngram_join import brute as groups
 from tests.llm.test_ngram_join import grams
@@ -74,13 +74,38 @@ def test_every_stage(spark, tables):
 
     packed = steps["best_fit_packing"](spark, df, path).toPandas()
     words = packed.groupby("doc_id").n_tokens.sum().to_dict()
-    assert words == {i: len(re.findall(r"[^\x20\x09-\x0D]+", r[1])) for i, r in kept.items()}
+    encode = tokens.encoder(tokens.vocabulary(tokens.TOKENIZER), "x")
+    assert words == {i: len(encode(r[1])) for i, r in kept.items()}
     assert packed.groupby("bin").n_tokens.sum().max() <= 2048
+    assert all(len(r.tokens) == r.n_tokens for r in packed.itertuples())
 
     whole = corpus_pipeline.run(spark, path).toPandas()
     assert whole.groupby("doc_id").n_tokens.sum().to_dict() == words
 
 
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    """Nulls, repeated rows, a very long text, and columns with names that operators use; then no rows at all."""
+    made = rows() + [(777, prose(random.Random(1), 25_000), None, None, None)]
+    spark.createDataFrame([(1, "nothing like it " * 8), (None, None), (None, "")], PAGES).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for n, df in (("some", with_extra(spark, made)), ("none", with_extra(spark, made).limit(0)), ("slim", documents(spark, made).drop("n_chars"))):
+        left = {}
+        for name, stage in corpus_pipeline.STAGES:
+            got = shared.stored(stage(spark, df, str(tmp_path)), shared.place(spark, name))
+            left[name] = [r.doc_id for r in got.select("doc_id").collect()]
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert got.columns == df.columns and [f.dataType for f in got.schema] == [f.dataType for f in df.schema]
+                df = got
+        if n == "none":
+            assert not any(left.values())
+            continue
+        kept = {k for k, r in enumerate(made) if verdict(r[1], counts(r[1])[-1])}
+        assert sorted(map(str, left["quality_rules"])) == sorted(str(made[k][0]) for k in kept)
+        assert left["ngram_jaccard_join"].count(3) == min(1, left["quality_rules"].count(3))
+        assert set(left["best_fit_packing"]) == set(left["secret_scans"]) == set(left["benchmark_decontamination"]) == set(left["ngram_jaccard_join"])
+        assert any(len(made[k][1]) > 100_000 and made[k][0] in left["best_fit_packing"] for k in kept)
+    assert shared.tidy(spark) > 0 and shared.tidy(spark) == 0
+
+
 def test_registered_queries():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

@@ -25,8 +25,8 @@ def brute(made):
     owners, repos = defaultdict(set), defaultdict(set)
     for (i, _, _, source, _), own in zip(made, spans):
         for *_, value in own:
-            owners[value].add(source or "")
-            repos[value].add("" if i is None else str(i))
+            owners[value].add(source)
+            repos[value].add(i)
     live = lambda v: not (len(owners[v]) >= secrets.EXAMPLE_OWNERS and len(repos[v]) >= secrets.EXAMPLE_REPOS)
     out = []
     for (i, *_), own in zip(made, spans):

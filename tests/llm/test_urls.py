@@ -39,3 +39,10 @@ def test_empty_tables(spark):
     pages, rules = spark.createDataFrame([(1, URLS[0], "", "", "")], PAGES), urls.rule_table(spark)
     assert [(r.rule, r.verdict) for r in urls.judge(pages, rules.limit(0)).collect()] == [(None, "allow")]
     assert urls.judge(pages.limit(0), rules).count() == 0
+
+
+def test_very_long_urls(spark):
+    path = "/en/" + "a/" * 20_000
+    made = [(1, f"http://x.com{path}", "", "", ""), (2, "http://" + "s." * 500 + "example.net/de/8" + path, "", "", "")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(made, PAGES), urls.rule_table(spark)).collect()}
+    assert got[1].path == path and got[1].verdict == "block" and len(got[2].host) == 1_011 and got[2].verdict == "block"
