@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as
 Parquet in the shared folder and reads it again for the next one.
+
+Rows and values, in every stage:
+- null or empty text: rejected by the quality rules (no words). Null id, source or language: like any other.
+- repeated rows: each is judged; one of them stays after the n-gram join, as of all copies.
+- ties: settled by id, then text hash. Very long texts: whole. Empty tables: no rows.
+- further columns, whatever their names: carried along unchanged but by the last stage.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvlake.llm import decontam, ngram_join, packing, quality, secrets, shared
+from solvlake.sources import files
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,8 +62,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents. What a stage has written on its way, and what it has read, goes once
+    its result is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = shared.written(stage(spark, docs, sf_dir), name)
+        path = shared.place(spark, name)
+        docs = shared.stored(stage(spark, docs, sf_dir), path)
+        shared.tidy(spark)
+        if before:
+            files.delete(spark, before)
+        before = path
     return docs

@@ -1,3 +1,5 @@
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -15,10 +17,16 @@ def test_entry_and_registry(spark):
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) <= set(__spark_entry__.queries())
 
 
-def test_runs_without_the_language_data_subpackage():
-    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
-    said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
-    assert said == [str(len(queries.QUERIES)), "False"]
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_runs_without_the_language_data_subpackage(tmp_path, pipeline):
+    """A copy of the repository without those folders, with or without the pipeline's module."""
+    shutil.copytree(ROOT / "solvlake", tmp_path / "solvlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", *["corpus_pipeline.py"] * pipeline):
+        if (ROOT / name).exists():
+            shutil.copy(ROOT / name, tmp_path)
+    code = "import __spark_entry__ as e; print(e.__file__, len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, check=True).stdout.split()
+    assert said == [str(tmp_path / "__spark_entry__.py"), str(len(queries.QUERIES)), str(len(queries.ORACLE_SQL)), "False"]
 
 
 @pytest.mark.parametrize("name", ["w1_current_best_ranges", "j3_paper_list", "w2_monotonicity", "a16_calibration", "f16_solve", "e13_prepass", "d5_calculator"])
