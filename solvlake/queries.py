@@ -798,3 +798,48 @@ def f22_prompt_lines(spark: SparkSession, sf: str) -> DataFrame:
     pages = curves.prepass(t(spark, sf, "events").groupBy(F.col("user_id").alias("pdf"), F.col("user_id").alias("page_index"), "event_type").agg(F.count("*").alias("n")))
     told = pages.select("pdf", "series_counts").join(curves.prompt_block(pages), "pdf")
     return told.select(F.col("pdf").alias("user_id"), F.array_join(F.transform(F.sort_array("series_counts"), lambda x: x.cast("string")), ",").alias("counts"), F.regexp_extract("block", r"^page \d+", 0).alias("said"))
+
+
+@query("WITH p AS (SELECT page_id // 3 AS pdf, page_id % 3 AS k, CASE WHEN page_id % 2 = 1 THEN '10.' || (1000 + page_id) || '/t' END AS t, CASE WHEN page_id % 12 = 0 THEN '10.' || (5000 + page_id) || '/m' END AS m FROM pages) SELECT pdf::BIGINT AS pdf, coalesce(arg_min(m, k) FILTER (m IS NOT NULL), arg_min(t, k) FILTER (t IS NOT NULL AND k < 2)) AS doi FROM p GROUP BY 1")
+def s7_pdf_doi(spark: SparkSession, sf: str) -> DataFrame:
+    """Three pages a file; a DOI in the metadata wins over one in the text of the first two pages."""
+    k = F.col("page_id")
+    doi = lambda base, tail: F.concat(F.lit("doi 10."), (k + base).cast("string"), F.lit(f"/{tail}."))
+    given = t(spark, sf, "pages").select(F.floor(k / 3).alias("pdf"), (k % 3).alias("page_index"), F.when(k % 2 == 1, doi(1000, "T")).alias("text"), F.when(k % 12 == 0, doi(5000, "M")).alias("meta"))
+    return files.pdf_doi(given)
+
+
+@query("SELECT r_name AS element, r_regionkey + 0.5 AS y_value FROM region WHERE r_regionkey > 0")
+def s13_stated_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Stated values committed with an extraction; one without an element is left out."""
+    from solvlake.plans.store import Store
+
+    regions = t(spark, sf, "region")
+    store = Store(spark, files.workspace(spark, "store"))
+    rows_ = conform(regions.select(F.col("r_name").alias("element"), F.col("r_regionkey").alias("row_ord")), keep=("row_ord",))
+    stated = regions.select(F.col("r_regionkey").alias("endpoint_ord"), F.when(F.col("r_regionkey") > 0, F.col("r_name")).alias("element"), F.lit(3.0).alias("x_value"), F.lit("pH").alias("x_basis"), (F.col("r_regionkey") + 0.5).alias("y_value"), F.lit("Extract%").alias("y_metric"), F.lit("q").alias("source_quote"))
+    store.commit_extraction(rows_, stated, content_sha256="one", pdf_path="one.pdf", prompt_version="extraction_v5")
+    return store.views()["text_endpoints"].select("element", "y_value")
+
+
+@query("SELECT o_custkey AS page, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS x0 FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1")
+def a18_largest_image(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("o_orderkey") % 3 > 0, "image").otherwise("rect")
+    objects = t(spark, sf, "orders").select(F.col("o_custkey").alias("page"), kind.alias("kind"), F.col("o_orderkey").alias("x0"), F.lit(0).alias("top"), F.lit(0).alias("x1"), F.lit(0).alias("bottom"), F.col("o_totalprice").alias("width"), F.lit(1.0).alias("height"))
+    return curves.largest_image(objects, ["page"]).select("page", "image.x0")
+
+
+@query("SELECT r_regionkey AS page, 2 * r_regionkey + 9.5 AS cx, 14.5 AS cy, 96 AS area, 10 AS bbox_w, 0.96 AS fill_ratio FROM region")
+def f25_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    """A square of ten pixels, a line that opening takes away, and a speck, on a white page for each region."""
+    def page(k: int) -> bytearray:
+        grey = [bytearray([255] * 60) for _ in range(40)]
+        for y in range(10, 20):
+            grey[y][2 * k + 5 : 2 * k + 15] = bytes(10)
+        grey[30][:] = bytes(60)
+        grey[5][50] = 0
+        return bytearray(b"".join(grey))
+
+    regions = t(spark, sf, "region").collect()  # five rows
+    images = spark.createDataFrame([(r.r_regionkey, 40, 60, page(r.r_regionkey)) for r in regions], "page int, height int, width int, pixels binary")
+    return curves.detect_blobs(images, ["page"]).select("page", "cx", "cy", "area", "bbox_w", F.round("fill_ratio", 6).alias("fill_ratio"))

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from solvlake.operators import curves
@@ -18,7 +19,10 @@ def test_prompts_and_names_with_escapes(spark, tmp_path):
     (tmp_path / "extraction v5+1.md").write_text("use {DATA} here")
     (tmp_path / "extraction_v6.md").write_text("nothing")
     assert {r.prompt_version for r in files.prompts(spark, str(tmp_path)).collect()} == {"extraction v5+1", "extraction_v6"}
-    assert [r.prompt_version for r in files.prompts(spark, str(tmp_path), "{DATA}").collect()] == ["extraction v5+1"]
+    checked = files.prompts(spark, str(tmp_path), "{DATA}")
+    assert [r.text for r in checked.filter("prompt_version = 'extraction v5+1'").collect()] == ["use {DATA} here"]
+    with pytest.raises(Exception, match="extraction_v6"):
+        checked.collect()
 
 
 def test_corrupt_sidecars_are_skipped(spark, tmp_path):
