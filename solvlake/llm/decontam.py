@@ -35,6 +35,8 @@ from solvlake.llm.words import ALNUM, Chunk, chunks, inside, window_hashes
 
 WINDOW = 10
 GRAM = 4
+#: Bytes of training text in one shard: every test suffix is searched in each.
+SHARD_BYTES = 3 << 20
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 4 << 20
 #: Words of a suffix that are kept for comparison; matches that are longer are followed from suffix to suffix.
@@ -200,7 +202,7 @@ def examine(text: str, window: int, blocks: list) -> Callable[[pa.RecordBatch],
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
         out: dict[str, list] = {f.name: [] for f in FOUND.fields}
-        for c in chunks(column(batch, text), ALNUM, lower=True):
+        for c in chunks(column(batch, text), ALNUM, lower=True, limit=SHARD_BYTES):
             texts, words = c.hi - c.lo, len(c.word_hashes)
             cover = np.zeros(words + 1, dtype=np.int64)
             names: dict[int, set[str]] = {}

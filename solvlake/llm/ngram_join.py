@@ -43,7 +43,7 @@ THRESHOLD = 0.8
 TREES = 32
 RECALL = 0.99999
 #: Classes compared with each other in one task.
-BLOCK = 1024
+BLOCK = 512
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
 #: A column added on the way; no document has such a name.
@@ -184,27 +184,28 @@ def verify(threshold: float, trees: int, floor: int) -> Callable[[pa.Table], pa.
         sets = [np.frombuffer(t["grams"][int(i)].as_py(), dtype=np.uint64) for i in one]
         low, high = t["low"][0].as_py(), t["high"][0].as_py()
         n = np.array([len(s) for s in sets])
-        if low == high:
-            common = overlaps(sets, None)
-            linked = similar(common, n, n, threshold)
-            np.fill_diagonal(linked, False)
-        else:
-            a, b = np.flatnonzero(side == low), np.flatnonzero(side == high)
-            common = np.zeros((len(cls), len(cls)), dtype=np.int64)
-            if len(a) and len(b):
-                common[np.ix_(a, b)] = overlaps([sets[i] for i in a], [sets[i] for i in b])
-            common += common.T
-            linked = similar(common, n, n, threshold) & (side[:, None] != side[None, :])
-        i, j = np.nonzero(linked)
-        likeness = common[i, j] / (n[i] + n[j] - common[i, j])
+        linked = np.zeros((len(cls), len(cls)), dtype=bool)
+        a, b = (np.arange(len(cls)),) * 2 if low == high else (np.flatnonzero(side == low), np.flatnonzero(side == high))
+        i, j, likeness = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(a) and len(b):
+            common = overlaps([sets[k] for k in a], None if low == high else [sets[k] for k in b])
+            found = similar(common, n[a], n[b], threshold)
+            if low == high:
+                np.fill_diagonal(found, False)
+            i, j = np.nonzero(found)
+            likeness = common[i, j] / (n[a[i]] + n[b[j]] - common[i, j])
+            i, j = a[i], b[j]
+            if low != high:
+                i, j, likeness = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([likeness, likeness])
+            linked[i, j] = True
         weight = 1 / meet(likeness, DEPTH, trees)
         met = np.stack([np.bincount(i, weights=w, minlength=len(cls)) for w in (weight, *(weight * meet(likeness, k, trees) for k in range(floor, DEPTH + 1)))], axis=1)
         return pa.table(
             {
                 "grp": pa.array([t["root"][0].as_py()] * len(cls), pa.int64()),
                 "cls": cls,
-                "n_links": (linked * size[None, :]).sum(axis=1).astype(np.int64),
-                "n_texts": linked.sum(axis=1).astype(np.int64),
+                "n_links": np.bincount(i, weights=size[j], minlength=len(cls)).astype(np.int64),
+                "n_texts": np.bincount(i, minlength=len(cls)).astype(np.int64),
                 "root": cls[roots(linked)],
                 "met": pa.FixedSizeListArray.from_arrays(pa.array(met.ravel()), met.shape[1]).cast(pa.list_(pa.float64())),
             }
