@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from solvlake.llm.arrow import add_columns, column, pieces
+from solvlake.llm.arrow import add_columns, column, pieces, small_batches
 from solvlake.llm.words import NOT_SPACE, Chunk, byte_class, chunks
 
 FOLDS, HELD_OUT = 3, 1
@@ -106,6 +106,7 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model from the rows that are not held out."""
+    small_batches(docs)
     known = docs.filter(~held_out(docs[id_col]) & docs[id_col].isNotNull() & docs[text_col].isNotNull() & docs[lang_col].isNotNull())
     # blocks of 1024 buckets as one row, so that the driver gets few rows
     packed = learn(known, text_col, lang_col).groupBy("lang", F.shiftright("bucket", 10)).agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from solvlake.llm.arrow import add_columns, column
+from solvlake.llm.arrow import add_columns, column, pieces as slices, small_batches
 from solvlake.llm.shared import written
 from solvlake.llm.tokens import TOKENIZER, encoder, vocabulary, version_of
 from solvlake.llm.words import NOT_SPACE, chunks, whole_hashes
@@ -214,7 +214,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks.value, version_of(tokenizer))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             clusters, texts = _clusters(batch), column(batch, "text")
             for at in range(0, batch.num_rows, 256):
                 ids = [np.asarray(encode(t.as_py() or ""), dtype=np.int32) for t in texts.slice(at, 256)]
@@ -226,7 +226,9 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                     [column(batch, c).take(row) for c in ("id", "source", "text_key")] + [pa.array(clusters).take(row), pa.array(np.diff(ends)), pa.array([p for _, p, _ in own], pa.int32()), tokens],
                     names=["id", "source", "text_key", "cluster", "n", "piece", "tokens"],
                 )
+        pa.default_memory_pool().release_unused()
 
+    small_batches(docs)
     pieces = written(slim.mapInArrow(run, f"id {kind}, source string, text_key long, cluster long, n long, piece int, tokens array<int>"), "packing-tokens")
     bins = _binned(pieces.drop("tokens"), id_col, capacity, slots, block)
     key = lambda c: F.struct(F.col(c).alias("id"), "text_key", "piece").alias("key")

@@ -35,10 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, path)
 
 
-def tidy(spark: SparkSession) -> int:
-    """Deletes the tables that operators have written on their way, and says how many. For when the results
-    that read them have been stored elsewhere, as they cannot be read any more."""
-    paths = _made.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
+def mark(spark: SparkSession) -> int:
+    """How many tables operators have written on their way so far, for tidy()."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def tidy(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the tables that operators have written on their way since the mark, and says how many. For when
+    the results that read them have been stored elsewhere, as they cannot be read any more."""
+    paths = _made.get(spark.sparkContext.applicationId, [])
+    spent, paths[since:] = paths[since:], []
+    for path in spent:
         delete(spark, path)
-    return len(paths)
+    return len(spent)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from solvlake.llm.arrow import add_columns, column, keep_rows, pieces
+from solvlake.llm.arrow import add_columns, column, keep_rows, pieces, small_batches
 from solvlake.llm.bloom import Bloom, bloom, passing
 from solvlake.llm.fm_index import FMIndex, repeated_windows
 from solvlake.llm.shared import written
@@ -180,6 +180,7 @@ def shard_repeats(dealt: DataFrame, window: int) -> DataFrame:
 def repeats(slim: DataFrame, window: int, gram: int, crowd: int, shard_words: int) -> DataFrame:
     """id, text_key, runs: for each different row with repeats, its runs (first word, windows)."""
     spark = slim.sparkSession
+    small_batches(slim)
     gram = min(gram, window)
     every = all_segments(slim, window, gram).groupBy("least").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("times"))
     twice = written(every.filter("times > 1").select("least"), "substring-minimizers")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvlake.llm.arrow import column, pieces
+from solvlake.llm.arrow import column, pieces, small_batches
 from solvlake.sources.files import publish_text
 
 #: Fixed value: how byte-level BPE vocabularies split a text before merging.
@@ -79,6 +79,7 @@ def revisions(old: DataFrame, new: DataFrame, **columns: str) -> DataFrame:
 
 def delta(changes: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Signed totals of a batch of changes; the vocabulary goes to the executors from the driver."""
+    small_batches(changes)
     version = version_of(tokenizer)
     ranks = changes.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))  # a vocabulary file, about a megabyte
 

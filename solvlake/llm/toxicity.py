@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from solvlake.llm.arrow import add_columns, column, pieces
+from solvlake.llm.arrow import add_columns, column, pieces, small_batches
 from solvlake.llm.decontam import member
 from solvlake.llm.shared import cut
 from solvlake.llm.words import ALNUM, NOT_SPACE, Chunk, byte_class, chunks, mix, whole_hashes
@@ -315,6 +315,7 @@ def bounded(known: DataFrame, id_col: str, most: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", most: int = MOST_LABELLED) -> Model:
     """The character model over all documents and the classifier from the labels that are not held out, or from about `most` of them."""
+    small_batches(docs)
     cost = language_model(trigrams(docs, text_col))
     named = labels.select(labels[id_col].alias("_id"), labels[toxic_col].alias("_toxic")).dropna().filter(F.col("_toxic").isin(0, 1)).filter(~held_out(F.col("_id"))).distinct()
     known = bounded(cut(named), "_id", most)
