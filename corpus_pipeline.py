@@ -66,9 +66,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     its result is there."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = shared.place(spark, name)
+        path, since = shared.place(spark, name), shared.mark(spark)
         docs = shared.stored(stage(spark, docs, sf_dir), path)
-        shared.tidy(spark)
+        shared.tidy(spark, since)
         if before:
             files.delete(spark, before)
         before = path
