@@ -3,7 +3,8 @@
 Every language has a distribution of hashed four-byte n-grams, counted over all training documents.
 A document is a mixture of languages: expectation-maximisation estimates its proportions from the
 n-gram likelihoods, and of the sets of its one, two, ... most present languages the one with the best
-penalised likelihood is taken. The prediction is the most present language of that set.
+penalised likelihood is taken. The prediction is the most present language of that set, and its share
+the score: among the set, or among all languages if it is alone.
 
 Rows and values, case by case:
 - null text, or text without a letter: `und`, score 0, no languages; so is all text if nothing was learned.

@@ -108,8 +108,9 @@ def plain_predictions(made):
 
         alone = [sum(n * math.log(p[g][k]) for g, n in grams.items()) for k in range(len(names))]
         first = max(range(len(names)), key=lambda k: (alone[k], -k))
-        best, chosen = alone[first] / langid.OVERLAP, {first: 1.0}
         every, _ = em(range(len(names)))
+        # a language alone has its share among all of them for a score
+        best, chosen = alone[first] / langid.OVERLAP, {first: every[first]}
         order = sorted(range(len(names)), key=lambda k: (-every[k], k))
         for k in range(2, len(names) + 1):
             share, value = em(sorted(order[:k]))
