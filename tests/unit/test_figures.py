@@ -40,7 +40,7 @@ def pages(spark):
         objects += [marker(0, 100 * s + i, 120 + 20 * i, 150 + 40 * s, colour) for i in range(10)]
         objects += [marker(1, 100 * s + i, 120 + 20 * i, 150 + 40 * s, colour) for i in range(12 if s else 4)]
     objects += [marker(0, 50, 120.1, 150.05), marker(0, 60, 300, 300, (0.5, 0.5, 0.5))]
-    words = [word(0, t, x, 410) for t, x in (("1", 100), ("3", 300), ("5", 500))] + [word(0, t, 60, y) for t, y in (("0", 400), ("50", 250), ("100", 100))] + [word(0, "Fig", 300, 410)]
+    words = [word(0, t, x, 410) for t, x in (("1.2", 120), ("3", 300), ("5", 500))] + [word(0, t, 60, y) for t, y in (("0", 400), ("50", 250), ("100", 100))] + [word(0, "Fig", 300, 410)]
     images = [("a", 2, 120, 400, image([(20 + 40 * i, 60, 10) for i in range(5)])), ("a", 4, 120, 400, b"short")]
     failures = spark.createDataFrame([("a", 5, "bad stream")], "pdf string, page_index int, error string")
     return figures.extract(spark.createDataFrame(objects, OBJECT), spark.createDataFrame(words, WORD), spark.createDataFrame(images, IMAGE), KEYS, failures)
