@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvlake.llm import decontam, langid, ngram_join, packing, quality, secrets, shared, substrings, tokens, toxicity, urls
+from solvlake.llm import audit, decontam, infill, langid, ngram_join, packing, quality, secrets, shared, substrings, tokens, toxicity, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,5 +66,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_rollup, op2_decontaminate, op3_toxicity, op4_secrets, op5_packing, op6_substrings, op7_ngram_join, op8_quality, op9_urls, op10_language)}
-ORACLE_SQL: dict[str, str] = {f"op{n}": sql for n, sql in {"2_decontaminate": decontam.ORACLE_SQL, "4_secrets": secrets.ORACLE_SQL, "6_substrings": substrings.ORACLE_SQL, "7_ngram_join": ngram_join.ORACLE_SQL, "9_urls": urls.ORACLE_SQL}.items()}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.rearrange(_table(spark, sf_dir, "documents")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.links(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_rollup, op2_decontaminate, op3_toxicity, op4_secrets, op5_packing, op6_substrings, op7_ngram_join, op8_quality, op9_urls, op10_language, op11_infill, op12_filter_audit, op13_vectors)}
+ORACLE_SQL: dict[str, str] = {f"op{n}": sql for n, sql in {"2_decontaminate": decontam.ORACLE_SQL, "4_secrets": secrets.ORACLE_SQL, "6_substrings": substrings.ORACLE_SQL, "7_ngram_join": ngram_join.ORACLE_SQL, "9_urls": urls.ORACLE_SQL, "11_infill": infill.ORACLE_SQL, "12_filter_audit": audit.ORACLE_SQL, "13_vectors": vectors.ORACLE_SQL}.items()}
