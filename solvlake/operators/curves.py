@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvlake.operators.linkage import single_linkage
+
 # Geometry limits in points (vector) and pixels (raster).
 LEAST_MARKERS, LEAST_SERIES, LEAST_TOTAL, LEAST_TICKS = 3, 2, 24, 3
 UNIFORM = 0.15
@@ -73,37 +75,6 @@ def epsilons(markers: DataFrame, keys: list[str]) -> DataFrame:
     return markers.groupBy(*keys).agg(F.coalesce(EPSILON * F.median(F.hypot("width", "height")), F.lit(EPSILON_ALONE)).alias("eps"))
 
 
-def single_linkage(points: DataFrame, keys: list[str], x: str, y: str, eps: str, ordinal: str) -> DataFrame:
-    """keys, ordinal, cluster (its least ordinal): points are in one cluster if steps of at most eps join them.
-    Points of a group meet through grid cells of side eps, so pairs are only looked at within two cells."""
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{ordinal}` {kinds[ordinal]}", f"cluster {kinds[ordinal]}"])
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordinal)
-        place, reach = pdf[[x, y]].to_numpy(float), float(pdf[eps].iloc[0])
-        root = np.arange(len(pdf))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        side = reach or 1.0
-        cells: dict[tuple[int, int], list[int]] = {}
-        for i, (a, b) in enumerate(np.floor(place / side).astype(np.int64).tolist()):
-            for cell in ((a + u, b + v) for u in (-1, 0, 1) for v in (-1, 0, 1)):
-                for j in cells.get(cell, ()):
-                    if np.hypot(*(place[i] - place[j])) <= reach:
-                        one, two = find(i), find(j)
-                        root[max(one, two)] = min(one, two)
-            cells.setdefault((a, b), []).append(i)
-        return pdf[[*keys, ordinal]].assign(cluster=pdf[ordinal].to_numpy()[[find(i) for i in range(len(pdf))]])
-
-    return points.select(*keys, x, y, eps, ordinal).groupBy(*keys).applyInPandas(group, schema)
-
-
 def centroids(points: DataFrame, clusters: DataFrame, keys: list[str], x: str, y: str, ordinal: str) -> DataFrame:
     joined = points.join(clusters, [*keys, ordinal])
     return joined.groupBy(*keys, "cluster").agg(F.avg(x).alias("pixel_x"), F.avg(y).alias("pixel_y"), F.count("*").alias("n_paths"))

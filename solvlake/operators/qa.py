@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvlake.operators import asof, ordered
+
 RED, AMBER, GREEN = "RED", "AMBER", "GREEN"
 UNSPECIFIED = "(unspecified)"
 LEAST_ROWS = 8
@@ -127,19 +129,15 @@ def vocabulary(df: DataFrame, scope: tuple[str, ...], ordinal: str = "row_ord")
     return reduce(DataFrame.unionByName, [rule(c, v) for c, v in VOCABULARY.items()])
 
 
-def nearest(points: DataFrame, stated: DataFrame, keys: list[str], stated_id: list[str], window: Column, miss: Column, ordinal: str) -> DataFrame:
-    """stated_id, min_dx, dx, x, y, dy: for each stated (x0, y0), of the points with its keys that lie within
-    the window of x0 (or at the least distance where that is the window) the one with the nearest y. `miss`
-    says, from min_dx, that no point is near enough."""
-    return nearest_of(stated.join(points, keys), stated_id, window, miss, ordinal)
-
-
-def nearest_of(each: DataFrame, stated_id: list[str], window: Column, miss: Column, ordinal: str) -> DataFrame:
-    """nearest() of rows that hold a stated (x0, y0) and one of its points (x, y) each."""
-    least = each.withColumn("dx", F.abs(F.col("x") - F.col("x0"))).withColumn("min_dx", F.min("dx").over(Window.partitionBy(*stated_id)))
-    near = least.withColumn("dy", F.abs(F.col("y") - F.col("y0"))).filter(miss | (F.col("dx") <= window))
-    best = near.groupBy(*stated_id).agg(F.min("min_dx").alias("min_dx"), F.min_by(F.struct("x", "y", "dx", "dy"), F.struct(F.when(miss, F.col("dx")).otherwise(F.col("dy")), F.col(ordinal))).alias("b"))
-    return best.select(*stated_id, "min_dx", "b.x", "b.y", "b.dx", "b.dy")
+def matched_elements(rows: DataFrame, wanted: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """scope, wanted, element: the elements of a scope's rows that each wanted pattern of the scope fits (as a
+    case-insensitive pattern, or as text if it is no simple one), or all of them if it fits none or is blank. Each
+    pattern meets each different element once, however many rows there are; NULL is an element."""
+    names = rows.select(*scope, "element").distinct()
+    asked = wanted.select(*scope, "wanted").distinct()
+    met = asked.join(names, ordered.same(asked, names, list(scope), list(scope))).select(*[asked[c] for c in scope], "wanted", "element")
+    fits = F.coalesce((F.col("wanted") == "") | contains_pattern(F.col("element"), F.col("wanted")), F.col("wanted").isNull())
+    return matching_or_all(met, [*scope, "wanted"], fits)
 
 
 def text_endpoints(df: DataFrame, endpoints: DataFrame, scope: tuple[str, ...], ordinal: str = "row_ord", ep: str = "endpoint_ord") -> DataFrame:
@@ -148,15 +146,15 @@ def text_endpoints(df: DataFrame, endpoints: DataFrame, scope: tuple[str, ...],
     x_of, y_of = (F.create_map(*[F.lit(v) for p in m.items() for v in p]) for m in (X_COLUMNS, Y_COLUMNS))
     stated = endpoints.withColumn("x_col", F.try_element_at(x_of, F.col("x_basis"))).withColumn("y_col", F.try_element_at(y_of, F.col("y_metric")))
     stated = stated.filter("x_col IS NOT NULL AND y_col IS NOT NULL AND x_value IS NOT NULL AND y_value IS NOT NULL")
-    stated = stated.select(*scope, ep, F.col("element").alias("wanted"), "x_col", "y_col", F.col("x_value").alias("x0"), F.col("y_value").alias("y0"))
-    pick = lambda col, names: reduce(lambda acc, n: F.when(F.col(col) == n, F.col(n)).otherwise(acc), sorted(set(names.values())), F.lit(None).cast("double"))
-    rows = df.select(*scope, ordinal, "element", *sorted(set(X_COLUMNS.values()) | set(Y_COLUMNS.values())))
-    ids = [*scope, ep]
-    fits = F.coalesce((F.col("wanted") == "") | contains_pattern(F.col("element"), F.col("wanted")), F.col("wanted").isNull())
-    points = matching_or_all(stated.join(rows, list(scope)), ids, fits).withColumn("x", pick("x_col", X_COLUMNS)).withColumn("y", pick("y_col", Y_COLUMNS)).filter("x IS NOT NULL AND y IS NOT NULL")
-    on_ph = F.col("x_col") == "ph"
-    window = F.when(on_ph, PH_TOLERANCE).otherwise(F.col("min_dx"))
-    best = nearest_of(points, [*ids, "wanted", "x_col"], window, on_ph & (F.col("min_dx") > PH_TOLERANCE), ordinal).withColumn("far", on_ph & (F.col("min_dx") > PH_TOLERANCE))
+    tolerance = F.when(F.col("x_col") == "ph", PH_TOLERANCE)  # others: the nearest
+    stated = stated.select(*scope, ep, F.col("element").alias("wanted"), "x_col", "y_col", F.col("x_value").alias("x0"), F.col("y_value").alias("y0"), tolerance.alias("tolerance"))
+    elements = matched_elements(df, stated, scope).withColumnsRenamed({c: f"{c}_" for c in (*scope, "wanted")})
+    under = stated.join(elements, ordered.same(stated, elements, [*scope, "wanted"], [*scope, "wanted"], "_")).drop(*[f"{c}_" for c in (*scope, "wanted")])
+    place = lambda names: F.array(*[F.struct(F.lit(n).alias("col"), F.col(n).cast("double").alias("v")) for n in sorted(set(names.values()))])
+    each = df.select(*scope, ordinal, "element", F.explode(place(X_COLUMNS)).alias("x"), place(Y_COLUMNS).alias("ys")).filter("x.v IS NOT NULL")
+    points = each.select(*scope, "element", F.col("x.col").alias("x_col"), F.col("x.v").alias("x"), F.explode("ys").alias("y"), ordinal)
+    points = points.select(*scope, "element", "x_col", F.col("y.col").alias("y_col"), "x", F.col("y.v").alias("y"), ordinal)
+    best = asof.nearest(points, under, [*scope, "element", "x_col", "y_col"], [*scope, ep, "wanted"], ordinal)
     bad = best.filter(F.col("far") | (F.col("dy") > PERCENT_TOLERANCE))
     return flags(bad, scope, "text_endpoint_cross_check", RED, F.col("wanted"), F.col(ep), F.when(F.col("far"), "truncated curve").otherwise(F.concat(F.lit("off by "), F.col("dy").cast("string"))))
 

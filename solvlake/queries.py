@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvlake.functions import chem, text
-from solvlake.operators import curves, figures, qa, ranges, versions
+from solvlake.operators import asof, curves, figures, qa, ranges, versions
 from solvlake.plans import guard
 from solvlake.schema import CONTRACT, NAMES, conform, failed, number
 from solvlake.sources import files
@@ -91,8 +91,8 @@ def j3_paper_list(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH n AS (SELECT e.event_id, e.user_id, e.event_type, p.event_id AS o, abs(epoch_us(e.ts) - epoch_us(p.ts)) AS dx, abs(e.value * 1.05 - p.value) AS dy, p.value AS y FROM events e JOIN events p USING (user_id, event_type) WHERE e.event_id % 20 = 0), m AS (SELECT *, min(dx) OVER (PARTITION BY event_id) AS min_dx FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dy, o) AS r FROM m WHERE dx <= 21600000000) SELECT event_id, min_dx::DOUBLE AS min_dx, y, dy FROM k WHERE r = 1")
 def j4_nearest_point(spark: SparkSession, sf: str) -> DataFrame:
     all_points = points(spark, sf).withColumnRenamed("event_id", "ordinal")
-    stated = points(spark, sf).filter("event_id % 20 = 0").select("event_id", "user_id", "event_type", F.col("x").alias("x0"), (F.col("y") * 1.05).alias("y0"))
-    found = qa.nearest(all_points.withColumn("x", F.col("x").cast("double")), stated, ["user_id", "event_type"], ["event_id"], F.lit(21_600_000_000), F.lit(False), "ordinal")
+    stated = points(spark, sf).filter("event_id % 20 = 0").select("event_id", "user_id", "event_type", F.col("x").alias("x0"), (F.col("y") * 1.05).alias("y0"), F.lit(21_600_000_000).alias("tolerance"))
+    found = asof.nearest(all_points, stated, ["user_id", "event_type"], ["event_id"], "ordinal").filter("NOT far")
     return found.select("event_id", F.col("min_dx").cast("double").alias("min_dx"), "y", "dy")
 
 
