@@ -38,7 +38,7 @@ from solvlake.llm.arrow import add_columns, column, keep_rows, pieces, small_bat
 from solvlake.llm.bloom import Bloom, bloom, passing
 from solvlake.llm.fm_index import FMIndex, repeated_windows
 from solvlake.llm.shared import written
-from solvlake.llm.words import NOT_SPACE, Chunk, chunks, inside, mix, powers, window_hashes
+from solvlake.llm.words import NOT_SPACE, Chunk, chunks, inside, mix, run_hashes, window_hashes
 
 WINDOW = 35
 #: Long enough that stretches which recur by chance, as short phrases do in a large corpus, are rare.
@@ -83,11 +83,7 @@ def segments_of(c: Chunk, window: int, gram: int) -> tuple[np.ndarray, ...]:
     lead = np.flatnonzero(new)
     n = np.diff(np.append(lead, len(at)))
     start = at[lead]
-    end = start + n + window - 1
-    up, down = powers(len(words))
-    total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up, out=total[1:])
-    content = mix((total[end] - total[start]) * down[start] + n.astype(np.uint64))
+    content = run_hashes(words, start, n + window - 1)
     again = np.logical_or.reduceat(left != right, lead) | (n > span)
     return text[lead], start - first[text[lead]], n, key[lead], content, again
 

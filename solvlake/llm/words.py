@@ -18,10 +18,8 @@ import pyarrow as pa
 #: A chunk takes about forty times its bytes while it is worked on.
 CHUNK_BYTES = 1 << 20
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LEFT, _SPREAD = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 
 
 def byte_class(members: bytes) -> np.ndarray:
@@ -51,23 +49,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; one table a process, grown on demand."""
-    have = _powers.get(0)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 1))
-        made = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
-        have = (made[0], made[1])
-        if size <= 8 * CHUNK_BYTES:
-            _powers[0] = have
-    return have[0][:n], have[1][:n]
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of two sequences one after the other, from the hashes of each. Bits are mixed on every step, so
+    that sequences of regular structure do not cancel out, as they do in sums of powers."""
+    h = left * _LEFT + right
+    h ^= h >> np.uint64(32)
+    h *= _SPREAD
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def segments(mask: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,18 +103,30 @@ class Chunk:
         return np.repeat(np.arange(self.hi - self.lo), np.diff(self.first_word))
 
     @cached_property
-    def _sums(self) -> np.ndarray:
-        up, _ = powers(len(self.data))
-        out = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * up, out=out[1:])
-        return out
+    def _blocks(self) -> np.ndarray:
+        """The eight bytes from each byte on as a number."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        return np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte ranges; equal for equal bytes wherever they stand."""
+        """64-bit hashes of byte ranges; equal for equal bytes wherever they stand. Each block of eight bytes is
+        mixed with its number in the range before they are added."""
         if not len(starts):
             return np.zeros(0, np.uint64)
-        _, down = powers(len(self.data))
-        return mix((self._sums[ends] - self._sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        size = ends - starts
+        blocks = (size + 7) >> 3
+        last = starts + ((np.maximum(blocks, 1) - 1) << 3)
+        spare = ((8 - (ends - last)) << 3).clip(0, 63).astype(np.uint64)  # bits behind the range in its last block
+        tail = mix(((self._blocks[last] << spare) ^ (blocks.astype(np.uint64) * _STEP)) + size.astype(np.uint64))
+        long = np.flatnonzero(blocks > 1)
+        if len(long):
+            n = blocks[long] - 1
+            border = np.concatenate([[0], np.cumsum(n)])
+            number = np.arange(border[-1]) - np.repeat(border[:-1], n)
+            parts = mix(self._blocks[np.repeat(starts[long], n) + (number << 3)] ^ ((number + 1).astype(np.uint64) * _STEP))
+            tail[long] = mix(tail[long] + np.add.reduceat(parts, border[:-1]))
+        tail[size == 0] = mix(_STEP[None])[0]
+        return tail
 
     @cached_property
     def word_hashes(self) -> np.ndarray:
@@ -173,10 +174,28 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(max(len(words), 1))
-    total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up, out=total[1:])
-    return mix((total[size:] - total[:n]) * down[:n])
+    out, level, at, have = np.full(n, size, np.uint64) * _STEP, words, 0, 1
+    while True:
+        if size & have:
+            out = joined(out, level[at : at + n])
+            at += have
+        if have * 2 > size:
+            return mix(out)
+        level, have = joined(level[:-have], level[have:]), have * 2
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of each run of words, which may be of any length and overlap others."""
+    out, level, at, have = lengths.astype(np.uint64) * _STEP, words, starts.astype(np.int64, copy=True), 1
+    most = int(lengths.max()) if len(lengths) else 0
+    while have <= most:
+        own = np.flatnonzero(lengths & have)
+        out[own] = joined(out[own], level[at[own]])
+        at[own] += have
+        if have * 2 <= most:
+            level = joined(level[:-have], level[have:])
+        have *= 2
+    return mix(out)
 
 
 def inside(first_word: np.ndarray, n_words: int, size: int) -> np.ndarray:
@@ -192,8 +211,4 @@ def inside(first_word: np.ndarray, n_words: int, size: int) -> np.ndarray:
 def whole_hashes(c: Chunk) -> np.ndarray:
     """A hash of each text's words; texts of a chunk that was lower-cased share it if they are equal but for
     A-Z and what stands between words."""
-    words, first = c.word_hashes, c.first_word
-    up, down = powers(len(words) + 1)
-    total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up[:-1], out=total[1:])
-    return mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(np.uint64))
+    return run_hashes(c.word_hashes, c.first_word[:-1], np.diff(c.first_word))
