@@ -20,6 +20,8 @@ Rows and values, case by case:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +37,44 @@ KINDS = ("assign", "access", "hex", "opaque")
 #: A value held by so many owners and repositories is a widely copied example.
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOS = 5
+#: Elements of a block of a scan; code points of a part of a text.
+BLOCK = 64
+CHARS = 4096
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, though f names it often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def _scan(values: Column, f: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """Of an array without NULLs: f over the elements up to each. Blocks of 64 are scanned on their own, and then
+    what their ends come to, so that the work grows with the array and not with its square."""
+    return _let(values, lambda v: _scanned(v, f, levels))
 
 
-def _ends(lengths: Column) -> Column:
-    """Running totals of an array of integers."""
-    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(lengths, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["all"], F.array(a["sum"] + x)).alias("all")))["all"]
+def _scanned(values: Column, f: Callable[[Column, Column], Column], levels: int) -> Column:
+    def whole(block: Column) -> Column:
+        return F.transform(block, lambda x, i: F.aggregate(F.slice(block, F.lit(1), i), x, f))
+
+    if not levels:
+        return whole(values)
+
+    def carried(inner: Column, ends: Column) -> Column:
+        return F.flatten(F.transform(inner, lambda block, k: F.when(k == 0, block).otherwise(_let(F.get(ends, k - 1), lambda ahead: F.transform(block, lambda x: f(ahead, x))))))
+
+    number = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), number), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    scanned = _let(F.transform(blocks, whole), lambda inner: _let(_scan(F.transform(inner, lambda b: F.element_at(b, -1)), f, levels - 1), lambda ends: carried(inner, ends)))
+    return F.when(F.size(values) == 0, values).when(F.size(values) <= BLOCK, whole(values)).otherwise(scanned)
 
 
 def _found(text: Column, kind: str, pattern: str, value_group: int) -> Column:
@@ -50,11 +84,11 @@ def _found(text: Column, kind: str, pattern: str, value_group: int) -> Column:
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     # each gap is followed by a match, but for the last
     steps = F.transform(F.arrays_zip(gaps.alias("g"), whole.alias("m")), lambda p: p["g"] + F.coalesce(F.length(p["m"]), F.lit(0)))
-    spans = F.transform(
-        F.arrays_zip(whole.alias("m"), value.alias("v"), F.slice(_ends(steps), 1, F.size(whole)).alias("e")),
+    ends = _scan(steps, lambda a, x: a + x)
+    return F.transform(
+        F.filter(F.arrays_zip(whole.alias("m"), value.alias("v"), ends.alias("e")), lambda p: p["m"].isNotNull()),
         lambda p: F.struct((p["e"] - F.length(p["m"])).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), p["e"].alias("end"), p["v"].alias("value")),
     )
-    return spans
 
 
 def _kind(text: Column, kind: str) -> Column:
@@ -71,13 +105,23 @@ def _kind(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINTS[kind]), F.filter(_found(text, kind, long_run, group), valid)).otherwise(none)
 
 
+def _clear(spans: Column) -> Column:
+    """Of spans by start, the opaque ones that no other kind overlaps: the others before them have ended, and the
+    next one begins behind them."""
+    opaque = lambda s: s["rank"] == KINDS.index("opaque")
+    ended = _scan(F.transform(spans, lambda s: F.when(opaque(s), 0).otherwise(s["end"])), _larger)
+    begins = F.reverse(_scan(F.reverse(F.transform(spans, lambda s: F.when(opaque(s), 2**31 - 1).otherwise(s["start"]))), _smaller))
+    told = F.arrays_zip(spans.alias("s"), ended.alias("ended"), begins.alias("begins"))
+    return F.transform(F.filter(told, lambda p: opaque(p["s"]) & (p["ended"] <= p["s"]["start"]) & (p["begins"] >= p["s"]["end"])), lambda p: p["s"])
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
     """doc, repo, owner, text_hash, base and opaque spans of every row; no text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(
         docs[id_col].alias("doc"), docs[repo_col].cast("string").alias("repo"), docs[owner_col].cast("string").alias("owner"), F.xxhash64(docs[text_col]).alias("text_hash"), *[_kind(text, k).alias(k) for k in KINDS]
     )
-    clear = F.filter("opaque", lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
+    clear = F.when((F.size("opaque") == 0) | (F.size("base") == 0), F.col("opaque")).otherwise(_let(F.sort_array(F.concat("base", "opaque")), _clear))
     return found.withColumn("base", F.sort_array(F.concat("assign", "access", "hex"))).select("doc", "repo", "owner", "text_hash", "base", clear.alias("opaque"))
 
 
@@ -124,19 +168,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     )
 
 
+def _masked(spans: Column, ended: Column, parts: Column, mask: str) -> Column:
+    """The text, given in parts of CHARS code points, with a mask in place of spans; those that overlap are one."""
+    def between(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / CHARS).cast("int"), F.floor(b / CHARS).cast("int")
+        part = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+        inside = F.substring(part(first), a - first * CHARS + 1, b - a)
+        across = F.concat(F.substring(part(first), a - first * CHARS + 1, F.lit(CHARS)), F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(part(last), F.lit(1), b - last * CHARS))
+        return F.when(first == last, inside).otherwise(across)
+
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get(ended, i - 1))
+    pieces = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(between(before(i), s["start"]), F.lit(mask))).otherwise(""))
+    return F.concat(F.array_join(pieces, ""), between(F.element_at(ended, -1), F.size(parts) * CHARS))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mask: str = "[secret]", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """All documents and columns; live-looking spans are replaced by the mask, widely copied examples stay."""
     rows = classified(docs, id_col, text_col, repo_col, owner_col, example_owners, example_repos)
     live = rows.select("doc", "text_hash", F.filter("spans", lambda s: s["live"]).alias("_live")).filter(F.size("_live") > 0).distinct()
-    # spans that overlap are masked as one
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = docs[text_col]
-    masked = F.aggregate(
-        live["_live"],
-        start,
-        lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(2**31 - 1))),
-    )
+    masked = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0)), lambda parts: _let(_scan(F.transform(live["_live"], lambda s: s["end"]), _larger), lambda ended: _masked(live["_live"], ended, parts, mask)))
     joined = docs.join(live, docs[id_col].eqNullSafe(live["doc"]) & F.xxhash64(docs[text_col]).eqNullSafe(live["text_hash"]), "left")
     return joined.select(*[F.when(live["_live"].isNull(), text).otherwise(masked).alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns])
 

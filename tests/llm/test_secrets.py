@@ -1,7 +1,10 @@
 import hashlib
 import re
+from itertools import accumulate
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from solvlake.llm import secrets
 from tests.llm.corpus import documents, rows, with_extra
 
@@ -79,3 +82,24 @@ def test_no_python_runs_and_empty_tables(spark):
     plan = secrets.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert secrets.scan(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).count() == 0
+
+
+def test_scans_of_every_length(spark):
+    lists = [[(k * 7919) % 101 for k in range(n)] for n in (0, 1, 2, 63, 64, 65, 128, 129, 4095, 4097, 9000)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    got = df.select("x", secrets._scan(F.col("x"), lambda a, b: a + b).alias("s"), secrets._scan(F.col("x"), secrets._larger).alias("m")).collect()
+    for r in got:
+        assert r.s == list(accumulate(r.x)) and r.m == list(accumulate(r.x, max))
+
+
+def test_a_text_of_very_many_secrets(spark):
+    """Work grows with the number of matches: 64,000 in one text."""
+    keys = [hashlib.sha256(str(k).encode()).hexdigest()[:32] for k in range(64_000)]
+    opaque = "Zx81Kq20Pw93Mn44Rt56"
+    text = "é " + " ".join(f"{k} {opaque}{i:08d}" if i % 4 == 0 else k for i, k in enumerate(keys))
+    df = documents(spark, [(1, text, "en", "own", len(text))])
+    got = secrets.scan(df).first()
+    assert (got.n_hex, got.n_opaque) == (64_000, 16_000)
+    assert got.spans.startswith("hex:2:34,opaque:35:63,hex:64:96") and got.spans.count(",") == 79_999
+    want = "é " + " ".join("[secret] [secret]" if i % 4 == 0 else "[secret]" for i in range(64_000))
+    assert secrets.redact(df).first().text == want
