@@ -14,15 +14,17 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from solvlake.plans import dialect
 from solvlake.sources.files import json_rows
 
 ALLOWED = ("v_current_best", "papers", "text_endpoints", "prompt_runs")
 LIMIT = 500
-#: Rows of an answer, whatever limit a query sets itself; an answer is one string.
+#: Rows of an answer, which is one string. A query with more of them gets an error, not a part of them.
 MOST_ROWS = 10_000
 TIMEOUT_S = 5.0
-#: Functions that reach outside of SQL.
-OUTSIDE = ("reflect", "java_method", "try_reflect")
+#: Groups of functions that a query may call, and others that it may.
+GROUPS = ("agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "date_funcs", "datetime_funcs", "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "variant_funcs", "window_funcs")
+ALSO = ("typeof", *(f.lower() for f in dialect.FUNCTIONS))
 #: Plan nodes of statements that do something; a query has none.
 STATEMENTS = ("plans.logical.Command", "plans.logical.ParsedStatement")
 
@@ -42,13 +44,6 @@ def _bare(sql: str) -> str:
     return re.sub(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`""", "''", sql, flags=re.DOTALL)
 
 
-def _children(node) -> list:
-    out = []
-    for seq in (node.children(), node.innerChildren(), node.subqueries()):
-        out += [seq.apply(i) for i in range(seq.size())]
-    return out
-
-
 def relations(spark: SparkSession, sql: str) -> tuple[list[str], set[str], str]:
     """Relations that the parsed query reads, names its CTEs define, and the root node's name."""
     from py4j.java_gateway import is_instance_of
@@ -60,9 +55,7 @@ def relations(spark: SparkSession, sql: str) -> tuple[list[str], set[str], str]:
         raise GuardError(f"query failed: {str(e).splitlines()[0]}") from None
     read: list[str] = []
     defined: set[str] = set()
-    todo = [plan]
-    while todo:
-        node = todo.pop()
+    for node in dialect.nodes(plan):
         kind = node.nodeName()
         if any(is_instance_of(spark.sparkContext._gateway, node, f"org.apache.spark.sql.catalyst.{c}") for c in STATEMENTS):
             raise GuardError(f"a query may only read; this has {kind}")
@@ -72,14 +65,26 @@ def relations(spark: SparkSession, sql: str) -> tuple[list[str], set[str], str]:
             raise GuardError("table functions are not on the allow-list")
         elif kind == "UnresolvedWith":
             pairs = node.cteRelations()
-            for i in range(pairs.size()):
-                pair = pairs.apply(i)
-                defined.add(pair._1().lower())
-                todo.append(pair._2())
-        todo += [c for c in _children(node) if hasattr(c, "nodeName")]
+            defined |= {pairs.apply(i)._1().lower() for i in range(pairs.size())}
+    for e in dialect.expressions(plan):
+        if e.getClass().getSimpleName() == "UnresolvedFunction":
+            parts = e.nameParts()
+            name = ".".join(parts.apply(i) for i in range(parts.size())).lower()
+            if not callable_(spark, name):
+                raise GuardError(f"the function {name} is not on the allow-list")
     return read, defined, plan.nodeName()
 
 
+def callable_(spark: SparkSession, name: str) -> bool:
+    """Whether a query may call a function: built in and of an allowed group, or named. What there is not may pass, as
+    the engine says so itself."""
+    if name in ALSO:
+        return True
+    registry = spark._jsparkSession.sessionState().functionRegistry()
+    found = registry.lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+    return not found.isDefined() or found.get().getGroup() in GROUPS
+
+
 def check(spark: SparkSession, sql: str, allowed: tuple[str, ...] = ALLOWED) -> tuple[str, bool]:
     """The query to run, and whether it limits its own result; GuardError if it is not let through."""
     clean = without_comments(sql)
@@ -91,9 +96,6 @@ def check(spark: SparkSession, sql: str, allowed: tuple[str, ...] = ALLOWED) ->
         raise GuardError("one statement at a time")
     if not re.match(r"(SELECT|WITH)\b", bare, re.IGNORECASE):
         raise GuardError("a query starts with SELECT or WITH")
-    for name in OUTSIDE:
-        if re.search(rf"\b{name}`?\s*\(", body, re.IGNORECASE):
-            raise GuardError(f"the function {name} reaches outside of SQL")
     read, defined, root = relations(spark, body)
     if clash := defined & set(allowed):
         raise GuardError(f"a CTE may not take a name of the allow-list: {sorted(clash)}")
@@ -102,26 +104,22 @@ def check(spark: SparkSession, sql: str, allowed: tuple[str, ...] = ALLOWED) ->
     return body, root == "GlobalLimit" or root == "UnresolvedWith" and bool(re.search(r"\bLIMIT\s+\d+\s*$", bare, re.IGNORECASE))
 
 
-def sqlite_like(sql: str) -> str:
-    """LIKE as SQLite has it, in any case."""
-    parts = re.split(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`)""", sql)
-    return "".join(p if i % 2 else re.sub(r"\bLIKE\b", "ILIKE", p, flags=re.IGNORECASE) for i, p in enumerate(parts))
-
-
-def guarded(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], limit: int = LIMIT, like_sqlite: bool = False) -> DataFrame:
-    """The guarded query over the given relations; at most limit rows unless it sets its own limit."""
-    body, limited = check(spark, sql, tuple(v.lower() for v in views))
+def guarded(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], limit: int = LIMIT, sqlite: bool = False) -> DataFrame:
+    """The guarded query over the given relations; at most limit rows unless it sets its own limit. sqlite: in
+    SQLite's meaning (see `dialect`)."""
     own = spark.newSession()
     for key, value in {"spark.sql.ansi.doubleQuotedIdentifiers": "true", "spark.sql.runSQLOnFiles": "false", "spark.sql.session.timeZone": "UTC"}.items():
         own.conf.set(key, value)
+    body, limited = check(own, sql, tuple(v.lower() for v in views))
     for name, df in views.items():
         # a view belongs to the session of its frame, so the frame is taken over by its plan
         DataFrame(own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().logical()), own).createOrReplaceTempView(name)
-    found = own.sql(sqlite_like(body) if like_sqlite else body)
+    dialect.register(own)
+    found = own.sql(dialect.sqlite(own, body) if sqlite else body)
     return found if limited else found.limit(limit)
 
 
-def query_database(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], timeout: float = TIMEOUT_S, limit: int = LIMIT) -> str:
+def query_database(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], timeout: float = TIMEOUT_S, limit: int = LIMIT, sqlite: bool = True) -> str:
     """JSON rows, or {"error": ...}; never raises for a bad query."""
     tag, late = f"guarded-{uuid.uuid4().hex}", threading.Event()
     context = spark.sparkContext
@@ -132,10 +130,11 @@ def query_database(spark: SparkSession, sql: str, views: Mapping[str, DataFrame]
 
     timer = threading.Timer(timeout, stop)
     try:
-        found = guarded(spark, sql, views, limit)
+        found = guarded(spark, sql, views, limit, sqlite)
         context.addJobTag(tag)
         timer.start()
-        return json_rows(found.limit(MOST_ROWS)).first()[0]
+        n, rows = json_rows(found.limit(MOST_ROWS + 1), counted=True).first()
+        return rows if n <= MOST_ROWS else json.dumps({"error": f"more than {MOST_ROWS} rows; ask for fewer with LIMIT, or for totals"})
     except GuardError as e:
         return json.dumps({"error": str(e)})
     except Exception as e:  # whatever the engine says about a query is an answer too

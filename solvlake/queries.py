@@ -449,6 +449,40 @@ def f28_percent_from_log_d(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- clusters, ad-hoc SQL, ingestion ---
 
+LIFE = "TIMESTAMP '2024-01-01 00:00:00'"
+
+
+@query(f"SELECT n_name AS batch_id, c_custkey::VARCHAR AS custom_id, CASE c_custkey % 5 WHEN 0 THEN 'ended' WHEN 1 THEN 'errored' WHEN 2 THEN 'ended_late' ELSE 'timed_out' END AS status, strftime({LIFE} + CASE c_custkey % 5 WHEN 0 THEN INTERVAL 3 HOUR WHEN 1 THEN INTERVAL 4 HOUR WHEN 2 THEN INTERVAL 61 HOUR ELSE INTERVAL (1440 + c_custkey % 7) MINUTE END, '%Y-%m-%d %H:%M') AS at, CASE WHEN c_custkey % 5 IN (0, 2) THEN c_name END AS text, CASE WHEN c_custkey % 5 = 1 THEN 'overloaded' WHEN c_custkey % 5 >= 3 THEN 'no result returned' END AS error FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def t1_request_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as requests, a batch a nation, followed by a stream that is restarted three times: requests, then
+    results, errors and polls, then late and repeated results, and at last the time that lets the rest run out."""
+    from solvlake.streaming import lifecycle
+
+    base = files.workspace(spark, "lifecycle")
+    some = t(spark, sf, "customer").join(F.broadcast(t(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    some = some.select(F.col("n_name").alias("batch_id"), F.col("c_custkey").cast("string").alias("custom_id"), (F.col("c_custkey") % 5).alias("kind_of"), (F.col("c_custkey") % 7).alias("later"), "c_name")
+    after = lambda minutes: F.timestamp_micros(F.lit(1_704_067_200_000_000).cast("long") + minutes.cast("long") * 60_000_000)
+
+    def told(which, kind: str, hours: int, text=None) -> DataFrame:
+        return some.filter(which).withColumns({"kind": F.lit(kind), "at": after(F.lit(hours * 60)), "text": F.lit(None).cast("string") if text is None else text})
+
+    k, name = F.col("kind_of"), F.col("c_name")
+    clock = lambda hours: spark.range(1).select(F.lit("clock").alias("batch_id"), F.lit("clock").alias("custom_id"), F.lit("in_progress").alias("kind"), after(F.lit(hours * 60)).alias("at"), F.lit(None).cast("string").alias("text"))
+    rounds = [
+        [],
+        [told(k == 0, "result", 3, name), told(k == 1, "error", 4, F.lit("overloaded")), told(k == 2, "in_progress", 4), clock(60)],
+        [told(k == 2, "result", 61, name), told(k == 0, "result", 62, F.lit("again")), clock(100)],
+        [clock(101)],
+    ]
+    lifecycle.submit(some.withColumn("at", after(F.col("later"))), f"{base}/events")
+    for events in rounds:
+        for part in events:
+            lifecycle.record(part, f"{base}/events")
+        lifecycle.follow(spark, f"{base}/events", f"{base}/transitions", f"{base}/checkpoint")
+    standing = lifecycle.standing(spark.read.schema(lifecycle.TRANSITION).parquet(f"{base}/transitions"))
+    return standing.select("batch_id", "custom_id", "status", F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"), "text", "error")
+
+
 CLUSTERS = """WITH RECURSIVE p AS (SELECT label, vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
 e AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b USING (label) WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.02),
 r(label, a, b) AS (SELECT label, a, b FROM e UNION SELECT r.label, r.a, e.b FROM r JOIN e ON r.label = e.label AND r.b = e.a)
@@ -461,11 +495,41 @@ def e8_single_linkage(spark: SparkSession, sf: str) -> DataFrame:
     return curves.single_linkage(found, ["label"], "x", "y", "eps", "vec_id")
 
 
+@query("""WITH RECURSIVE p AS (SELECT event_id AS i, epoch_us(ts) / 3.6e9 AS x, value AS y FROM events), c AS (SELECT *, floor(x) AS cx, floor(y) AS cy FROM p),
+n AS (SELECT *, unnest([-1, 0, 1]) AS dx FROM c), o AS (SELECT *, unnest([-1, 0, 1]) AS dy FROM n),
+e AS (SELECT a.i AS a, b.i AS b FROM o a JOIN c b ON b.cx = a.cx + a.dx AND b.cy = a.cy + a.dy WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.75),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS event_id, min(b) AS cluster FROM r GROUP BY 1""")
+def e8_one_large_group(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as the points of one group, which is clustered over the cluster."""
+    found = points(spark, sf).select("event_id", (F.col("x") / 3.6e9).alias("x"), "y", F.lit(0.75).alias("eps"))
+    return curves.single_linkage(found, [], "x", "y", "eps", "event_id")
+
+
 @query("WITH c AS (SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1) SELECT * FROM c ORDER BY n DESC")
 def d1_guarded_sql(spark: SparkSession, sf: str) -> DataFrame:
     return guard.guarded(spark, "WITH c AS (SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM papers GROUP BY 1) SELECT * FROM c ORDER BY n DESC -- any order", {"papers": t(spark, sf, "orders")})
 
 
+@query("SELECT p_partkey, p_size // 7 AS sevenths, CASE WHEN p_size % 5 <> 0 THEN 100 // (p_size % 5) END AS share, p_retailprice / (p_size - 10) AS price FROM part WHERE p_type ILIKE '%brass%' OR p_brand NOT ILIKE 'BRAND#1_' AND p_size // 7 // 2 = 1")
+def d1_sqlite_meaning(spark: SparkSession, sf: str) -> DataFrame:
+    """LIKE in any case, whole division, and NULL for a division by zero."""
+    asked = "SELECT p_partkey, p_size/7 AS sevenths, 100/(p_size % 5) AS share, p_retailprice/(p_size - 10) AS price FROM papers WHERE p_type LIKE '%bRaSs%' OR p_brand NOT LIKE 'brand#1_' AND p_size/7/2 = 1 LIMIT 1000000"
+    return guard.guarded(spark, asked, {"papers": t(spark, sf, "part")}, sqlite=True)
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, min(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')) AS first FROM orders GROUP BY 1")
+def d1_sqlite_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return guard.guarded(spark, "SELECT strftime('%Y-%m', o_orderdate) AS month, count(*) AS n, min(datetime(o_orderdate)) AS first FROM papers GROUP BY strftime('%Y-%m', o_orderdate)", {"papers": t(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))})
+
+
+@query(f"WITH {MASS_SQL}, e AS (SELECT p_partkey, p_retailprice AS feed, p_size::DOUBLE AS ml, mass FROM part LEFT JOIN m ON p_partkey % 25 = m.k) SELECT p_partkey, round(feed / mass, 9) AS mm, round(feed / mass * (ml / 1000.0) * mass, 9) AS mg, CASE WHEN ml <> 10 THEN round(feed / (ml - 10), 9) END AS ratio FROM e")
+def d1_calculator_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The conversions, called from a query."""
+    asked = "SELECT p_partkey, round(ppm_to_mM(feed, atomic_mass(element)), 9) AS mm, round(mass_mg_in_volume(ppm_to_mM(feed, atomic_mass(element)), size, atomic_mass(element)), 9) AS mg, round(molar_ratio_from_conc(feed, size - 10), 9) AS ratio FROM papers LIMIT 1000000"
+    return guard.guarded(spark, asked, {"papers": elements(spark, sf)})
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 500")
 def l2_injected_limit(spark: SparkSession, sf: str) -> DataFrame:
     return guard.guarded(spark, "SELECT o_orderkey FROM papers ORDER BY o_orderkey", {"papers": t(spark, sf, "orders")})
@@ -521,6 +585,64 @@ def s18_commit_and_view(spark: SparkSession, sf: str) -> DataFrame:
     return store.current_best().select("element", "ph")
 
 
+def parts_measured(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as the rows of one extraction."""
+    from solvlake.schema import SCHEMA
+
+    cells = {"element": F.col("p_brand"), "ph": F.col("p_size").cast("double")}
+    return t(spark, sf, "part").select(F.col("p_partkey").alias("row_ord"), *[cells.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in SCHEMA])
+
+
+@query("""WITH a AS (SELECT * FROM part WHERE p_size <= 25), r AS (
+  SELECT 'as of 1' AS seen, p_brand AS element FROM a UNION ALL SELECT 'as of 2', p_brand FROM a UNION ALL SELECT 'as of 2', p_brand FROM part
+  UNION ALL SELECT 'compacted', p_brand FROM a UNION ALL SELECT 'compacted', p_brand FROM part UNION ALL SELECT 'current', p_brand FROM part)
+SELECT seen, element, count(*) AS n, 'refused, nothing was committed: one approved run for each paper and version' AS refused FROM r GROUP BY 1, 2""")
+def s18_log_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Two commits, a third that is refused, a compaction; the rows as of each commit, and what is current."""
+    from solvlake.plans.store import CommitError, Store
+
+    store, given = Store(spark, files.workspace(spark, "store")), parts_measured(spark, sf)
+    for version, rows_ in (("extraction_v5", given.filter("ph <= 25")), ("extraction_v6", given)):
+        store.commit_extraction(rows_, content_sha256="one", pdf_path="one.pdf", prompt_version=version)
+    refused = None
+    try:
+        store.commit_extraction(given, content_sha256="one", pdf_path="one.pdf", prompt_version="extraction_v6")
+    except CommitError as e:
+        refused = str(e)
+    store.compact()
+    seen = {"as of 1": store.table("extractions", as_of=1), "as of 2": store.table("extractions", as_of=2), "compacted": store.table("extractions"), "current": store.current_best()}
+    every = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("seen"), "element") for k, df in seen.items()])
+    return every.groupBy("seen", "element").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
+
+
+@query("SELECT 'extraction_v5' AS prompt_version, count(*) FILTER (p_size <= 25)::INT AS n_rows_returned, NULL::DOUBLE AS input_tokens, NULL::DOUBLE AS cache_read_input_tokens FROM part UNION ALL SELECT 'extraction_v6', count(*)::INT, sum(p_size)::DOUBLE, NULL FROM part")
+def s3_schema_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A store whose first commit is of a schema without the four usage columns, and whose second one has them."""
+    from solvlake.plans.store import Store
+
+    path, given = files.workspace(spark, "store"), parts_measured(spark, sf)
+    Store(spark, path, version=1).commit_extraction(given.filter("ph <= 25"), content_sha256="one", pdf_path="one.pdf", prompt_version="extraction_v5")
+    tokens = int(given.agg(F.sum("ph")).first()[0])
+    store = Store(spark, path)
+    store.commit_extraction(given, content_sha256="one", pdf_path="one.pdf", prompt_version="extraction_v6", input_tokens=tokens)
+    return store.table("prompt_runs").select("prompt_version", "n_rows_returned", *[F.col(c).cast("double").alias(c) for c in ("input_tokens", "cache_read_input_tokens")])
+
+
+@query("SELECT o_orderkey AS prompt_run_id, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'P' THEN 'pending' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'rejected' ELSE 'pending' END END AS status FROM orders")
+def s15_bulk_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as papers and orders as their runs, committed at once, and reviews of them as a second commit."""
+    from solvlake.plans.store import Store
+
+    store = Store(spark, files.workspace(spark, "store"))
+    orders = t(spark, sf, "orders").select(F.col("o_orderkey").alias("prompt_run_id"), F.col("o_custkey").alias("paper_id"), F.concat_ws(" ", "o_orderpriority", "o_orderkey").alias("prompt_version"), "o_orderstatus")
+    papers = t(spark, sf, "customer").select(F.col("c_custkey").alias("paper_id"), F.sha2("c_name", 256).alias("content_sha256"))
+    status = lambda rows_, value, shift: rows_.select((F.col("prompt_run_id") * 2 + shift).alias("event_id"), "prompt_run_id", value.alias("status"))
+    store.publish({"papers": papers, "prompt_runs": orders, "run_status": status(orders, F.lit("pending"), 0)})
+    reviewed = orders.filter("o_orderstatus = 'F' OR o_orderstatus <> 'P' AND prompt_run_id % 2 = 0")
+    store.publish({"run_status": status(reviewed, F.when(F.col("o_orderstatus") == "F", "approved").otherwise("rejected"), 1)})
+    return store.runs().select("prompt_run_id", "status")
+
+
 @query("SELECT r_name AS custom_id, r_regionkey::DOUBLE AS ph FROM region")
 def t1_incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """A response file for each region, read by a stream that stops when it has them all."""

@@ -141,7 +141,8 @@ def write_sidecars(df: DataFrame, path: str, name: str) -> None:
         write_text(df.sparkSession, f"{path.rstrip('/')}/{r.name}.json", r.json)
 
 
-def json_rows(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """One row: a JSON array of all row objects, nulls kept. For results of a bounded size."""
+def json_rows(df: DataFrame, order: list[str] | None = None, counted: bool = False) -> DataFrame:
+    """One row: a JSON array of all row objects, nulls kept, and, if asked, their number before it. For results of a
+    bounded size."""
     each = (df.orderBy(*order) if order else df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
-    return each.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("rows"))
+    return each.agg(*[F.count("*").alias("n")] * counted, F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("rows"))
