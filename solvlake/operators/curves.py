@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvlake.operators import ordered
+from solvlake.operators.graph import components
 from solvlake.operators.linkage import single_linkage
+from solvlake.sources.files import kept
 
 # Geometry limits in points (vector) and pixels (raster).
 LEAST_MARKERS, LEAST_SERIES, LEAST_TOTAL, LEAST_TICKS = 3, 2, 24, 3
@@ -72,7 +75,8 @@ def largest_image(objects: DataFrame, keys: list[str]) -> DataFrame:
 
 def epsilons(markers: DataFrame, keys: list[str]) -> DataFrame:
     """keys, eps: a tenth of the median glyph diagonal."""
-    return markers.groupBy(*keys).agg(F.coalesce(EPSILON * F.median(F.hypot("width", "height")), F.lit(EPSILON_ALONE)).alias("eps"))
+    middle = ordered.medians(markers, keys, {"eps": F.hypot("width", "height")})
+    return middle.withColumn("eps", F.coalesce(EPSILON * F.col("eps"), F.lit(EPSILON_ALONE)))
 
 
 def centroids(points: DataFrame, clusters: DataFrame, keys: list[str], x: str, y: str, ordinal: str) -> DataFrame:
@@ -171,22 +175,27 @@ def marker_blobs(blobs: DataFrame) -> DataFrame:
     return blobs.filter(F.col("area").between(*BLOB_AREA) & w.between(*BLOB_SIDE) & h.between(*BLOB_SIDE) & (w / h).between(*BLOB_ASPECT))
 
 
-def bands(points: DataFrame, keys: list[str], along: str, ordinal: str, gap: float = ROW_GAP) -> DataFrame:
-    """Adds band: a new one begins where the next value is more than gap away."""
-    w = Window.partitionBy(*keys).orderBy(along, ordinal)
-    return points.withColumn("_new", F.when(F.col(along) - F.lag(along).over(w) > gap, 1).otherwise(0)).withColumn("band", F.sum("_new").over(w)).drop("_new")
+def bands(points: DataFrame, keys: list[str], along: str, ordinal: str, gap: float = ROW_GAP, most: int = ordered.MOST) -> DataFrame:
+    """Adds band: a new one begins where the next value is more than gap away. Groups may be of any size."""
+    return ordered.islands(ordered.parted(points, keys, along, most), [along, ordinal], gap, "band").drop(ordered.PART)
+
+
+def _rows_of_text(blobs: DataFrame, keys: list[str], ordinal: str, x: str, y: str) -> DataFrame:
+    """blobs with their band, its number of blobs and its median gap along x."""
+    w = Window.partitionBy(*keys, "band")
+    banded = bands(blobs, keys, y, ordinal).withColumn("_gap", F.col(x) - F.lag(x).over(w.orderBy(x, ordinal)))
+    return banded.withColumn("_n", F.count("*").over(w)).withColumn("_gap", F.median("_gap").over(w))
 
 
 def text_rows(blobs: DataFrame, keys: list[str], ordinal: str, x: str = "cx", y: str = "cy") -> DataFrame:
     """keys, band, n, median gap of the bands that are rows of text: many blobs, closely spaced."""
-    banded = bands(blobs, keys, y, ordinal)
-    step = F.col(x) - F.lag(x).over(Window.partitionBy(*keys, "band").orderBy(x, ordinal))
-    told = banded.withColumn("_gap", step).groupBy(*keys, "band").agg(F.count("*").alias("n"), F.median("_gap").alias("gap"))
+    told = _rows_of_text(blobs, keys, ordinal, x, y).groupBy(*keys, "band").agg(F.first("_n").alias("n"), F.first("_gap").alias("gap"))
     return told.filter((F.col("n") >= ROW_BLOBS) & (F.col("gap") < ROW_SPACING))
 
 
 def without_text_rows(blobs: DataFrame, keys: list[str], ordinal: str, x: str = "cx", y: str = "cy") -> DataFrame:
-    return bands(blobs, keys, y, ordinal).join(text_rows(blobs, keys, ordinal, x, y).select(*keys, "band"), [*keys, "band"], "left_anti").drop("band")
+    text = (F.col("_n") >= ROW_BLOBS) & (F.col("_gap") < ROW_SPACING)
+    return _rows_of_text(blobs, keys, ordinal, x, y).filter(~F.coalesce(text, F.lit(False))).drop("band", "_n", "_gap")
 
 
 def ambiguous_pages(blobs: DataFrame, keys: list[str]) -> DataFrame:
@@ -232,28 +241,89 @@ def opened(mask: np.ndarray) -> np.ndarray:
     return np.logical_or.reduce(around(np.logical_and.reduce(around(mask))))
 
 
-def blobs_in(image: np.ndarray) -> pd.DataFrame:
-    """cx, cy, area, bbox_w, bbox_h, fill_ratio of the ink blobs of a grey image."""
-    lab = _labelled(opened(image < INK))
-    ys, xs = np.nonzero(lab)
-    found = pd.DataFrame({"k": lab[ys, xs], "x": xs, "y": ys}).groupby("k").agg(x0=("x", "min"), x1=("x", "max"), y0=("y", "min"), y1=("y", "max"), area=("x", "size"))
-    found = found[found.area.between(*BLOB_AREA)].sort_values(["y0", "x0"])
-    w, h = found.x1 - found.x0 + 1, found.y1 - found.y0 + 1
-    return pd.DataFrame({"cx": (found.x0 + found.x1) / 2.0, "cy": (found.y0 + found.y1) / 2.0, "area": found.area, "bbox_w": w, "bbox_h": h, "fill_ratio": found.area / (w * h)}).reset_index(drop=True)
+#: Pixels of a tile's side; an opening looks two pixels beyond it.
+TILE, HALO = 1024, 2
+_PART = "area int, x0 int, x1 int, y0 int, y1 int, lead long, touches array<struct<upright: boolean, border: int, place: int, before: boolean>>"
+
+
+#: Bytes of ink that one batch of tiles holds.
+TILES_BYTES = 4 << 20
 
 
-def detect_blobs(images: DataFrame, keys: list[str]) -> DataFrame:
-    """images: keys, height, width, pixels (8-bit grey, row by row). A row for each blob, with blob_id."""
+def _parts_of(ink: np.ndarray, top: int, left: int, up: int, back: int, height: int, width: int, whole: tuple[int, int]) -> list[tuple]:
+    """The parts of blobs in a tile: rows from top, columns from left, of which the first `up` rows and `back`
+    columns belong to the tiles beside it. touches: the pixels at the tile's borders inside the image."""
+    lab = _labelled(opened(ink)[up : up + height, back : back + width])
+    ys, xs = np.nonzero(lab)
+    if not len(ys):
+        return []
+    order = np.argsort(lab[ys, xs], kind="stable")
+    ys, xs = ys[order] + top, xs[order] + left
+    names, first = np.unique(lab[ys - top, xs - left], return_index=True)
+    ends = [f(v, first).tolist() for f, v in ((np.minimum.reduceat, xs), (np.maximum.reduceat, xs), (np.minimum.reduceat, ys), (np.maximum.reduceat, ys), (np.minimum.reduceat, ys.astype(np.int64) * whole[1] + xs))]
+    touches: dict[int, list[dict]] = {}
+    sides = [(True, left, lab[:, 0], top, False), (True, left + width, lab[:, -1], top, True), (False, top, lab[0], left, False), (False, top + height, lab[-1], left, True)]
+    for upright, border, line, start, before in sides:
+        if 0 < border < whole[1 if upright else 0]:
+            for place in np.flatnonzero(line).tolist():
+                touches.setdefault(int(line[place]), []).append({"upright": upright, "border": border, "place": start + place, "before": before})
+    area = np.diff(np.append(first, len(ys))).tolist()
+    return [(n, *e, touches.get(k, [])) for k, n, *e in zip(names.tolist(), area, *ends, strict=True)]
+
+
+def detect_blobs(images: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+    """images: keys, height, width, pixels (8-bit grey, row by row). A row for each blob, with blob_id.
+
+    Images are cut into tiles, which are tasks of their own. Blobs that cross a border have a part in each tile; parts
+    meet at the pixels on both sides of the border, and connected parts are one blob."""
     kinds = {f.name: f.dataType.simpleString() for f in images.schema.fields}
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["blob_id int, cx double, cy double, area int, bbox_w int, bbox_h int, fill_ratio double"])
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    cut = "top int, left int, up int, back int, rows int, columns int, height int, width int, ink binary"
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tiles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*keys, "top", "left", "up", "back", "rows", "columns", "height", "width", "ink"]
+        found, size = [], 0
         for part in parts:
             for row in part.itertuples(index=False):
-                found = blobs_in(np.frombuffer(row.pixels, dtype=np.uint8).reshape(row.height, row.width))
-                yield found.assign(blob_id=range(len(found)), **{k: getattr(row, k) for k in keys})[[*keys, "blob_id", "cx", "cy", "area", "bbox_w", "bbox_h", "fill_ratio"]]
-
-    return images.select(*keys, "height", "width", "pixels").mapInPandas(run, schema)
+                image = np.frombuffer(row.pixels, dtype=np.uint8).reshape(row.height, row.width) < INK
+                for top in range(0, row.height, tile):
+                    for left in range(0, row.width, tile):
+                        high, wide = min(tile, row.height - top), min(tile, row.width - left)
+                        y, x = max(0, top - HALO), max(0, left - HALO)
+                        piece = image[y : top + high + HALO, x : left + wide + HALO]
+                        if piece.any():
+                            ink = np.packbits(piece).tobytes()
+                            found.append((*[getattr(row, k) for k in keys], top, left, top - y, left - x, high, wide, row.height, row.width, ink))
+                            size += len(ink)
+                        if size > TILES_BYTES:
+                            yield pd.DataFrame(found, columns=names)
+                            found, size = [], 0
+        if found:
+            yield pd.DataFrame(found, columns=names)
+
+    def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = []
+            for row in part.itertuples(index=False):
+                shape = (min(row.height, row.top + row.rows + HALO) - row.top + row.up, min(row.width, row.left + row.columns + HALO) - row.left + row.back)
+                ink = np.unpackbits(np.frombuffer(row.ink, np.uint8), count=shape[0] * shape[1]).reshape(shape).astype(bool)
+                own = tuple(getattr(row, k) for k in keys)
+                found += [own + p for p in _parts_of(ink, row.top, row.left, row.up, row.back, row.rows, row.columns, (row.height, row.width))]
+            if found:
+                yield pd.DataFrame(found, columns=[*keys, "area", "x0", "x1", "y0", "y1", "lead", "touches"])
+
+    cells = images.select(*keys, "height", "width", "pixels").mapInPandas(tiles, f"{named}, {cut}")
+    parts = kept(cells.mapInPandas(label, f"{named}, {_PART}").withColumn("part", F.monotonically_increasing_id()))
+    border = parts.select(*keys, "part", F.inline("touches"))
+    side = [*keys, "upright", "border", "place"]
+    behind = border.filter("NOT before").select(*[F.col(c).alias(f"{c}_") for c in side], F.col("part").alias("b"))
+    ahead = border.filter("before").withColumnRenamed("part", "a")
+    roots = components(ahead.join(behind, ordered.same(ahead, behind, side, side, "_")).select("a", "b"))
+    whole = parts.join(roots, parts["part"] == roots["node"], "left").groupBy(*keys, F.coalesce("root", "part").alias("root"))
+    found = whole.agg(F.sum("area").cast("int").alias("area"), *[F.min(c).alias(c) for c in ("x0", "y0", "lead")], *[F.max(c).alias(c) for c in ("x1", "y1")]).filter(F.col("area").between(*BLOB_AREA))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("y0", "x0", "lead")) - 1  # blobs of one image
+    w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
+    return found.select(*keys, number.cast("int").alias("blob_id"), ((F.col("x0") + F.col("x1")) / 2.0).alias("cx"), ((F.col("y0") + F.col("y1")) / 2.0).alias("cy"), "area", w.cast("int").alias("bbox_w"), h.cast("int").alias("bbox_h"), (F.col("area") / (w * h)).alias("fill_ratio"))
 
 
 def raster_markers(blobs: DataFrame, keys: list[str]) -> DataFrame:

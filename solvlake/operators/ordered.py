@@ -99,3 +99,60 @@ def latest(at: Parted, order: list[Column | str], value: Column, name: str, desc
     values = F.filter(F.transform("_ahead", lambda x: x["v"]), lambda x: x.isNotNull())
     carried = F.array_min(values) if descending else F.array_max(values)
     return told.withColumn(name, F.coalesce(name, carried)).drop("_ahead")
+
+
+def islands(at: Parted, order: list[Column | str], gap: float, name: str) -> DataFrame:
+    """The rows with the number, from 0, of their island: a new one begins where the next value of `by` in the order,
+    which begins with it, is more than gap away."""
+    value, w = F.col(at.by), at.window(*order)
+    local = at.rows.withColumn("_new", F.when(value - F.lag(value).over(w) > gap, 1).otherwise(0)).withColumn(name, F.sum("_new").over(w))
+    if not at.cut:
+        return local.drop("_new")
+    # a row a part: its islands, and whether its first row begins one
+    parts = local.groupBy(*at.keys, PART).agg(F.sum("_new").alias("_k"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    ahead = Window.partitionBy(*at.keys).orderBy(PART)
+    earlier = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_first", F.when(F.col("_low") - F.last("_high", ignorenulls=True).over(earlier) > gap, 1).otherwise(0))
+    carry = parts.select(*at.keys, PART, (F.coalesce(F.sum(F.col("_k") + F.col("_first")).over(earlier), F.lit(0)) + F.col("_first")).alias("_ahead"))
+    return at.with_carry(local, carry).withColumn(name, F.col(name) + F.coalesce("_ahead", F.lit(0))).drop("_new", "_ahead")
+
+
+def medians(rows: DataFrame, keys: list[str], columns: dict[str, Column], most: int = MOST) -> DataFrame:
+    """keys and the exact median of each column. Groups of at most `most` rows by an aggregate; of larger ones the
+    parts that hold the middle ranks are found by their counts, and the middle values in those parts alone."""
+    named = rows.select(*keys, *[c.cast("double").alias(n) for n, c in columns.items()])
+    sizes = named.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    found = sizes.collect()  # a row for each `most` rows of the table at most
+    plain = lambda df: df.groupBy(*keys).agg(*[F.median(n).alias(n) for n in columns])
+    if not found:
+        return plain(named)
+    if not keys:
+        each = [_median(named, keys, n, most) for n in columns]
+        return reduce(DataFrame.crossJoin, each)  # one row each
+    large = F.broadcast(named.sparkSession.createDataFrame([r[:-1] for r in found], sizes.drop("_n").schema).withColumnsRenamed({k: f"{k}_" for k in keys}))
+    big, small = (named.join(large, same(named, large, keys, keys, "_"), how) for how in ("left_semi", "left_anti"))
+    told = big.select(*keys).distinct()
+    for n in columns:
+        right = _median(big, keys, n, most).withColumnsRenamed({k: f"{k}_" for k in keys})
+        told = told.join(F.broadcast(right), same(told, right, keys, keys, "_"), "left").drop(*[f"{k}_" for k in keys])  # large groups only
+    return plain(small).unionByName(told)
+
+
+def _median(rows: DataFrame, keys: list[str], column: str, most: int) -> DataFrame:
+    """keys and the median of a column, by the ranks of its values."""
+    at = parted(rows.select(*keys, column).filter(F.col(column).isNotNull()), keys, column, most)
+    parts = at.rows.groupBy(*keys, PART).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = parts.withColumn("_before", before).withColumn("_all", F.sum("_n").over(whole))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1  # ranks from 1
+    holds = lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_n"))
+    wanted = ranked.filter(holds(low) | holds(high)).select(*[F.col(k).alias(f"{k}_") for k in keys], F.col(PART).alias("_p"), "_before", low.alias("_low"), high.alias("_high"))
+    wanted = F.broadcast(wanted)  # two parts a group at most
+    here = at.rows.join(wanted, same(at.rows, wanted, keys, keys, "_") & (at.rows[PART] == wanted["_p"])).drop(*[f"{k}_" for k in keys])
+    # ties are one row, so that a part of one value is no work
+    counts = here.groupBy(*keys, PART, column, "_before", "_low", "_high").agg(F.count("*").alias("_n"))
+    end = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, PART).orderBy(column))
+    told = counts.withColumn("_end", end)
+    hit = lambda r: F.max(F.when((F.col(r) <= F.col("_end")) & (F.col(r) > F.col("_end") - F.col("_n")), F.col(column)))
+    return told.groupBy(*keys).agg((0.5 * hit("_low") + 0.5 * hit("_high")).alias(column))

@@ -88,11 +88,21 @@ def contains_pattern(text: Column, pattern: Column) -> Column:
     return F.regexp(text, F.concat(F.lit("(?i)"), F.when(pattern.rlike(SIMPLE), pattern).otherwise(quoted)))
 
 
-def reversals(df: DataFrame, keys: list[str], x: str, y: str, ordinal: str, noise: float = NOISE) -> DataFrame:
-    """keys, n, ups, downs: steps along x that rise or fall by more than the noise."""
-    w = Window.partitionBy(*keys).orderBy(x, ordinal)
-    steps = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_d", F.col(y) - F.lag(y).over(w))
-    return steps.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("_d") > noise).alias("ups"), F.count_if(F.col("_d") < -noise).alias("downs"))
+def reversals(df: DataFrame, keys: list[str], x: str, y: str, ordinal: str, noise: float = NOISE, most: int = ordered.MOST) -> DataFrame:
+    """keys, n, ups, downs: steps along x that rise or fall by more than the noise. Curves of more than `most` points are
+    walked part by part, and the steps between parts are taken from their first and last points."""
+    at = ordered.parted(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, x, most)
+    steps = at.rows.withColumn("_d", F.col(y) - F.lag(y).over(at.window(x, ordinal)))
+    rise, fall = (lambda d: d > noise), (lambda d: d < -noise)
+    counts = [F.count("*").alias("n"), F.count_if(rise(F.col("_d"))).alias("ups"), F.count_if(fall(F.col("_d"))).alias("downs")]
+    if not at.cut:
+        return steps.groupBy(*keys).agg(*counts)
+    place = F.struct(F.col(x), F.col(ordinal))
+    parts = steps.groupBy(*keys, ordered.PART).agg(*counts, F.min_by(y, place).alias("_head"), F.max_by(y, place).alias("_tail"))
+    between = F.col("_head") - F.lag("_tail").over(Window.partitionBy(*keys).orderBy(ordered.PART))  # a row a part
+    told = parts.withColumn("_d", between)
+    more = lambda c, hit: (F.sum(c) + F.count_if(hit(F.col("_d")))).alias(c)
+    return told.groupBy(*keys).agg(F.sum("n").alias("n"), more("ups", rise), more("downs", fall))
 
 
 def monotonicity(df: DataFrame, scope: tuple[str, ...], ordinal: str = "row_ord") -> DataFrame:

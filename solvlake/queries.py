@@ -41,6 +41,13 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if its scan has fewer, for work on each row that costs more than
+    sending it; a table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "P", "pending").otherwise("rejected")
     return t(spark, sf, "orders").select(F.col("o_orderkey").alias("prompt_run_id"), F.col("o_custkey").alias("paper_id"), F.col("o_orderpriority").alias("prompt_version"), F.col("o_orderdate").alias("reviewed_at"), status.alias("status"), F.col("o_totalprice").alias("cost"))
@@ -131,9 +138,9 @@ def j8_novel_values(spark: SparkSession, sf: str) -> DataFrame:
     return qa.novel_values(t(spark, sf, "part"), (), "p_brand", ["brand#11", "brand#12", "brand#13"], "p_partkey")
 
 
-@query("SELECT o_orderkey AS prompt_run_id, coalesce(n, 0) AS n_rows, CASE WHEN n IS NULL THEN 'no result returned' END AS error FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) ON o_orderkey = l_orderkey")
+@query("SELECT o_orderkey AS prompt_run_id, coalesce(n, 0) AS n_rows, CASE WHEN n IS NULL THEN 'no result returned' END AS error FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
 def j10_results_of_requests(spark: SparkSession, sf: str) -> DataFrame:
-    results = rows(spark, sf).filter("l_linenumber <= 2").groupBy("prompt_run_id").agg(F.count("*").alias("n_rows"))
+    results = rows(spark, sf).groupBy("prompt_run_id").agg(F.count("*").alias("n_rows"))
     return results_of(runs(spark, sf), results, "prompt_run_id").na.fill(0, ["n_rows"])
 
 
@@ -193,7 +200,7 @@ def f6_json_field(spark: SparkSession, sf: str) -> DataFrame:
 def f5_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(F.lit('shown work {"a": 1} ```json\n{"rows": [{"pH": '), F.col("value").cast("string"), F.lit(', "Extract%": "garbled"}, {"Extractant": "D2EHPA", "pH": "2.5"}], "text_endpoints": []}\n``` end'))
     said = t(spark, sf, "events").select(F.col("event_id").cast("string").alias("custom_id"), F.when(F.col("event_id") % 7 == 0, "nothing here").otherwise(body).alias("raw_text"))
-    said = said.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # the table is one small file, and parsing is work
+    said = spread(said)
     return parse(said)[2]
 
 
@@ -201,10 +208,49 @@ def f5_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
 def f7_parsed_rows(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(F.lit('{"rows": [{"pH": '), F.col("value").cast("string"), F.lit(', "Extract%": "garbled"}, {"Extractant": "D2EHPA", "pH": "2.5"}]}'))
     said = t(spark, sf, "events").select(F.col("event_id").cast("string").alias("custom_id"), F.when(F.col("event_id") % 7 == 0, "nothing here").otherwise(body).alias("raw_text"))
-    said = said.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # the table is one small file, and parsing is work
+    said = spread(said)
     return parse(said)[0].select("custom_id", "row_ord", "ph", "extractant")
 
 
+SHAPES = ["\"rows\": null", "\"rows\": {}", "\"rows\": []", "\"other\": 1", "\"rows\": \"x\"", "\"rows\": 5", "\"rows\": [{\"pH\": 1}, 7]", "\"rows\": [{\"pH\": 1}], \"text_endpoints\": 5", "\"rows\": [{\"pH\": 1}], \"text_endpoints\": [7, {\"element\": \"La\", \"x_value\": \"3\"}, null]"]
+
+
+@query("SELECT event_id::VARCHAR AS custom_id, CASE WHEN k IN (4, 5) THEN 'rows is not a list' WHEN k = 6 THEN 'row is not an object' END AS error, (k >= 7)::BIGINT AS n_rows, (k = 8)::BIGINT AS n_endpoints FROM (SELECT event_id, event_id % 9 AS k FROM events)")
+def f6b_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses whose rows are missing, null, empty or no list, or hold what is no object, and such endpoints."""
+    body = F.concat(F.lit("{"), F.get(F.array(*map(F.lit, SHAPES)), (F.col("event_id") % len(SHAPES)).cast("int")), F.lit("}"))
+    said = spread(t(spark, sf, "events").select(F.col("event_id").cast("string").alias("custom_id"), body.alias("raw_text")))
+    _, endpoints, summary = parse(said)
+    counted = endpoints.groupBy("custom_id").agg(F.count("*").alias("n_endpoints"))
+    return summary.join(counted, "custom_id", "left").select("custom_id", "error", "n_rows", F.coalesce("n_endpoints", F.lit(0)).cast("long").alias("n_endpoints"))
+
+
+@query("WITH k AS (SELECT doc_id, sha256(text) AS sha, '10.' || (1000 + doc_id // 3) || '/x' AS doi FROM documents), latest AS (SELECT max(doc_id) AS i FROM documents) SELECT how, min(doc_id) AS paper_id FROM (SELECT 'id' AS how, doc_id FROM k WHERE doc_id = (SELECT i FROM latest) UNION ALL SELECT 'hash', doc_id FROM k WHERE sha = (SELECT sha FROM k WHERE doc_id = (SELECT i FROM latest)) UNION ALL SELECT 'doi', doc_id FROM k WHERE doi = (SELECT doi FROM k WHERE doc_id = (SELECT i FROM latest))) GROUP BY 1")
+def s5_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """The last document, looked up by its id, by its content, and by its DOI in another case."""
+    papers = t(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.sha2("text", 256).alias("content_sha256"), F.concat(F.lit("10."), (F.floor(F.col("doc_id") / 3) + 1000).cast("string"), F.lit("/x")).alias("doi"))
+    one = papers.orderBy(F.desc("paper_id")).first()
+    found = {"id": versions.lookup(papers, paper_id=one.paper_id), "hash": versions.lookup(papers, content_sha256=one.content_sha256), "doi": versions.lookup(papers, doi=f" {one.doi.upper()} "), "none": versions.lookup(papers, doi=" ")}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(how).alias("how"), "paper_id") for how, df in found.items()])
+
+
+@query("SELECT user_id, event_type AS series, round(event_id, (3 - floor(log10(event_id)))::INT) AS x, round(value, (3 - floor(log10(value)))::INT) AS y FROM events WHERE event_id > 0 AND value > 0")
+def p22_points_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's points as the JSON that a reader gets, read back."""
+    marks = t(spark, sf, "events").filter("event_id > 0 AND value > 0").select("user_id", F.col("event_type").alias("group_key"), F.lit("filled").alias("marker_type"), F.col("event_id").cast("double").alias("data_x"), F.col("value").alias("data_y"))
+    told = curves.points_json(marks, ["user_id"]).select("user_id", F.explode(F.from_json("points", "map<string, array<array<double>>>")).alias("series", "points"))
+    return told.select("user_id", "series", F.explode("points").alias("p")).select("user_id", "series", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_quantity > 10 AND NOT (l_quantity + 0.5 BETWEEN 20 AND 30 AND l_linenumber + 0.5 BETWEEN 2 AND 5)")
+def p15_legend_box(spark: SparkSession, sf: str) -> DataFrame:
+    """Filled curves outside the legend's box."""
+    box = F.struct(F.lit(20.0).alias("x0"), F.lit(2.0).alias("top"), F.lit(30.0).alias("x1"), F.lit(5.0).alias("bottom"))
+    q, n = F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")
+    objects = t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.lit("curve").alias("kind"), (q > 10).alias("fill"), q.alias("x0"), (q + 1).alias("x1"), n.alias("top"), (n + 1).alias("bottom"), box.alias("legend"))
+    return curves.filled_markers(objects).select("l_orderkey", "l_partkey", "l_linenumber")
+
+
 # --- aggregates ---
 
 
@@ -288,16 +334,17 @@ def a15_epsilon(spark: SparkSession, sf: str) -> DataFrame:
     glyphs = rows(spark, sf).select("l_partkey", F.col("l_quantity").alias("width"), F.col("l_linenumber").alias("height"))
     return curves.epsilons(glyphs, ["l_partkey"]).withColumn("eps", F.round("eps", 9))
 
-FIT = """WITH t AS (SELECT user_id, event_id::DOUBLE AS x, value AS v FROM events WHERE event_type = 'click'),
-f AS (SELECT user_id, count(*) AS n, min(v) AS lo, max(v) AS hi, coalesce(regr_slope(v, x), 0) AS s1, coalesce(regr_intercept(v, x), avg(v)) AS i1, coalesce(regr_slope(log10(v), x), 0) AS s2, coalesce(regr_intercept(log10(v), x), avg(log10(v))) AS i2 FROM t GROUP BY 1 HAVING count(*) >= 2),
-e AS (SELECT user_id, n, lo, hi, s1, i1, s2, i2, sqrt(avg((v - (s1 * x + i1)) ** 2)) AS r1, sqrt(avg((v - 10 ** (s2 * x + i2)) ** 2)) AS r2 FROM t JOIN f USING (user_id) GROUP BY ALL)
-SELECT user_id, CASE WHEN lo > 0 AND r2 < r1 THEN 'log10' ELSE 'linear' END AS model, round(CASE WHEN lo > 0 AND r2 < r1 THEN s2 ELSE s1 END, 6) AS slope, round(CASE WHEN lo > 0 AND r2 < r1 THEN r2 ELSE r1 END, 6) AS rms, n AS n_ticks, (CASE WHEN lo > 0 AND r2 < r1 THEN r2 ELSE r1 END) <= 0.02 * (CASE WHEN hi > lo THEN hi - lo ELSE 1 END) AS ok FROM e"""
+FIT = """WITH t AS (SELECT user_id, event_type AS axis, event_id::DOUBLE AS x, value AS v FROM events),
+f AS (SELECT user_id, axis, count(*) AS n, min(v) AS lo, max(v) AS hi, coalesce(regr_slope(v, x), 0) AS s1, coalesce(regr_intercept(v, x), avg(v)) AS i1, coalesce(regr_slope(log10(v), x), 0) AS s2, coalesce(regr_intercept(log10(v), x), avg(log10(v))) AS i2 FROM t GROUP BY 1, 2 HAVING count(*) >= 2),
+e AS (SELECT user_id, axis, n, lo, hi, s1, i1, s2, i2, sqrt(avg((v - (s1 * x + i1)) ** 2)) AS r1, sqrt(avg((v - 10 ** (s2 * x + i2)) ** 2)) AS r2 FROM t JOIN f USING (user_id, axis) GROUP BY ALL)
+SELECT user_id, axis, CASE WHEN lo > 0 AND r2 < r1 THEN 'log10' ELSE 'linear' END AS model, round(CASE WHEN lo > 0 AND r2 < r1 THEN s2 ELSE s1 END, 6) AS slope, round(CASE WHEN lo > 0 AND r2 < r1 THEN r2 ELSE r1 END, 6) AS rms, n AS n_ticks, (CASE WHEN lo > 0 AND r2 < r1 THEN r2 ELSE r1 END) <= 0.02 * (CASE WHEN hi > lo THEN hi - lo ELSE 1 END) AS ok FROM e"""
 
 
 @query(FIT)
 def a16_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    ticks = t(spark, sf, "events").filter("event_type = 'click'").select("user_id", F.col("event_id").cast("double").alias("pixel"), "value")
-    return curves.calibrate(ticks, ["user_id"]).select("user_id", "model", F.round("slope", 6).alias("slope"), F.round("rms", 6).alias("rms"), "n_ticks", "ok")
+    """Every user and type of event is an axis."""
+    ticks = t(spark, sf, "events").select("user_id", F.col("event_type").alias("axis"), F.col("event_id").cast("double").alias("pixel"), "value")
+    return curves.calibrate(ticks, ["user_id", "axis"]).select("user_id", "axis", "model", F.round("slope", 6).alias("slope"), F.round("rms", 6).alias("rms"), "n_ticks", "ok")
 
 
 @query("SELECT o_custkey AS page, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS x0 FROM orders WHERE o_totalprice > 2500 GROUP BY 1")
@@ -447,6 +494,39 @@ def f28_percent_from_log_d(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+MARKS = "m AS (SELECT c_custkey AS page, unnest(range(0, 3 + c_custkey % 5)) AS k FROM customer), b AS (SELECT page, k, (20 + 40 * (k % 4) + page % 9)::DOUBLE AS x, (16 + 44 * (k // 4) + page % 7)::DOUBLE AS y, 8 + (page + k) % 6 AS side FROM m)"
+
+
+def drawn_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A grey page of 200 by 120 pixels for each customer, with squares of ink, some specks, and a line."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            pages = []
+            for page in part["page"]:
+                ink = np.full((120, 200), 255, np.uint8)
+                for k in range(3 + page % 5):
+                    x, y, side = 20 + 40 * (k % 4) + page % 9, 16 + 44 * (k // 4) + page % 7, 8 + (page + k) % 6
+                    ink[y : y + side, x : x + side] = 0
+                ink[110, 5:195] = 0
+                ink[5, 7::11] = 100
+                pages.append(ink.tobytes())
+            yield pd.DataFrame({"page": part["page"], "height": 120, "width": 200, "pixels": pages})
+
+    return spread(t(spark, sf, "customer").select(F.col("c_custkey").alias("page"))).mapInPandas(draw, "page long, height int, width int, pixels binary")
+
+
+@query(f"WITH {MARKS} SELECT page, x + (side - 1) / 2.0 AS cx, y + (side - 1) / 2.0 AS cy, (side * side - 4)::INT AS area, 'filled_blob' AS shape FROM b")
+def e11_raster_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """From pixels to markers, in tiles that the squares cross."""
+    blobs = curves.detect_blobs(drawn_pages(spark, sf), ["page"], tile=64)
+    return curves.raster_markers(blobs, ["page"]).select("page", "cx", "cy", "area", "shape")
+
+
 # --- clusters, ad-hoc SQL, ingestion ---
 
 LIFE = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -738,10 +818,10 @@ def c_endpoint_rule(spark: SparkSession, sf: str) -> DataFrame:
     return qa.text_endpoints(measured(spark, sf), stated, ("run",)).select("run", "rule", "n", F.when(F.col("detail") == "truncated curve", F.col("detail")).otherwise("off").alias("detail"))
 
 
-@query("WITH g AS (SELECT user_id AS run, event_type, count(*) AS n FROM events GROUP BY 1, 2), k AS (SELECT run, n + 4 AS n, row_number() OVER (PARTITION BY run ORDER BY n DESC) AS rank FROM g), s AS (SELECT run, n, row_number() OVER (PARTITION BY run ORDER BY n DESC) AS rank FROM g WHERE event_type <> 'view') SELECT k.run, 'deterministic_curve_count' AS rule, count(*) AS n FROM k LEFT JOIN s USING (run, rank) WHERE coalesce(s.n, 0) < 0.8 * k.n GROUP BY 1")
+@query("WITH g AS (SELECT user_id AS run, event_type, count(*) AS n FROM events GROUP BY 1, 2), k AS (SELECT run, n + 4 AS n, row_number() OVER (PARTITION BY run ORDER BY n DESC) AS rank FROM g), s AS (SELECT run, n, row_number() OVER (PARTITION BY run ORDER BY n DESC) AS rank FROM g WHERE event_type <> 'view') SELECT k.run, 'deterministic_curve_count' AS rule, count(*) AS n, 'expected ' || arg_min(k.n, rank) || ' got ' || arg_min(coalesce(s.n, 0), rank) || ' of ' || coalesce((SELECT string_agg(x.n, ', ' ORDER BY x.n DESC) FROM s x WHERE x.run = k.run AND x.rank <= 10), 'none') AS detail FROM k LEFT JOIN s USING (run, rank) WHERE coalesce(s.n, 0) < 0.8 * k.n GROUP BY 1")
 def c_curve_count_rule(spark: SparkSession, sf: str) -> DataFrame:
     known = t(spark, sf, "events").groupBy(F.col("user_id").alias("run"), "event_type").agg((F.count("*") + 4).alias("n")).select("run", "n")
-    return qa.curve_counts(measured(spark, sf).filter("element <> 'view'"), known, ("run",)).select("run", "rule", "n")
+    return qa.curve_counts(measured(spark, sf).filter("element <> 'view'"), known, ("run",)).select("run", "rule", "n", "detail")
 
 
 @query(f"WITH {MEASURED}, f AS (SELECT run, element, count(*) AS n FROM m GROUP BY 1, 2 HAVING count(*) < 8) SELECT run, element AS subject, n FROM f")
@@ -775,7 +855,7 @@ def f7_positional_rows(spark: SparkSession, sf: str) -> DataFrame:
     columns = F.when(k % 4 == 1, "5").when(k % 4 == 3, listed.replace('"pH"', '"PH"')).otherwise(listed)
     body = F.concat(F.lit('{"columns": '), columns, F.lit(', "rows": [['), cells, F.when(k % 4 == 2, ', "more"').otherwise(""), F.lit("]]}"))
     said = t(spark, sf, "events").select(k.cast("string").alias("custom_id"), body.alias("raw_text"))
-    said = said.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # the table is one small file, and parsing is work
+    said = spread(said)
     found, _, summary = parse(said)
     return summary.select("custom_id", "error").join(found.select("custom_id", "ph", "extractant"), "custom_id", "left")
 
