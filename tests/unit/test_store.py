@@ -90,3 +90,68 @@ def test_ingestion_reads_new_files_once(spark, tmp_path):
     assert {r.custom_id: (r.error, r.verdict) for r in review.collect()} == {"one": (None, "RED"), "three": (None, "RED"), "two": ("no JSON object", None)}
     done = spark.createDataFrame([("one",)], "custom_id string")
     assert {r.custom_id for r in ingest.pending(review, done).collect()} == {"two", "three"}
+
+
+def test_the_log_is_read_from_checkpoints_and_as_of_a_commit(spark, store, monkeypatch):
+    from solvlake.plans import store as module
+
+    monkeypatch.setattr(module, "CHECKPOINT_EVERY", 2)
+    for k in range(3):
+        commit(store, measured(spark, 2 + k), sha=f"s{k}", version="v1", doi=f"10.1/{k}")
+    opened = Store(spark, store.path)
+    assert opened._checkpoints() == [2] and opened.state().commit == 3 and [opened.table("extractions", n).count() for n in (0, 1, 2, 3)] == [0, 2, 5, 9]
+    with pytest.raises(ValueError, match="no commit 9"):
+        opened.state(9)
+    # a paper is found again by either key, among the folders that may hold it
+    assert commit(opened, measured(spark), sha="other", version="v2", doi=" 10.1/1")["paper_id"] == 2
+    assert commit(opened, measured(spark), sha="s2", version="v2")["paper_id"] == 3
+    before = opened.state().commit
+    assert opened.compact() == before + 1 and len(opened.state().of("extractions")) == 1 and opened.compact() == before + 1
+    assert opened.table("extractions").count() == 29 and opened.table("extractions", 3).count() == 9
+    with pytest.raises(CommitError, match="one approved run"):
+        commit(opened, measured(spark), sha="s0", version="v1")
+    assert opened.vacuum(opened.state().commit) > 0 and Store(spark, store.path).current_best().count() == 22
+
+
+def test_writers_that_race(spark, store):
+    """Both had read the same state; the slower one takes in the other's commit and tries again."""
+    one, two = Store(spark, store.path), Store(spark, store.path)
+    commit(one, measured(spark, 2))
+    seen = two.state()
+    commit(one, measured(spark, 3), sha="b")
+    two.state = lambda as_of=None, real=two.state, first=[seen]: first.pop() if first else real(as_of)  # as if it had not looked again
+    assert commit(two, measured(spark, 4), sha="c") == {"paper_id": 3, "prompt_run_id": 3, "rows_merged": 4}
+    del two.state
+    two.state = lambda as_of=None, real=Store.state.__get__(two), first=[seen]: first.pop() if first else real(as_of)
+    with pytest.raises(CommitError, match="one approved run"):
+        commit(two, measured(spark, 4), sha="b")
+    del two.state
+    assert sorted(r.extraction_id for r in one.table("extractions").collect()) == list(range(1, 10))
+
+
+def test_unique_keys_across_folders(spark, store):
+    papers = lambda *rows: {"papers": spark.createDataFrame(rows, "paper_id long, content_sha256 string, doi string")}
+    store.publish(papers(*[(k, f"s{k}", f"10.1/{k}") for k in range(1, 40)]))
+    store.publish(papers((100, "x", None), (101, "y", None)))
+    for rows, what in (([(200, "s7", None)], "content_sha256"), ([(200, "new", "10.1/9")], "doi"), ([(100, "new", None)], "paper_id"), ([(200, "n", None), (200, "m", None)], "paper_id"), ([(200, None, None)], "NULL")):
+        with pytest.raises(CommitError, match=what):
+            store.publish(papers(*rows))
+    assert store.table("papers").count() == 41 and store.state().commit == 2
+
+
+def test_schema_versions(spark, tmp_path):
+    old = Store(spark, str(tmp_path), version=1)
+    commit(old, measured(spark), input_tokens=5)
+    assert "input_tokens" not in old.table("prompt_runs").columns
+    new = Store(spark, str(tmp_path))
+    assert [r.input_tokens for r in new.table("prompt_runs").collect()] == [None]
+    commit(new, measured(spark, 3), version="extraction_v6", input_tokens=7)
+    assert {r.prompt_version: r.input_tokens for r in new.table("prompt_runs").collect()} == {"extraction_v5": None, "extraction_v6": 7}
+    assert [m["schema"] for m in new.manifests()] == [1, 2] and new.state().version == 2
+    late = Store(spark, str(tmp_path), version=1)  # an old writer does not take the store back
+    commit(late, measured(spark), version="extraction_v7", input_tokens=9)
+    assert sorted(r.input_tokens or 0 for r in new.table("prompt_runs").collect()) == [0, 7, 9]
+    new.compact()
+    assert sorted(r.input_tokens or 0 for r in Store(spark, str(tmp_path)).table("prompt_runs").collect()) == [0, 7, 9]
+    with pytest.raises(PermissionError):
+        Store(spark, str(tmp_path), read_only=True).compact()
