@@ -77,7 +77,7 @@ def _ranked(points: DataFrame, stated: DataFrame, keys: list[str], stated_id: li
     probes = F.array(probe(F.when(wide, lower_edge(x0, "tolerance")).otherwise(x0), 0, "low"), probe(x0, 2, "here"), probe(F.when(wide, upper_edge(x0, "tolerance")).otherwise(x0), 2, "high"))
     asked = some.select(*keys, F.struct(*rest).alias("s"), F.explode(probes).alias("p")).select(*keys, "s", "p.*")
     events = of_points.select(*keys, "x", "y", F.col(ordinal).alias("o"), F.lit(1).alias("kind")).unionByName(asked, allowMissingColumns=True)
-    at = ordered.parted(events, keys, "x", most)
+    at = ordered.parted(events, keys, "x", most, points.select(*keys).unionByName(stated.select(*keys)))
     counted = ordered.running(at, ["x", "kind", "o"], (F.col("kind") == 1).cast("long"), "rank")
     ties, own = Window.partitionBy(*keys, ordered.PART, "x"), F.when(F.col("kind") == 1, F.col("rank"))
     counted = kept(counted.select(*keys, "x", "y", "o", "kind", "probe", "s", "rank", F.min(own).over(ties).alias("first"), F.max(own).over(ties).alias("final")))

@@ -57,9 +57,10 @@ def same(left: DataFrame, right: DataFrame, ours: list[str], theirs: list[str],
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[f"{b}{suffix}"]) for a, b in zip(ours, theirs, strict=True)], F.lit(True))
 
 
-def parted(df: DataFrame, keys: list[str], by: str, most: int = MOST) -> Parted:
-    """df with its parts; `by` is a number, and NULL comes before all others."""
-    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+def parted(df: DataFrame, keys: list[str], by: str, most: int = MOST, counted: DataFrame | None = None) -> Parted:
+    """df with its parts; `by` is a number, and NULL comes before all others. counted: rows by whose number the groups are
+    told to be large, where that is less work than counting df's."""
+    large = (df if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
     found = large.collect()  # a row for each `most` rows of df at most
     if not found:
         return Parted(df.withColumn(PART, F.lit(0)), keys, by, False)

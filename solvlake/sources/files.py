@@ -53,10 +53,11 @@ def raster_verdict(readable: Column, images: Column, texts: Column) -> Column:
     return F.when(readable, F.when((images > 0) & (images >= texts), 1).otherwise(0))
 
 
-def inspect(pages: DataFrame, pdf: str = "pdf", images: str = "has_image", text: str = "has_text", title: str | None = None) -> DataFrame:
-    """pdf, n_pages, pages with images and with text, the raster verdict, and, if asked, the title: the first
-    that is not blank, trimmed. A PDF that cannot be read is a row with NULL flags."""
-    own = [F.min(F.nullif(F.trim(title), F.lit(""))).alias("title")] if title else []
+def inspect(pages: DataFrame, pdf: str = "pdf", images: str = "has_image", text: str = "has_text", title: str | None = None, page: str = "page_index") -> DataFrame:
+    """pdf, n_pages, pages with images and with text, the raster verdict, and, if asked, the title: that of the first page
+    whose title is not blank, trimmed. A PDF that cannot be read is a row with NULL flags."""
+    said = F.nullif(F.trim(title), F.lit("")) if title else None
+    own = [F.min_by(said, F.when(said.isNotNull(), F.col(page))).alias("title")] if title else []
     told = pages.groupBy(pdf).agg(F.count(images).alias("n_pages"), F.count_if(F.col(images)).alias("n_images"), F.count_if(F.col(text)).alias("n_texts"), *own)
     return told.withColumn("is_raster_figure", raster_verdict(F.col("n_pages") > 0, F.col("n_images"), F.col("n_texts")))
 

@@ -9,7 +9,7 @@ from tests.unit.test_store import commit, measured
 
 
 def test_previews_and_ticked_ones(spark):
-    pages = [("new", 0, "text", "doi: 10.1/NEW.", " A title ", True, False), ("new", 1, "more", None, None, True, False), ("same", 0, "see 10.5555/x", None, "", False, True), ("byid", 0, "10.1234/KNOWN;", "", None, False, True)]
+    pages = [("new", 0, "text", "doi: 10.1/NEW.", " A title ", True, False), ("new", 1, "more", None, "A second", True, False), ("same", 0, "see 10.5555/x", None, "", False, True), ("byid", 0, "10.1234/KNOWN;", "", None, False, True)]
     pages = spark.createDataFrame(pages, "content_sha256 string, page_index int, text string, meta string, title string, has_image boolean, has_text boolean")
     uploads = spark.createDataFrame([("new", "a.pdf"), ("same", "b.pdf"), ("byid", "c.pdf"), ("unreadable", "d.pdf")], "content_sha256 string, path string")
     known = spark.createDataFrame([(7, "same", None), (9, "x", "10.1234/known")], "paper_id long, content_sha256 string, doi string")
