@@ -158,6 +158,9 @@ def text_endpoints(df: DataFrame, endpoints: DataFrame, scope: tuple[str, ...],
     stated = stated.filter("x_col IS NOT NULL AND y_col IS NOT NULL AND x_value IS NOT NULL AND y_value IS NOT NULL")
     tolerance = F.when(F.col("x_col") == "ph", PH_TOLERANCE)  # others: the nearest
     stated = stated.select(*scope, ep, F.col("element").alias("wanted"), "x_col", "y_col", F.col("x_value").alias("x0"), F.col("y_value").alias("y0"), tolerance.alias("tolerance"))
+    if stated.isEmpty():  # the joins below take several jobs
+        none = F.lit(None)
+        return flags(stated.limit(0), scope, "text_endpoint_cross_check", RED, none, none, none)
     elements = matched_elements(df, stated, scope).withColumnsRenamed({c: f"{c}_" for c in (*scope, "wanted")})
     under = stated.join(elements, ordered.same(stated, elements, [*scope, "wanted"], [*scope, "wanted"], "_")).drop(*[f"{c}_" for c in (*scope, "wanted")])
     place = lambda names: F.array(*[F.struct(F.lit(n).alias("col"), F.col(n).cast("double").alias("v")) for n in sorted(set(names.values()))])

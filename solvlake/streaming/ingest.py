@@ -24,13 +24,14 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, per_b
     """Reads all files that are new, and stops. target/rows, target/endpoints and target/review get a folder a batch;
     a response that cannot be parsed is a row of review with its error."""
     def batch(df: DataFrame, number: int) -> None:
-        df.persist()
-        rows, endpoints, summary = parse(df)
+        parsed = [part.persist() for part in parse(df)]  # read by every rule
+        rows, endpoints, summary = parsed
         ok = summary.filter("error IS NULL")
         found = verdicts(ok, run_rules(rows, ok, endpoints), ("custom_id",))
         for name, part in {"rows": rows, "endpoints": endpoints, "review": summary.join(found, "custom_id", "left")}.items():
             part.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
-        df.unpersist()
+        for part in parsed:
+            part.unpersist()
 
     query = responses_in(spark, source, per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
