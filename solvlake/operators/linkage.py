@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvlake.operators.graph import components
@@ -33,10 +33,24 @@ NARROWER = 0.5**0.5 * (1 - 1e-9)
 _BOX = ("x0", "x1", "y0", "y1")
 
 
+def _stretches(points: DataFrame, keys: list[str], along: str, name: str) -> DataFrame:
+    """points with the number of their stretch: the next one begins where the next value is more than eps away, so that
+    no link crosses. Groups of a bounded size."""
+    w = Window.partitionBy(*keys).orderBy(along)
+    new = F.when(F.col(along) - F.lag(along).over(w) <= F.col("eps"), 0).otherwise(1)
+    return points.withColumn("new_", new).withColumn(name, F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new_")
+
+
 def _locally(points: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, o, cluster of groups of a bounded size, one task a group."""
+    """keys, o, x, y, cluster of groups of a bounded size. Most points of most groups are alone in a stretch of one of the
+    two axes, and are told by windows; what is left of a group is clustered in one task."""
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"o {kinds['o']}", f"cluster {kinds['o']}"])
+    counted = _stretches(points, keys, "x", "sx").withColumn("n", F.count("*").over(Window.partitionBy(*keys, "sx")))
+    alone = lambda df: df.select(*keys, "o", "x", "y", F.col("o").alias("cluster"))
+    told = alone(counted.filter("n = 1"))
+    counted = _stretches(counted.filter("n > 1").drop("n"), [*keys, "sx"], "y", "sy").withColumn("n", F.count("*").over(Window.partitionBy(*keys, "sx", "sy")))
+    told = told.unionByName(alone(counted.filter("n = 1")))
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"o {kinds['o']}", "x double", "y double", f"cluster {kinds['o']}"])
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o").reset_index(drop=True)
@@ -54,9 +68,9 @@ def _locally(points: DataFrame, keys: list[str]) -> DataFrame:
                 np.minimum.at(root, np.maximum(one, two)[apart], np.minimum(one, two)[apart])
                 while not np.array_equal(up := root[root], root):
                     root = up
-        return pdf[[*keys, "o"]].assign(cluster=pdf["o"].to_numpy()[root])
+        return pdf[[*keys, "o", "x", "y"]].assign(cluster=pdf["o"].to_numpy()[root])
 
-    return points.groupBy(*keys).applyInPandas(group, schema)
+    return told.unionByName(counted.filter("n > 1").drop("n").groupBy(*keys, "sx", "sy").applyInPandas(lambda pdf: group(pdf), schema))
 
 
 def _bounds() -> list[Column]:
@@ -119,7 +133,7 @@ def _links(places: DataFrame, cells: DataFrame, keys: list[str], direct: int) ->
 
 
 def _widely(points: DataFrame, keys: list[str], direct: int) -> DataFrame:
-    """keys, o, cluster of groups of any size."""
+    """keys, o, x, y, cluster of groups of any size."""
     finite = lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False))  # noqa: E731  neither NULL nor NaN either
     side = F.col("eps") * NARROWER
     usable = finite(F.col("x")) & finite(F.col("y")) & finite(F.col("eps"))
@@ -135,26 +149,32 @@ def _widely(points: DataFrame, keys: list[str], direct: int) -> DataFrame:
     told = cells.select(*spot, "cell", "label").join(roots, F.col("cell") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cell")).drop("node")
     least = kept(told.groupBy("root").agg(F.min("label").alias("cluster")))
     named = kept(told.join(least, "root").select(*[F.col(c).alias(f"{c}of") for c in spot], "cluster"))
-    some = sure.join(named, same(sure, named, spot, spot, "of")).select(*keys, "o", "cluster")
+    some = sure.join(named, same(sure, named, spot, spot, "of")).select(*keys, "o", "x", "y", "cluster")
     # with a distance of 0 only points of one place are linked, and without a place or a distance none are
     rest = points.filter(~(usable & (F.col("eps") > 0)))
     still = rest.filter(usable & (F.col("eps") == 0))
     place = [*keys, "x", "y"]
     first = kept(still.groupBy(*place).agg(F.min("o").alias("cluster")).withColumnsRenamed({c: f"{c}of" for c in place}))
-    none = rest.filter(~(usable & (F.col("eps") == 0))).select(*keys, "o", F.col("o").alias("cluster"))
-    return some.unionByName(still.join(first, same(still, first, place, place, "of")).select(*keys, "o", "cluster")).unionByName(none)
+    none = rest.filter(~(usable & (F.col("eps") == 0))).select(*keys, "o", "x", "y", F.col("o").alias("cluster"))
+    return some.unionByName(still.join(first, same(still, first, place, place, "of")).select(*keys, "o", "x", "y", "cluster")).unionByName(none)
+
+
+def clustered(points: DataFrame, keys: list[str], x: str, y: str, eps: str, ordinal: str, local: int = LOCAL, direct: int = DIRECT) -> DataFrame:
+    """keys, ordinal, cluster as by single_linkage, and x and y in double precision."""
+    own = [f"key{i}_" for i in range(len(keys))]  # keys may have any names, also those used here
+    some = points.select(*[F.col(k).alias(n) for k, n in zip(keys, own, strict=True)], F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(eps).cast("double").alias("eps"), F.col(ordinal).alias("o"))
+    sizes = some.groupBy(*own).agg(F.count("*").alias("n")).filter(F.col("n") > local)
+    large = kept(sizes.select(*[F.col(k).alias(f"{k}of") for k in own], F.lit(True).alias("is_large")))
+    if large.isEmpty():
+        made = _locally(some, own)
+    else:
+        in_large = same(some, large, own, own, "of")
+        made = _locally(some.join(large, in_large, "left_anti"), own).unionByName(_widely(some.join(large, in_large, "left_semi"), own, direct))
+    return made.select(*[F.col(n).alias(k) for k, n in zip(keys, own, strict=True)], F.col("o").alias(ordinal), "cluster", F.col("x").alias(x), F.col("y").alias(y))
 
 
 def single_linkage(points: DataFrame, keys: list[str], x: str, y: str, eps: str, ordinal: str, local: int = LOCAL, direct: int = DIRECT) -> DataFrame:
     """keys, ordinal, cluster (its least ordinal): points of a group are in one cluster if steps of at most eps, which
     is one number for a group, join them. A point without a place, or without an eps, is alone. Groups of at most
     `local` points are clustered in a task each; larger ones over the cluster."""
-    some = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(eps).cast("double").alias("eps"), F.col(ordinal).alias("o"))
-    sizes = some.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > local)
-    large = kept(sizes.select(*[F.col(k).alias(f"{k}of") for k in keys], F.lit(True).alias("is_large")))
-    if large.isEmpty():
-        made = _locally(some, keys)
-    else:
-        in_large = same(some, large, keys, keys, "of")
-        made = _locally(some.join(large, in_large, "left_anti"), keys).unionByName(_widely(some.join(large, in_large, "left_semi"), keys, direct))
-    return made.withColumnRenamed("o", ordinal)
+    return clustered(points, keys, x, y, eps, ordinal, local, direct).select(*keys, ordinal, "cluster")

@@ -92,3 +92,11 @@ def test_components(spark):
             root[hi] = lo
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in root}
+
+
+def test_keys_named_as_columns_on_the_way(spark):
+    """A group of so many points that it is clustered over the cluster; its key may be called anything."""
+    rows = [("a", float(k % 50), float(k // 50), 1.0, k) for k in range(200)]
+    for name in ("label", "cell", "x", "cluster_", "eps_", "n"):
+        df = spark.createDataFrame(rows, f"{name} string, px double, py double, e double, i long")
+        assert {r.cluster for r in linkage.single_linkage(df, [name], "px", "py", "e", "i", local=10).collect()} == {0}
