@@ -12,7 +12,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from solvlake.functions import chem, text
@@ -924,8 +924,9 @@ def x1_previews(spark: SparkSession, sf: str) -> DataFrame:
 
     doi = F.concat(F.lit("10."), (F.floor(F.col("doc_id") / 2) + 1000).cast("string"), F.lit("/x"))
     docs = t(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", "n_chars", F.sha2("text", 256).alias("content_sha256"), doi.alias("own"))
-    # ids grow by page, so the first page's DOI is the least
-    pages = docs.select("content_sha256", F.col("doc_id").alias("page_index"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("doi:"), "own").alias("meta"), F.lit(None).cast("string").alias("title"), F.lit(True).alias("has_image"), F.lit(False).alias("has_text"))
+    # a content's pages are in the order of their DOIs as text, so that the first page's is the least
+    page = F.row_number().over(Window.partitionBy("content_sha256").orderBy("own")) - 1
+    pages = docs.select("content_sha256", page.alias("page_index"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("doi:"), "own").alias("meta"), F.lit(None).cast("string").alias("title"), F.lit(True).alias("has_image"), F.lit(False).alias("has_text"))
     known = docs.filter("n_chars > 2000").select(F.col("doc_id").alias("paper_id"), "content_sha256", F.col("own").alias("doi"))
     uploads = docs.groupBy("content_sha256").agg(F.min("doc_id").cast("string").alias("path"))
     return preview(uploads, pages, known).select("content_sha256", "doi", "n_pages", "is_raster_figure", "status")
