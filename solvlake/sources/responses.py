@@ -29,29 +29,36 @@ def json_object(text: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(texts, F.try_parse_json), lambda v: _is(v, "OBJECT")), F.lit(1))
 
 
+def _once(df: DataFrame, *kept: str, **made: Column) -> DataFrame:
+    """df's columns kept and the columns made. These are computed once a row, as rows of a one-row list: in a plain
+    projection, a filter on what is made of them would have them computed again for each mention."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def examined(responses: DataFrame, id_col: str = "custom_id", text_col: str = "raw_text") -> DataFrame:
     """id, error, rows (as array<variant>), columns, endpoints of each response."""
-    step = responses.select(F.col(id_col), json_object(F.col(text_col)).alias("obj"))
-    raw = F.try_variant_get("obj", "$.rows", "variant")
+    step = _once(_once(responses, id_col, obj=json_object(F.col(text_col))), id_col, "obj", raw=F.try_variant_get("obj", "$.rows", "variant"))
+    raw = F.col("raw")
     empty = raw.isNull() | F.is_variant_null(raw) | F.coalesce(F.to_json(raw).isin("false", "0", '""', "{}", "0.0"), F.lit(False))
     listed = _is(raw, "ARRAY")
-    step = step.select(
-        id_col, "obj", (~empty & ~listed).alias("unlisted"), F.when(listed, F.try_variant_get("obj", "$.rows", "array<variant>")).otherwise(F.array().cast("array<variant>")).alias("rows"),
-        F.when(_is(F.try_variant_get("obj", "$.columns", "variant"), "ARRAY"), F.try_variant_get("obj", "$.columns", "array<string>")).alias("columns"),
-        F.filter(F.coalesce(F.when(_is(F.try_variant_get("obj", "$.text_endpoints", "variant"), "ARRAY"), F.try_variant_get("obj", "$.text_endpoints", "array<variant>")), F.array().cast("array<variant>")), lambda e: _is(e, "OBJECT")).alias("endpoints"),
+    step = _once(
+        step, id_col, none=F.col("obj").isNull(), unlisted=~listed & ~empty, rows=F.when(listed, F.try_variant_get("obj", "$.rows", "array<variant>")).otherwise(F.array().cast("array<variant>")),
+        columns=F.when(_is(F.try_variant_get("obj", "$.columns", "variant"), "ARRAY"), F.try_variant_get("obj", "$.columns", "array<string>")),
+        endpoints=F.filter(F.coalesce(F.when(_is(F.try_variant_get("obj", "$.text_endpoints", "variant"), "ARRAY"), F.try_variant_get("obj", "$.text_endpoints", "array<variant>")), F.array().cast("array<variant>")), lambda e: _is(e, "OBJECT")),
     )
-    positional = _is(F.try_element_at("rows", F.lit(1)), "ARRAY")
+    step = _once(step, id_col, "none", "unlisted", "rows", "columns", "endpoints", positional=_is(F.try_element_at("rows", F.lit(1)), "ARRAY"))
+    positional = F.col("positional")
     names = F.array(*[F.lit(d) for _, d, _ in CONTRACT])
     size = lambda v: F.size(F.try_variant_get(v, "$", "array<variant>"))
     error = (
-        F.when(F.col("obj").isNull(), "no JSON object")
+        F.when(F.col("none"), "no JSON object")
         .when(F.col("unlisted"), "rows is not a list")
         .when(positional & F.col("columns").isNull(), "positional rows without columns")
         .when(positional & ((F.size(F.array_except(names, "columns")) > 0) | (F.size(F.array_except("columns", names)) > 0) | (F.size("columns") != len(CONTRACT))), "columns differ from the contract")
         .when(positional & F.exists("rows", lambda r: ~_is(r, "ARRAY") | (size(r) != F.size("columns"))), "row length differs from columns")
         .when(~positional & F.exists("rows", lambda r: ~_is(r, "OBJECT")), "row is not an object")
     )
-    return step.select(id_col, error.alias("error"), positional.alias("positional"), "rows", "columns", "endpoints")
+    return _once(step, id_col, "positional", "rows", "columns", "endpoints", error=error)
 
 
 def _cells(told: DataFrame, id_col: str) -> DataFrame:

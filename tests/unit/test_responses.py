@@ -46,3 +46,11 @@ def test_last_good_block_wins_and_null_text(spark):
     rows, _, summary = parsed(spark, '```json\n{"rows": [{"pH": 1}]}\n``` then ```\n{"rows": [{"pH": 2}]}\n``` then ```json\n{broken}\n```', None)
     assert [r.ph for r in rows.collect()] == [2.0]
     assert {r.custom_id: r.error for r in summary.collect()} == {"0": None, "1": "no JSON object"}
+
+
+def test_a_response_is_parsed_once(spark):
+    """A filter on the error does not bring the parsing with it, once for each mention."""
+    rows, _, _ = parse(spark.range(3).selectExpr("CAST(id AS STRING) AS custom_id", "concat('{\"rows\": [{\"pH\": ', id, '}]}') AS raw_text"))
+    rows.collect()
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_extract_all") <= 2  # where it is made, once to be counted and once to be read
