@@ -54,3 +54,9 @@ def test_a_response_is_parsed_once(spark):
     rows.collect()
     plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("regexp_extract_all") <= 2  # where it is made, once to be counted and once to be read
+
+
+def test_the_summary_parses_once(spark):
+    _, _, summary = parse(spark.range(3).selectExpr("CAST(id AS STRING) AS custom_id", "concat('{\"rows\": [{\"pH\": ', id, '}]}') AS raw_text"))
+    plan = summary._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_extract_all") <= 2
