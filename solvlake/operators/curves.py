@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from solvlake.operators import ordered
 from solvlake.operators.graph import components
-from solvlake.operators.linkage import single_linkage
+from solvlake.operators.linkage import clustered, single_linkage
 from solvlake.sources.files import kept
 
 # Geometry limits in points (vector) and pixels (raster).
@@ -86,8 +86,9 @@ def centroids(points: DataFrame, clusters: DataFrame, keys: list[str], x: str, y
 
 def assemble(markers: DataFrame, keys: list[str], ordinal: str = "object_id") -> DataFrame:
     """One marker for each cluster of coinciding paths; series of fewer than three are dropped."""
-    sized = markers.join(epsilons(markers, keys), keys)
-    made = centroids(sized, single_linkage(sized, keys, "cx", "cy", "eps", ordinal), keys, "cx", "cy", ordinal)
+    places = markers.select(*keys, ordinal, "cx", "cy")
+    found = clustered(kept(places.join(epsilons(markers, keys), keys)), keys, "cx", "cy", "eps", ordinal)
+    made = found.groupBy(*keys, "cluster").agg(F.avg("cx").alias("pixel_x"), F.avg("cy").alias("pixel_y"), F.count("*").alias("n_paths"))
     return made.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("_n") >= LEAST_MARKERS).drop("_n")
 
 
@@ -318,7 +319,9 @@ def detect_blobs(images: DataFrame, keys: list[str], tile: int = TILE) -> DataFr
     side = [*keys, "upright", "border", "place"]
     behind = border.filter("NOT before").select(*[F.col(c).alias(f"{c}_") for c in side], F.col("part").alias("b"))
     ahead = border.filter("before").withColumnRenamed("part", "a")
+    behind = behind.hint("merge")  # its size is told from the list of images and not from their pixels, so it would be broadcast
     roots = components(ahead.join(behind, ordered.same(ahead, behind, side, side, "_")).select("a", "b"))
+    roots = roots.hint("merge")
     whole = parts.join(roots, parts["part"] == roots["node"], "left").groupBy(*keys, F.coalesce("root", "part").alias("root"))
     found = whole.agg(F.sum("area").cast("int").alias("area"), *[F.min(c).alias(c) for c in ("x0", "y0", "lead")], *[F.max(c).alias(c) for c in ("x1", "y1")]).filter(F.col("area").between(*BLOB_AREA))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("y0", "x0", "lead")) - 1  # blobs of one image

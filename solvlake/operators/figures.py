@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from solvlake.functions.text import colour
 from solvlake.operators import curves
+from solvlake.sources.files import kept
 
 
 @dataclass
@@ -60,7 +61,7 @@ def calibrate_axes(words: DataFrame, frames: DataFrame, keys: list[str]) -> tupl
 def vector_figures(objects: DataFrame, words: DataFrame, keys: list[str], ordinal: str = "object_id") -> Figures:
     """The pages of objects are taken to be vector figures."""
     group = [*keys, "group_key"]
-    marks = curves.assemble(by_colour(objects), group, ordinal).withColumn("marker_type", F.lit("filled"))
+    marks = kept(curves.assemble(by_colour(objects), group, ordinal)).withColumn("marker_type", F.lit("filled"))  # read by each result
     series = marks.groupBy(*group).agg(F.count("*").alias("n")).withColumn("source", F.lit("vector"))
     low = curves.low_outliers(series, keys)
     few = warning(low, keys, "series ", F.col("group_key"), " has ", F.col("n"), " markers where the median is ", F.col("median").cast("long"))
@@ -76,16 +77,16 @@ def raster_figures(objects: DataFrame, images: DataFrame, keys: list[str]) -> Fi
     framed = curves.largest_image(objects, keys)
     sound = images.filter("length(pixels) = height * width").join(framed.select(*keys), keys, "left_semi")
     blobs = curves.detect_blobs(sound, keys)
-    kept = curves.raster_markers(blobs, keys)
-    marks = kept.select(*keys, F.lit("raster").alias("source"), F.col("shape").alias("group_key"), "marker_type", F.col("cx").alias("pixel_x"), F.col("cy").alias("pixel_y"), *[F.lit(None).cast("double").alias(c) for c in ("data_x", "data_y")], F.lit(False).alias("calibrated"))
+    clear = curves.raster_markers(blobs, keys)
+    marks = clear.select(*keys, F.lit("raster").alias("source"), F.col("shape").alias("group_key"), "marker_type", F.col("cx").alias("pixel_x"), F.col("cy").alias("pixel_y"), *[F.lit(None).cast("double").alias(c) for c in ("data_x", "data_y")], F.lit(False).alias("calibrated"))
     count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    told = count(blobs, "raw").join(count(curves.marker_blobs(blobs), "shaped"), keys, "left").join(count(kept, "kept"), keys, "left").na.fill(0)
+    told = count(blobs, "raw").join(count(curves.marker_blobs(blobs), "shaped"), keys, "left").join(count(clear, "kept"), keys, "left").na.fill(0)
     warned = [
         warning(pages.join(framed, keys, "left_anti"), keys, "no image on the page"),
         warning(images.join(framed.select(*keys), keys, "left_semi").filter("NOT coalesce(length(pixels) = height * width, false)"), keys, "the image cannot be read"),
         warning(sound.join(told, keys, "left_anti"), keys, "no blob of a marker's size"),
         warning(told, keys, "an estimate: ", F.col("raw"), " blobs, ", F.col("shaped"), " of a marker's shape, ", F.col("kept"), " outside rows of text"),
-        warning(curves.ambiguous_pages(kept, keys), keys, F.col("ambiguous"), " of ", F.col("n"), " blobs have no clear shape"),
+        warning(curves.ambiguous_pages(clear, keys), keys, F.col("ambiguous"), " of ", F.col("n"), " blobs have no clear shape"),
     ]
     series = marks.groupBy(*keys, "group_key").agg(F.count("*").alias("n")).select(*keys, "group_key", F.lit("raster").alias("source"), "n")
     return Figures(_markers(marks, keys), series, reduce(DataFrame.unionByName, warned), pages.limit(0).withColumn("axis", F.lit("")), framed.select(*keys))

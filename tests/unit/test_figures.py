@@ -88,3 +88,13 @@ def test_empty_tables(spark):
     none = [spark.createDataFrame([], s) for s in (OBJECT, WORD, IMAGE)]
     found = figures.extract(*none, KEYS)
     assert found.markers.count() == found.series.count() == found.warnings.count() == 0
+
+
+def test_markers_are_assembled_once(spark):
+    """The results of a page are read from its markers, which are not clustered for each of them again."""
+    objects = spark.createDataFrame([(1, k, "curve", True, 1.0, 0.0, 0.0, float(10 * k), float(10 * k + 5), 10.0, 16.0, 5.0, 6.0) for k in range(4)], "page int, object_id long, kind string, fill boolean, r double, g double, b double, x0 double, x1 double, top double, bottom double, width double, height double")
+    words = spark.createDataFrame([], "page int, text string, x0 double, x1 double, top double, bottom double")
+    found = figures.vector_figures(objects, words, ["page"])
+    for df in (found.markers, found.series, found.warnings):
+        assert "applyinpandas" not in (plan := df._jdf.queryExecution().optimizedPlan().toString().lower()) and "flatmapgroups" not in plan
+    assert found.series.first().n == 4
