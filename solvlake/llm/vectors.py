@@ -2,19 +2,16 @@
 
 Unit vectors at cosine t or above lie within a squared distance of 2 - 2t. They are rotated to the
 principal axes of a sample and the axes are dealt to blocks of about sixteen. Each block has a budget in
-proportion to its axes, so a pair within the distance is within the budget of one block at least. In each
-block a range join meets what can be within its budget: a grid over the block's leading axes, with cells
-as wide as the budget's radius, where a vector is at home in one cell and visits half of the cells around
-it. Pairs in budget are verified by their cosine in double precision.
+proportion to its axes, so a pair within the distance is within the budget of one block at least. Pairs
+in the budget of any block are verified by their cosine in double precision.
 
 Rotated coordinates are rounded to integers that single precision adds and multiplies exactly, and the
-budgets allow for the rounding. Every task therefore agrees on the blocks in whose budget a pair is, and
-a pair counts in the first of them only: no list of pairs is made or made distinct. A task gives each
-vector's number of links and a spanning forest of the links that it has seen.
-
-Equal vectors are one class with a weight. Crowded cells are cut into parts by hash, and pairs of parts
-are tasks of their own. On vectors without any structure every exact join compares nearly all pairs; the
-grid and the blocks help as far as the vectors differ more along some axes than along others.
+budgets allow for the rounding. Classes of equal vectors, with a weight, are dealt to parts by hash, and
+each two parts of vectors of one length are a task, so a vector is sent once for each part, a pair meets in
+one task, and no list of pairs is made. A task gives each vector's number of links and a spanning forest of the
+links that it has seen. It takes its rows in the order of a grid over the leading axes, and leaves out tiles whose
+boxes are apart by more than the distance. Parts are of a bounded size: what is sent grows as vectors times parts, comparisons as
+pairs, as in every exact join of vectors without structure.
 
 Rows and values, case by case:
 - a vector that is null, empty, zero, or holds null or non-finite components: no links, kept.
@@ -28,7 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +43,11 @@ AXES = 16
 SCALE = 2000.0
 #: Vectors that the axes are fitted on, at most: those with the least digests. Results do not depend on them.
 SAMPLE = 4096
-#: Numbers (vectors times their length) of a part of a cell, and rows of a tile of the comparison.
-PART = 1 << 20
+#: Numbers (vectors times their length) of a part, parts that keep a cluster busy, and rows of a tile of the comparison.
+PART = 1 << 21
+LEAST_PARTS = 4
 TILE = 2048
-#: Cells that a vector may be put into in a block: 1 + (3**axes - 1) / 2.
+#: Leading axes of the grid that orders the rows of a task, at most.
 MOST_GRID_AXES = 4
 
 Rotation = dict[int, np.ndarray]
@@ -106,7 +103,7 @@ def steps(unit: np.ndarray, turn: Rotation) -> np.ndarray:
 
 
 def grid_axes(n: int) -> int:
-    """Leading axes of a block that its grid has: more as there are more vectors, about five cells an axis."""
+    """Leading axes of the grid that orders n vectors: more as there are more, about five cells an axis."""
     return int(np.clip(np.ceil(np.log(max(n, 2) / 4096) / np.log(5)), 1, MOST_GRID_AXES))
 
 
@@ -117,37 +114,6 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(keys, pa.binary()), column(batch, "vec")], names=["id", "key", "vec"])
 
 
-def _place(turn: Rotation, cosine: float, grid: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """cls, dim and the cells of each class, with their blocks and whether the class is at home there."""
-    around = [o for o in product((-1, 0, 1), repeat=grid) if o >= (0,) * grid]  # home and half of the others
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, offsets, _ = _raw(column(batch, "vec"))
-            cls = column(batch, "cls").to_numpy()
-            lengths = np.diff(offsets)
-            for d in np.unique(lengths):
-                at = np.flatnonzero(lengths == d)
-                rotated = steps(units(values[offsets[at][:, None] + np.arange(d)]), turn)
-                cells, homes, owners = [], [], []
-                for b, (axes, budget) in enumerate(zip(blocks(d), budgets(d, cosine), strict=True)):
-                    own = np.floor(rotated[:, axes[:grid]] / np.ceil(np.sqrt(budget))).astype(np.int64)
-                    for offset in around:
-                        if any(offset[own.shape[1] :]):
-                            continue  # a block with fewer axes than the grid
-                        code = np.zeros(len(at), np.int64)
-                        for k in range(own.shape[1]):
-                            code = code * 4096 + own[:, k] + offset[k] + 2048
-                        cells.append(code)
-                        homes.append(np.full(len(at), not any(offset)))
-                        owners.append(np.full(len(at), b, np.int32))
-                n = len(cells)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * n), pa.array(np.stack(x, 1).ravel())) for x in (owners, cells, homes)]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(np.full(len(at), d, np.int32)), *lists], names=["cls", "dim", "blocks", "cells", "homes"])
-
-    return run
-
-
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """parent (roots of a forest, compressed) with a[i] and b[i] joined."""
     while True:
@@ -162,28 +128,41 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(turn: Rotation, cosine: float) -> Callable[[pa.Table], pa.Table]:
-    """For the rows of a cell, or of two of its parts: links counted in this block, and a forest of them."""
+    """For the rows of a part, or of two: links counted, and a forest of them."""
 
     def run(table: pa.Table) -> pa.Table:
         of = lambda c: pa.concat_arrays(table[c].chunks)
-        d, block, low = (of(c)[0].as_py() for c in ("dim", "block", "low"))
+        d, low = (of(c)[0].as_py() for c in ("dim", "low"))
         unit = units(_raw(of("vec"))[0].reshape(-1, d))
-        rotated = steps(unit, turn).astype(np.float32)
-        parts, limits = blocks(d), budgets(d, cosine)
-        squares = [np.einsum("ij,ij->i", rotated[:, axes], rotated[:, axes]) for axes in parts]
-        home, side = of("home").to_numpy(zero_copy_only=False), of("part").to_numpy() == low
+        whole = steps(unit, turn).astype(np.float32)
+        rotated = [np.ascontiguousarray(whole[:, axes]) for axes in blocks(d)]
+        limits = budgets(d, cosine)
+        squares = [np.einsum("ij,ij->i", r, r) for r in rotated]
+        side = of("part").to_numpy() == low
         weight = of("size").to_numpy()
+        farthest = (np.sqrt(2 - 2 * cosine) * SCALE + np.sqrt(d)) ** 2
+        order = np.lexsort(np.floor(whole[:, : grid_axes(len(unit))] / np.ceil(np.sqrt(farthest))).T[::-1])
         links, parent = np.zeros(len(unit), np.int64), np.arange(len(unit))
-        own = parts[block]
 
         def meet(left: np.ndarray, right: np.ndarray, within: bool) -> None:
             """Compares two sets of rows; within: they are one set."""
             nonlocal parent
+            box = lambda rows: (whole[rows].min(0).astype(float), whole[rows].max(0).astype(float))
+            boxes = {y: box(right[y : y + TILE]) for y in range(0, len(right), TILE)}
             for x in range(0, len(left), TILE):
                 i = left[x : x + TILE]
+                least, most = box(i)
                 for y in range(x if within else 0, len(right), TILE):
                     j = right[y : y + TILE]
-                    near = squares[block][i][:, None] + squares[block][j][None, :] - 2 * (rotated[np.ix_(i, own)] @ rotated[np.ix_(j, own)].T) <= limits[block]
+                    if (np.maximum(0, np.maximum(boxes[y][0] - most, least - boxes[y][1])) ** 2).sum() > farthest:
+                        continue
+                    near = np.zeros((len(i), len(j)), bool)
+                    for r, q, limit in zip(rotated, squares, limits, strict=True):
+                        apart = r[i] @ r[j].T
+                        apart *= -2
+                        apart += q[i][:, None]
+                        apart += q[j][None, :]
+                        near |= apart <= limit
                     a, b = np.divmod(np.flatnonzero(near), len(j))
                     if within and x == y:
                         a, b = a[a < b], b[a < b]
@@ -194,21 +173,14 @@ def _compare(turn: Rotation, cosine: float) -> Callable[[pa.Table], pa.Table]:
                     else:
                         linked = np.concatenate([np.einsum("ij,ij->i", unit[i[a[k : k + 65536]]], unit[j[b[k : k + 65536]]]) for k in range(0, len(a), 65536)]) >= cosine
                     a, b = i[a[linked]], j[b[linked]]
-                    for before in range(block):  # counted there already
-                        dots = np.concatenate([np.einsum("ij,ij->i", rotated[np.ix_(a[k : k + 65536], parts[before])], rotated[np.ix_(b[k : k + 65536], parts[before])]) for k in range(0, max(len(a), 1), 65536)])
-                        first = squares[before][a] + squares[before][b] - 2 * dots > limits[before]
-                        a, b = a[first], b[first]
                     np.add.at(links, a, weight[b])
                     np.add.at(links, b, weight[a])
                     parent = _union(parent, a, b)
 
         if side.all():
-            homes, visits = np.flatnonzero(home), np.flatnonzero(~home)
-            meet(homes, homes, True)
-            meet(homes, visits, False)
+            meet(order, order, True)
         else:
-            meet(np.flatnonzero(home & side), np.flatnonzero(~side), False)
-            meet(np.flatnonzero(~home & side), np.flatnonzero(home & ~side), False)
+            meet(order[side[order]], order[~side[order]], False)
         seen = np.flatnonzero(links)
         cls = of("cls").to_numpy()
         return pa.table({"cls": cls[seen], "n": links[seen], "up": cls[parent[seen]]})
@@ -223,22 +195,21 @@ def _sample(classes: DataFrame) -> list[np.ndarray]:
 def links(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, part: int = PART) -> DataFrame:
     """One row for each row: id, n_links, component_id, kept."""
     small_batches(rows)
-    slim = rows.select(rows[f"`{id_col}`"].alias("id"), rows[f"`{vector_col}`"].cast("array<double>").alias("vec"))
+    slim = rows.select(rows[f"`{id_col}`"].alias("id"), rows[f"`{vector_col}`"].alias("vec"))
+    if slim.schema["vec"].dataType.simpleString() != "array<float>":  # that is half as much to send
+        slim = slim.withColumn("vec", F.col("vec").cast("array<double>"))
     kind = slim.schema["id"].dataType.simpleString()
-    keyed = slim.mapInArrow(_keyed, f"id {kind}, key binary, vec array<double>")
+    keyed = slim.mapInArrow(_keyed, f"id {kind}, key binary, vec {slim.schema['vec'].dataType.simpleString()}")
     classes = keyed.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("one"), F.count("*").alias("size"), F.first("vec").alias("vec"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     turn = rotation(_sample(classes))
-    put = classes.select("cls", "vec").mapInArrow(_place(turn, cosine, grid_axes(classes.count())), "cls long, dim int, blocks array<int>, cells array<long>, homes array<boolean>")
-    copies = put.select("cls", "dim", F.explode(F.arrays_zip("blocks", "cells", "homes")).alias("at")).select("cls", "dim", F.col("at.blocks").alias("block"), F.col("at.cells").alias("cell"), F.col("at.homes").alias("home"))
-    copies, cell = written(copies, "vector-cells"), ["dim", "block", "cell"]
-    sizes = copies.groupBy(*cell).agg(F.count("*").alias("all"), F.count_if("home").alias("own")).filter("own > 0 AND all > 1")
-    sizes = cut(sizes.select(*cell, F.ceil(F.col("all") * F.col("dim") / part).cast("long").alias("parts")))  # so that the join can split the copies of a crowded cell
-    dealt = copies.join(sizes, cell).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    sized = classes.select("cls", "size", "vec", F.size("vec").alias("dim"))
+    parts = F.greatest(F.ceil(F.col("all") * F.col("dim") / part), F.least(F.lit(LEAST_PARTS), F.ceil(F.col("all") / TILE))).cast("long")
+    lengths = cut(sized.groupBy("dim").agg(F.count("*").alias("all")).select("dim", parts.alias("parts")))
+    dealt = sized.join(lengths, "dim").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("cls", *cell, "home", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    met = dealt.join(classes.select("cls", "size", "vec"), "cls")
-    counted = cut(met.groupBy(*cell, "low", "high").applyInArrow(_compare(turn, cosine), "cls long, n long, up long"))
+    met = dealt.select("cls", "size", "vec", "dim", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    counted = cut(met.groupBy("dim", "low", "high").applyInArrow(_compare(turn, cosine), "cls long, n long, up long"))
     totals = counted.groupBy("cls").agg(F.sum("n").alias("n"))
     roots = connected(counted.select(F.col("cls").alias("a"), F.col("up").alias("b"))).withColumnRenamed("node", "cls")
     told = classes.select("key", "cls", "one", "size").join(totals, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

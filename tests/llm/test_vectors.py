@@ -89,3 +89,24 @@ def test_extra_columns_representatives_and_empty_tables(spark):
     want = {r[0] for r in brute(made()) if r[3]}
     assert {r.vec_id for r in got.collect()} == want | {None}
     assert vectors.links(df.limit(0)).count() == 0
+
+
+def test_what_is_sent_grows_with_parts_only(spark, monkeypatch):
+    """Each vector is sent once for each part, and not for each cell of each block."""
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(size=64)], 0) for k in range(400)]
+    df = spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<float>")
+    sent, compare = spark.sparkContext.accumulator(0), vectors._compare
+
+    def counting(turn, cosine):
+        run = compare(turn, cosine)
+
+        def counted(table):
+            sent.add(table.num_rows)
+            return run(table)
+
+        return counted
+
+    monkeypatch.setattr(vectors, "_compare", counting)
+    vectors.links(df, part=6400).collect()  # four parts
+    assert sent.value == 4 * 400
