@@ -4,6 +4,7 @@ Events arrive as files of JSON lines, one for each thing that was observed: a re
 found it in progress or being cancelled, its result or its error came. Each request has a state of its own,
 which survives restarts in the stream's checkpoint. Every change of state is a row of the transitions, a
 Parquet table that the stream appends to exactly once; the last transition of a request says how it stands.
+Spark keeps the states of requests in groups, which a hash deals.
 
 A request whose result is not there by its deadline is timed out, as soon as the events' watermark has passed
 it. A result that comes later still counts, as late. What comes before its request waits for it. Repeated
@@ -15,13 +16,14 @@ do not depend on how events are dealt to micro-batches.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "batch_id string, custom_id string, kind string, at timestamp, text string"
 KINDS = ("submitted", "in_progress", "canceling", "result", "error")
@@ -32,67 +34,92 @@ DISORDER = "10 minutes"
 KEY = ["batch_id", "custom_id"]
 TRANSITION = "batch_id string, custom_id string, n long, status string, at timestamp, text string, error string"
 NO_RESULT = "no result returned"
-_STATE = "n long, status string, deadline timestamp, early string, early_at timestamp, early_text string"
+#: Requests are dealt to so many groups by their keys' hash, each with its requests' states in one row, since a call
+#: into Python for every request (6 ms) would take nearly all the time. Fixed in a checkpoint.
+GROUPS = 1 << 14
+#: An object of JSON: batch and request to number of transitions, status, deadline, and the early answer's kind, time
+#: and text. Times are microseconds inside, which no session's time zone moves.
+_STATE = "held string"
+_MOVED = "batch_id string, custom_id string, n long, status string, us long, text string, error string"
 #: States in which an answer has come.
 DONE = ("ended", "ended_late", "errored")
-
-
-class _Requests(StatefulProcessor):
-    def __init__(self, deadline: timedelta):
-        self.deadline = deadline
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("request", _STATE)
-
-    def _answered(self, kind: str, at, text, deadline) -> list[tuple]:
-        """The transitions of an answer: status, time, text, error."""
-        if kind == "error":
-            return [("errored", at, None, text)]
-        if at > deadline:
-            return [("timed_out", deadline, None, NO_RESULT), ("ended_late", at, text, None)]
-        return [("ended", at, text, None)]
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows))
-        events = events.assign(rank=events["kind"].map({k: i for i, k in enumerate(KINDS)})).dropna(subset=["rank", "at"]).sort_values(["at", "rank", "text"], na_position="first")
-        n, status, deadline, *early = self.state.get() if self.state.exists() else (0, None, None, None, None, None)
-        told: list[tuple] = []
-        for kind, at, text in zip(events["kind"], events["at"], events["text"], strict=True):
-            text = None if pd.isna(text) else text
-            if kind == "submitted":
-                if deadline is not None:
-                    continue
-                deadline = at.to_pydatetime() + self.deadline
-                told.append(("submitted", at, None, None))
-                if early[0]:
-                    told += self._answered(early[0], early[1], early[2], deadline)
-                    early = [None, None, None]
-                else:
-                    self.handle.registerTimer(int(pd.Timestamp(deadline).timestamp() * 1000))
-            elif kind in ("result", "error"):
-                if deadline is None:
-                    early = early if early[0] else [kind, at.to_pydatetime(), text]
-                elif (told[-1][0] if told else status) not in DONE:
-                    new = self._answered(kind, at, text, pd.Timestamp(deadline))
-                    told += new[1:] if len(new) > 1 and "timed_out" in (status, *[t[0] for t in told]) else new
-            elif deadline is not None and (told[-1][0] if told else status) in ("submitted", "in_progress", "canceling") and (told[-1][0] if told else status) != kind:
-                told.append((kind, at, None, None))
-        yield self._moved(key, n, told, deadline, early)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, status, deadline, *early = self.state.get()
-        told = [] if status in (*DONE, "timed_out") else [("timed_out", deadline, None, NO_RESULT)]
-        yield self._moved(key, n, told, deadline, early)
-
-    def _moved(self, key, n: int, told: list[tuple], deadline, early: list) -> pd.DataFrame:
-        """Records the transitions, and the state after them."""
-        status = told[-1][0] if told else (self.state.get()[1] if self.state.exists() else None)
-        self.state.update((n + len(told), status, deadline, *early))
-        return pd.DataFrame([(*key, n + i, s, at, text, error) for i, (s, at, text, error) in enumerate(told, 1)], columns=["batch_id", "custom_id", "n", "status", "at", "text", "error"]).astype({"n": "int64", "at": "datetime64[us]"})
-
-    def close(self) -> None:
-        pass
+_OPEN = ("submitted", "in_progress", "canceling")
+_RANK = {k: i for i, k in enumerate(KINDS)}
+
+
+def _answered(kind: str, us: int, text: str | None, deadline: int) -> list[tuple]:
+    """The transitions of an answer: status, time, text, error."""
+    if kind == "error":
+        return [("errored", us, None, text)]
+    if us > deadline:
+        return [("timed_out", deadline, None, NO_RESULT), ("ended_late", us, text, None)]
+    return [("ended", us, text, None)]
+
+
+def _ordered(rows: Iterator[pd.DataFrame]) -> dict[str, list[tuple]]:
+    """The events of known kinds by request: time, rank, whether there is a text, text, kind, in this order."""
+    found: dict[str, list[tuple]] = {}
+    for part in rows:
+        for batch, custom, kind, us, text in zip(*[part[c].tolist() for c in (*KEY, "kind", "us", "text")], strict=True):
+            if kind in _RANK:
+                told = isinstance(text, str)
+                found.setdefault(json.dumps([batch, custom]), []).append((int(us), _RANK[kind], told, text if told else "", kind))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def _moved(held: list | None, events: list[tuple], within: int) -> tuple[list, list[tuple]]:
+    """A request's state after its new events, and the transitions they cause."""
+    n, status, deadline, *early = held or (0, None, None, None, None, None)
+    told: list[tuple] = []
+    for us, _, has_text, text, kind in events:
+        text = text if has_text else None
+        new: list[tuple] = []
+        if kind == "submitted":
+            if deadline is not None:
+                continue
+            deadline = us + within
+            new = [("submitted", us, None, None)]
+            if early[0]:
+                new += _answered(*early, deadline)
+                early = [None, None, None]
+        elif kind in ("result", "error"):
+            if deadline is None:
+                early = early if early[0] else [kind, us, text]
+            elif status not in DONE:
+                new = _answered(kind, us, text, deadline)
+                new = new[1:] if len(new) > 1 and status == "timed_out" else new
+        elif status in _OPEN and status != kind:
+            new = [(kind, us, None, None)]
+        told += new
+        status = told[-1][0] if told else status
+    return [n + len(told), status, deadline, *early], told
+
+
+def _follower(within: int):
+    """What happens to a group of requests: new events, and deadlines that the watermark has passed."""
+
+    def move(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
+        now = state.getCurrentWatermarkMs()
+        made: list[tuple] = []
+
+        def put(k: str, after: list, told: list[tuple]) -> None:
+            held[k] = after
+            made.extend((*json.loads(k), after[0] - len(told) + i, *t) for i, t in enumerate(told, 1))
+
+        for k, events in ({} if state.hasTimedOut else _ordered(rows)).items():
+            put(k, *_moved(held.get(k), events, within))
+        for k, (n, status, deadline, *early) in list(held.items()):
+            if status in _OPEN and deadline // 1000 < now:
+                put(k, [n + 1, "timed_out", deadline, *early], [("timed_out", deadline, None, NO_RESULT)])
+        state.update((json.dumps(held),))
+        waiting = [deadline // 1000 for _, status, deadline, *_ in held.values() if status in _OPEN]
+        if waiting:
+            state.setTimeoutTimestamp(max(min(waiting), now + 1))
+        if made:
+            yield pd.DataFrame(made, columns=["batch_id", "custom_id", "n", "status", "us", "text", "error"])
+
+    return move
 
 
 def follow(spark: SparkSession, events: str, transitions: str, checkpoint: str, deadline: timedelta = DEADLINE, per_batch: int = 1000) -> None:
@@ -100,12 +127,13 @@ def follow(spark: SparkSession, events: str, transitions: str, checkpoint: str,
     checkpoint."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # state with timers needs it
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # keeps states on disk
     try:
         said = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", str(per_batch)).json(events)
-        known = said.filter(F.col("batch_id").isNotNull() & F.col("custom_id").isNotNull()).withWatermark("at", DISORDER)
-        moved = known.groupBy(*KEY).transformWithStateInPandas(_Requests(deadline), outputStructType=TRANSITION, outputMode="append", timeMode="eventtime")
-        query = moved.writeStream.format("parquet").outputMode("append").option("path", transitions).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        known = said.filter(F.col("batch_id").isNotNull() & F.col("custom_id").isNotNull() & F.col("at").isNotNull()).withWatermark("at", DISORDER)
+        dated = known.select(F.pmod(F.xxhash64(*KEY), F.lit(GROUPS)).alias("group"), *KEY, "kind", "at", F.unix_micros("at").alias("us"), "text")
+        moved = dated.groupBy("group").applyInPandasWithState(_follower(deadline // timedelta(microseconds=1)), _MOVED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        query = moved.select(*KEY, "n", "status", F.timestamp_micros("us").alias("at"), "text", "error").writeStream.format("parquet").outputMode("append").option("path", transitions).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
