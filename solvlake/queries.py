@@ -20,7 +20,7 @@ from solvlake.operators import asof, curves, figures, qa, ranges, versions
 from solvlake.plans import guard
 from solvlake.schema import CONTRACT, NAMES, conform, failed, number
 from solvlake.sources import files
-from solvlake.sources.responses import parse, results_of
+from solvlake.sources.responses import outcomes, parse, results_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -855,9 +855,7 @@ def f7_positional_rows(spark: SparkSession, sf: str) -> DataFrame:
     columns = F.when(k % 4 == 1, "5").when(k % 4 == 3, listed.replace('"pH"', '"PH"')).otherwise(listed)
     body = F.concat(F.lit('{"columns": '), columns, F.lit(', "rows": [['), cells, F.when(k % 4 == 2, ', "more"').otherwise(""), F.lit("]]}"))
     said = t(spark, sf, "events").select(k.cast("string").alias("custom_id"), body.alias("raw_text"))
-    said = spread(said)
-    found, _, summary = parse(said)
-    return summary.select("custom_id", "error").join(found.select("custom_id", "ph", "extractant"), "custom_id", "left")
+    return outcomes(spread(said)).select("custom_id", "error", "ph", "extractant")
 
 
 @query("SELECT r_name AS prompt_version, sha256('Use {rows} of ' || r_name) AS prompt_sha256 FROM region")

@@ -61,11 +61,15 @@ def examined(responses: DataFrame, id_col: str = "custom_id", text_col: str = "r
     return _once(step, id_col, "positional", "rows", "columns", "endpoints", error=error)
 
 
-def _cells(told: DataFrame, id_col: str) -> DataFrame:
-    """id, row_ord and a map of variants for each row of the responses without error."""
-    each = told.filter("error IS NULL").select(id_col, "positional", "columns", F.posexplode("rows").alias("row_ord", "row"))
+def _cells(told: DataFrame, id_col: str, outer: bool = False) -> DataFrame:
+    """id, row_ord and a map of variants for each row of the responses without error; if outer, with the error and a row
+    of NULLs for responses that have one, or no rows."""
+    if outer:
+        each = told.select(id_col, "error", "positional", "columns", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("rows"))).alias("row_ord", "row"))
+    else:
+        each = told.filter("error IS NULL").select(id_col, "positional", "columns", F.posexplode("rows").alias("row_ord", "row"))
     keyed = F.when(F.col("positional"), F.map_from_arrays("columns", F.try_variant_get("row", "$", "array<variant>"))).otherwise(F.try_variant_get("row", "$", "map<string,variant>"))
-    return each.select(id_col, "row_ord", keyed.alias("cells"))
+    return each.select(id_col, *["error"] * outer, "row_ord", keyed.alias("cells"))
 
 
 def _text(v: Column) -> Column:
@@ -76,27 +80,43 @@ def _number(v: Column) -> Column:
     return F.when(_is(v, "BOOLEAN"), F.try_variant_get(v, "$", "double")).otherwise(number(_text(v)))
 
 
-def parse(responses: DataFrame, id_col: str = "custom_id", text_col: str = "raw_text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, endpoints, summary): contract rows with row_ord; endpoint records; and, for each response,
-    error, row count and coercion failures."""
-    told = examined(responses, id_col, text_col)
+def _truth(v: Column) -> Column:
+    return F.when(F.try_variant_get(v, "$", "boolean"), "1").otherwise("0")
+
+
+def _contract(cells: DataFrame) -> DataFrame:
+    """The contract's columns in place of the map."""
+    kept = [c for c in cells.columns if c != "cells"]
     # over arrays of cells rather than column by column, which would be too much code to compile
     at = lambda n: F.try_element_at("cells", n)
-    truth = lambda v: F.when(F.try_variant_get(v, "$", "boolean"), "1").otherwise("0")
     numeric, textual = ([(n, d) for n, d, t in CONTRACT if (t == "double") == kind] for kind in (True, False))
-    said = F.transform(F.array(*[F.lit(d) for _, d in numeric]), lambda n: F.when(_is(at(n), "BOOLEAN"), truth(at(n))).otherwise(_text(at(n))))
+    said = F.transform(F.array(*[F.lit(d) for _, d in numeric]), lambda n: F.when(_is(at(n), "BOOLEAN"), _truth(at(n))).otherwise(_text(at(n))))
     words = F.transform(F.array(*[F.lit(d) for _, d in textual]), lambda n: _text(at(n)))
-    cells = _cells(told, id_col).select(id_col, "row_ord", said.alias("said"), words.alias("words"))
+    place = {n: ("numbers", i) for i, (n, _) in enumerate(numeric)} | {n: ("words", i) for i, (n, _) in enumerate(textual)}
+    read = cells.select(*kept, said.alias("said"), words.alias("words")).withColumn("numbers", F.transform("said", number))
+    return read.select(*kept, *[F.col(place[n][0])[place[n][1]].alias(n) for n, _, _ in CONTRACT])
+
+
+def outcomes(responses: DataFrame, id_col: str = "custom_id", text_col: str = "raw_text") -> DataFrame:
+    """id, error, row_ord and the contract's columns: each row of each response, and a row of NULLs for a response with
+    an error or without rows. A text is parsed once, and nothing is shuffled, as a join of parse()'s results would."""
+    return _contract(_cells(examined(responses, id_col, text_col), id_col, outer=True))
+
+
+def parse(responses: DataFrame, id_col: str = "custom_id", text_col: str = "raw_text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, endpoints, summary): contract rows with row_ord; endpoint records; and, for each response,
+    error, row count and coercion failures."""
+    told = examined(responses, id_col, text_col)
+    numeric = [d for _, d, t in CONTRACT if t == "double"]
     # a response's cells are counted in its own row, so that two responses of one id do not mix
     ok = F.col("error").isNull()
     keyed = lambda r: F.when(F.col("positional"), F.map_from_arrays("columns", F.try_variant_get(r, "$", "array<variant>"))).otherwise(F.try_variant_get(r, "$", "map<string,variant>"))
-    cell = lambda v: F.when(_is(v, "BOOLEAN"), truth(v)).otherwise(_text(v))
-    names = F.array(*[F.lit(d) for _, d in numeric])
+    cell = lambda v: F.when(_is(v, "BOOLEAN"), _truth(v)).otherwise(_text(v))
+    names = F.array(*map(F.lit, numeric))
     bad = lambda r: F.size(F.filter(F.transform(names, lambda n: cell(F.try_element_at(keyed(r), n))), lambda x: failed(x) == 1))
     failures = F.aggregate(F.transform("rows", bad), F.lit(0).cast("long"), lambda a, x: a + x)
     zero = F.lit(0).cast("long")
-    place = {n: ("numbers", i) for i, (n, _) in enumerate(numeric)} | {n: ("words", i) for i, (n, _) in enumerate(textual)}
-    rows = cells.withColumn("numbers", F.transform("said", number)).select(id_col, "row_ord", *[F.col(place[n][0])[place[n][1]].alias(n) for n, _, _ in CONTRACT])
+    rows = _contract(_cells(told, id_col))
     summary = told.select(id_col, "error", F.when(ok, F.size("rows").cast("long")).otherwise(zero).alias("n_rows"), F.when(ok, failures).otherwise(zero).alias("coercion_failures"))
     each = told.filter("error IS NULL").select(id_col, F.posexplode("endpoints").alias("endpoint_ord", "e"))
     endpoints = each.select(id_col, "endpoint_ord", *[(_number(F.try_variant_get("e", f"$.{n}", "variant")) if t == "double" else _text(F.try_variant_get("e", f"$.{n}", "variant"))).alias(n) for n, t in ENDPOINT.items()])

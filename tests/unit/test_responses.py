@@ -60,3 +60,20 @@ def test_the_summary_parses_once(spark):
     _, _, summary = parse(spark.range(3).selectExpr("CAST(id AS STRING) AS custom_id", "concat('{\"rows\": [{\"pH\": ', id, '}]}') AS raw_text"))
     plan = summary._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("regexp_extract_all") <= 2
+
+
+def test_outcomes_parse_a_text_once(spark, tmp_path):
+    """Rows and errors by one pass over the texts, without a join, and as parse() tells them."""
+    from solvlake import queries
+    from solvlake.sources.responses import outcomes
+
+    texts = ['{"rows": [{"pH": 1, "Extractant": "A"}, {"pH": "x"}]}', '{"rows": []}', "none", '{"rows": [[1]]}', '{"rows": [{"pH": 2}, 3]}', '{"rows": 5}', '{"columns": ["pH", "pH", null], "rows": [[1, 2, 3]]}', None]
+    said = spark.createDataFrame([(str(i), s) for i, s in enumerate(texts)], "custom_id string, raw_text string")
+    rows, _, summary = parse(said)
+    want = summary.select("custom_id", "error").join(rows, "custom_id", "left")
+    got = outcomes(said).select(*want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 9
+    spark.range(8).selectExpr("id AS event_id", "id / 2.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    told = queries.QUERIES["f7_positional_rows"](spark, str(tmp_path))
+    assert told.filter("error IS NULL AND extractant = 'D2EHPA'").count() == 2 and told.count() == 8
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
