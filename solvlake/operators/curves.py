@@ -5,7 +5,8 @@ Rows carry keys that say which figure they belong to; every operator works on al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -132,10 +133,55 @@ def less_product(y: Column, a: Column, b: Column) -> Column:
     return F.when(F.abs(once) < float("inf"), once).otherwise(d)
 
 
+#: Two fits are as good as each other if their errors differ by less than this share of the largest value. Such axes
+#: are fitted again in the order of their ticks, if those are no more than IN_ORDER.
+CLOSE, IN_ORDER = 1e-6, 10_000
+_FITS = "s1 double, i1 double, s2 double, i2 double, rms1 double, rms2 double"
+
+
+def _line(pairs: list[tuple[float, float]], mean: float) -> tuple[float, float]:
+    """Slope and intercept by running means, a product and its sum rounded once; without a slope 0 and the mean."""
+    n, x_mean, y_mean, both, square = 0, 0.0, 0.0, 0.0, 0.0
+    for n, (x, y) in enumerate(pairs, 1):
+        from_x, to_x, to_y = x - x_mean, x_mean + (x - x_mean) / n, y_mean + (y - y_mean) / n
+        both, square = math.fma(from_x, y - to_y, both), math.fma(x - to_x, from_x, square)
+        x_mean, y_mean = to_x, to_y
+    if n < 2 or square == 0:
+        return 0.0, mean
+    slope = (both / n) / (square / n)
+    return slope, math.fma(-slope, _sum(x for x, _ in pairs) / n, _sum(y for _, y in pairs) / n)
+
+
+def _sum(values: Iterable[float]) -> float:
+    """Added one by one, as the built-in sum adds what it lost on the way."""
+    total = 0.0
+    for value in values:
+        total += value
+    return total
+
+
+def fits_in_order(ticks: list[tuple[float | None, float | None]]) -> tuple[float, ...] | None:
+    """Slopes, intercepts and errors of both lines through ticks (x, v) with v > 0, taken one by one, as a serial
+    aggregate takes them: its sums are the same to the last bit, where sums of parts differ."""
+    known = [v for _, v in ticks if v is not None]
+    pairs = [(x, v) for x, v in ticks if x is not None and v is not None]
+    if not pairs:
+        return None
+    s1, i1 = _line(pairs, _sum(known) / len(known))
+    s2, i2 = _line([(x, math.log10(v)) for x, v in pairs], _sum(map(math.log10, known)) / len(known))
+    try:
+        errors = [(v - (s1 * x + i1), v - math.pow(10.0, s2 * x + i2)) for x, v in pairs]
+        rms1, rms2 = (math.sqrt(_sum(math.pow(e[k], 2.0) for e in errors) / len(errors)) for k in (0, 1))
+    except OverflowError:  # no close fit
+        return None
+    return s1, i1, s2, i2, rms1, rms2
+
+
 def calibrate(ticks: DataFrame, keys: list[str], pixel: str = "pixel", value: str = "value") -> DataFrame:
     """keys, model, slope, intercept, rms, r2, n_ticks, ok: a line through the ticks, or through the logarithms
     of their values if that leaves less error in data units. Axes of fewer than two ticks give no row. Where both
-    lines go through all ticks, as through two, errors are those of rounding, so that an intercept is rounded once."""
+    lines go through all ticks, as through two, errors are those of rounding, so that an intercept is rounded once
+    and axes of up to IN_ORDER ticks are fitted again tick by tick."""
     x, v = F.col(pixel), F.col(value)
     logs = F.when(v > 0, F.log10(v))
     line = lambda y, i: [F.regr_slope(y, x).alias(f"s{i}"), F.avg(F.when(y.isNotNull(), x)).alias(f"x{i}"), F.avg(F.when(x.isNotNull(), y)).alias(f"y{i}")]
@@ -154,6 +200,12 @@ def calibrate(ticks: DataFrame, keys: list[str], pixel: str = "pixel", value: st
         F.sqrt(F.avg(square(e1))).alias("rms1"), F.sqrt(F.avg(square(e2))).alias("rms2"),
         r2(F.sum(square(e1)), F.sum(square(v - F.col("mean")))).alias("r1"), r2(F.sum(square(l2)), F.sum(square(logs - F.col("log_mean")))).alias("r2_"),
     )
+    told = kept(told)
+    close = told.filter((F.col("low") > 0) & (F.col("n_ticks") <= IN_ORDER) & ((F.col("n_ticks") == 2) | (F.abs(F.col("rms2") - F.col("rms1")) <= CLOSE * F.col("high"))))
+    few = ticks.join(close.select(*keys), keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(x.cast("double").alias("x"), v.cast("double").alias("v")))).alias("ticks"))
+    again = few.select(*keys, F.udf(lambda t: fits_in_order(t), _FITS)("ticks").alias("_again"))
+    fields = ("s1", "i1", "s2", "i2", "rms1", "rms2")
+    told = told.join(again, keys, "left").withColumns({c: F.when(F.col("_again").isNotNull(), F.col(f"_again.{c}")).otherwise(F.col(c)) for c in fields}).drop("_again")
     log = (F.col("low") > 0) & (F.col("rms2") < F.col("rms1"))
     span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
     pick = lambda a, b: F.when(log, F.col(a)).otherwise(F.col(b))

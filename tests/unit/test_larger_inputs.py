@@ -1,7 +1,10 @@
 """Queries on inputs that are larger than the driver's tables in one respect."""
 
+import random
 from fractions import Fraction
 
+import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from solvlake import queries
@@ -35,3 +38,16 @@ def test_axes_of_two_distant_ticks(spark):
     for k, x in first.items():
         if got[k].model == "linear":
             assert got[k].intercept == float(Fraction((high + low) / 2) - Fraction(got[k].slope) * Fraction(x + 4547 / 2))
+
+
+def test_exact_axes_are_fitted_in_the_order_of_their_ticks(spark):
+    """Both lines go through all ticks; the models are those of the query's SQL in one thread, however rows are dealt."""
+    rng = random.Random(4)
+    values = {k: [round(rng.expovariate(0.02) + 0.01, 2) for _ in range(2)] if k % 2 else [round(rng.expovariate(0.02) + 0.01, 2)] * 5 for k in range(400)}
+    rows = sorted((rng.randrange(4_000_000), k, v) for k, vs in values.items() for v in vs)
+    table = pa.table({"event_id": [r[0] for r in rows], "user_id": [r[1] for r in rows], "event_type": ["click"] * len(rows), "value": [r[2] for r in rows]})
+    with duckdb.connect(config={"threads": 1}) as db:
+        db.register("events", table)
+        want = {r[0]: r[1] for r in db.sql(f"SELECT user_id, model FROM ({queries.FIT})").fetchall()}
+    ticks = spark.createDataFrame([(k, float(x), v) for x, k, v in rows], "axis long, pixel double, value double").repartition(7)
+    assert {r.axis: r.model for r in curves.calibrate(ticks, ["axis"]).collect()} == want
