@@ -1,17 +1,16 @@
-"""Near-duplicate vectors by a subspace pigeonhole join, verified exactly.
+"""Near-duplicate vectors by an exact join of all pairs, in tiles that pruning leaves, verified in double precision.
 
-Unit vectors at cosine t or above lie within a squared distance of 2 - 2t. They are rotated to the
-principal axes of a sample and the axes are dealt to blocks of about sixteen. Each block has a budget in
-proportion to its axes, so a pair within the distance is within the budget of one block at least. Pairs
-in the budget of any block are verified by their cosine in double precision.
+Dot products of unit vectors are computed in single precision, a tile at a time. Those above the threshold by more than
+single precision can err are links, those as far below are none, and the few between are decided by their cosine in
+double precision, as if all had been.
 
-Rotated coordinates are rounded to integers that single precision adds and multiplies exactly, and the
-budgets allow for the rounding. Classes of equal vectors, with a weight, are dealt to parts by hash, and
-each two parts of vectors of one length are a task, so a vector is sent once for each part, a pair meets in
-one task, and no list of pairs is made. A task gives each vector's number of links and a spanning forest of the
-links that it has seen. It takes its rows in the order of a grid over the leading axes, and leaves out tiles whose
-boxes are apart by more than the distance. Parts are of a bounded size: what is sent grows as vectors times parts, comparisons as
-pairs, as in every exact join of vectors without structure.
+Classes of equal vectors, with a weight, are dealt to parts by hash, and each two parts of vectors of one length are a
+task, so a vector is sent once for each part, a pair meets in one task, and no list of pairs is made. A task gives each
+vector's number of links and a spanning forest of the links that it has seen. It takes its rows in the order of a grid
+over the leading ones of the principal axes of a sample, and leaves out tiles whose boxes are apart by more than the
+distance. Rotated coordinates are rounded to integers that single precision adds and multiplies exactly, and the distance
+allows for the rounding. Parts are of a bounded size, and their tasks are not merged: what is sent grows as vectors times
+parts, comparisons as pairs, as in every exact join of vectors without structure.
 
 Rows and values, case by case:
 - a vector that is null, empty, zero, or holds null or non-finite components: no links, kept.
@@ -43,10 +42,14 @@ AXES = 16
 SCALE = 2000.0
 #: Vectors that the axes are fitted on, at most: those with the least digests. Results do not depend on them.
 SAMPLE = 4096
-#: Numbers (vectors times their length) of a part, parts that keep a cluster busy, and rows of a tile of the comparison.
-PART = 1 << 21
+#: Numbers (vectors times their length) of a part, parts that keep a cluster busy, rows of a tile of the
+#: comparison, and vectors of a part at least.
+PART = 1 << 22
 LEAST_PARTS = 4
-TILE = 2048
+TILE = 1024
+LEAST_PART = 2048
+#: Partitions that the tasks are dealt to, at most: several for each task, so that few meet in one.
+MOST_PARTITIONS = 4096
 #: Leading axes of the grid that orders the rows of a task, at most.
 MOST_GRID_AXES = 4
 
@@ -72,7 +75,7 @@ def units(vectors: np.ndarray) -> np.ndarray:
 
 
 def blocks(d: int) -> list[np.ndarray]:
-    """The axes of each block: dealt to and fro, so that each leads with axes of large variance."""
+    """The axes of each block, for joins on subspaces (links() needs none): dealt to and fro, so that each leads with axes of large variance."""
     n = max(1, round(d / AXES))
     turn = np.arange(d) % (2 * n)
     owner = np.where(turn < n, turn, 2 * n - 1 - turn)
@@ -134,21 +137,63 @@ def _compare(turn: Rotation, cosine: float) -> Callable[[pa.Table], pa.Table]:
         of = lambda c: pa.concat_arrays(table[c].chunks)
         d, low = (of(c)[0].as_py() for c in ("dim", "low"))
         unit = units(_raw(of("vec"))[0].reshape(-1, d))
+        single = unit.astype(np.float32)
         whole = steps(unit, turn).astype(np.float32)
-        rotated = [np.ascontiguousarray(whole[:, axes]) for axes in blocks(d)]
-        limits = budgets(d, cosine)
-        squares = [np.einsum("ij,ij->i", r, r) for r in rotated]
-        side = of("part").to_numpy() == low
-        weight = of("size").to_numpy()
         farthest = (np.sqrt(2 - 2 * cosine) * SCALE + np.sqrt(d)) ** 2
         order = np.lexsort(np.floor(whole[:, : grid_axes(len(unit))] / np.ceil(np.sqrt(farthest))).T[::-1])
+        side = of("part").to_numpy() == low
+        weight = of("size").to_numpy()
+        slack = (d + 8) * 2.0**-24  # more than single precision errs by in a product of two unit vectors
         links, parent = np.zeros(len(unit), np.int64), np.arange(len(unit))
+        dots, near = np.empty(TILE * TILE, np.float32), np.empty(TILE * TILE, bool)
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle(least: int) -> None:
+            """Counts and joins the pairs seen, if they are as many."""
+            nonlocal parent
+            if sum(len(a) for a, _ in seen) >= least:
+                a, b = (np.concatenate(c) for c in zip(*seen, strict=True))
+                np.add.at(links, a, weight[b])
+                np.add.at(links, b, weight[a])
+                parent = _union(parent, a, b)
+                seen.clear()
+
+        def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """The decision in double precision."""
+            return np.concatenate([np.einsum("ij,ij->i", unit[a[k : k + 65536]], unit[b[k : k + 65536]]) for k in range(0, max(len(a), 1), 65536)]) >= cosine
+
+        def tile(i: np.ndarray, j: np.ndarray, dot: np.ndarray, hit: np.ndarray) -> None:
+            """Pairs of two tiles whose dot product is not below the cosine by more than the slack."""
+            nonlocal parent
+            found = np.flatnonzero(hit)
+            a, b = np.divmod(found, len(j))
+            doubt = np.flatnonzero(dot.ravel()[found] < cosine + slack)
+            no = doubt[~linked(i[a[doubt]], j[b[doubt]])]
+            if len(found) < hit.size // 64:
+                a, b = np.delete(a, no), np.delete(b, no)
+                seen.append((i[a], j[b]))
+                settle(1 << 16)
+                return
+            hit.ravel()[found[no]] = False  # crowded: no list of its links is made
+            ones = hit.astype(float)
+            links[i] += (ones @ weight[j].astype(float)).astype(np.int64)
+            links[j] += (weight[i].astype(float) @ ones).astype(np.int64)
+            for first in (True, False):  # a link of each row and column joins nearly all
+                hit &= parent[i][:, None] != parent[j][None, :]
+                if not hit.any():
+                    return
+                if first:
+                    rows, columns = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+                    a, b = np.concatenate([rows, hit.argmax(0)[columns]]), np.concatenate([hit.argmax(1)[rows], columns])
+                else:
+                    a, b = np.nonzero(hit)
+                parent = _union(parent, i[a], j[b])
 
         def meet(left: np.ndarray, right: np.ndarray, within: bool) -> None:
             """Compares two sets of rows; within: they are one set."""
-            nonlocal parent
             box = lambda rows: (whole[rows].min(0).astype(float), whole[rows].max(0).astype(float))
             boxes = {y: box(right[y : y + TILE]) for y in range(0, len(right), TILE)}
+            beside = single[right]
             for x in range(0, len(left), TILE):
                 i = left[x : x + TILE]
                 least, most = box(i)
@@ -156,34 +201,22 @@ def _compare(turn: Rotation, cosine: float) -> Callable[[pa.Table], pa.Table]:
                     j = right[y : y + TILE]
                     if (np.maximum(0, np.maximum(boxes[y][0] - most, least - boxes[y][1])) ** 2).sum() > farthest:
                         continue
-                    near = np.zeros((len(i), len(j)), bool)
-                    for r, q, limit in zip(rotated, squares, limits, strict=True):
-                        apart = r[i] @ r[j].T
-                        apart *= -2
-                        apart += q[i][:, None]
-                        apart += q[j][None, :]
-                        near |= apart <= limit
-                    a, b = np.divmod(np.flatnonzero(near), len(j))
+                    dot, hit = (buffer[: len(i) * len(j)].reshape(len(i), len(j)) for buffer in (dots, near))
+                    np.matmul(single[i], beside[y : y + TILE].T, out=dot)
+                    np.greater_equal(dot, cosine - slack, out=hit)
                     if within and x == y:
-                        a, b = a[a < b], b[a < b]
-                    if not len(a):
-                        continue
-                    if len(a) > near.size // 16:  # crowded: all cosines of the tile at once
-                        linked = (unit[i] @ unit[j].T)[a, b] >= cosine
-                    else:
-                        linked = np.concatenate([np.einsum("ij,ij->i", unit[i[a[k : k + 65536]]], unit[j[b[k : k + 65536]]]) for k in range(0, len(a), 65536)]) >= cosine
-                    a, b = i[a[linked]], j[b[linked]]
-                    np.add.at(links, a, weight[b])
-                    np.add.at(links, b, weight[a])
-                    parent = _union(parent, a, b)
+                        hit &= ~np.tri(len(i), dtype=bool)
+                    if hit.any():
+                        tile(i, j, dot, hit)
 
         if side.all():
             meet(order, order, True)
         else:
             meet(order[side[order]], order[~side[order]], False)
-        seen = np.flatnonzero(links)
+        settle(1)
+        some = np.flatnonzero(links)
         cls = of("cls").to_numpy()
-        return pa.table({"cls": cls[seen], "n": links[seen], "up": cls[parent[seen]]})
+        return pa.table({"cls": cls[some], "n": links[some], "up": cls[parent[some]]})
 
     return run
 
@@ -204,12 +237,14 @@ def links(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     turn = rotation(_sample(classes))
     sized = classes.select("cls", "size", "vec", F.size("vec").alias("dim"))
-    parts = F.greatest(F.ceil(F.col("all") * F.col("dim") / part), F.least(F.lit(LEAST_PARTS), F.ceil(F.col("all") / TILE))).cast("long")
+    parts = F.greatest(F.ceil(F.col("all") * F.col("dim") / part), F.least(F.lit(LEAST_PARTS), F.ceil(F.col("all") / LEAST_PART))).cast("long")
     lengths = cut(sized.groupBy("dim").agg(F.count("*").alias("all")).select("dim", parts.alias("parts")))
     dealt = sized.join(lengths, "dim").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = dealt.select("cls", "size", "vec", "dim", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    counted = cut(met.groupBy("dim", "low", "high").applyInArrow(_compare(turn, cosine), "cls long, n long, up long"))
+    tasks = lengths.agg(F.sum(F.col("parts") * (F.col("parts") + 1) / 2)).first()[0] or 0
+    spread = met.repartition(int(min(MOST_PARTITIONS, 8 * tasks + 1)), "dim", "low", "high")  # a number given is not merged for being small
+    counted = cut(spread.groupBy("dim", "low", "high").applyInArrow(_compare(turn, cosine), "cls long, n long, up long"))
     totals = counted.groupBy("cls").agg(F.sum("n").alias("n"))
     roots = connected(counted.select(F.col("cls").alias("a"), F.col("up").alias("b"))).withColumnRenamed("node", "cls")
     told = classes.select("key", "cls", "one", "size").join(totals, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark import AccumulatorParam, TaskContext
 
 from solvlake.llm import vectors
 
@@ -110,3 +111,42 @@ def test_what_is_sent_grows_with_parts_only(spark, monkeypatch):
     monkeypatch.setattr(vectors, "_compare", counting)
     vectors.links(df, part=6400).collect()  # four parts
     assert sent.value == 4 * 400
+
+
+class Distinct(AccumulatorParam):
+    def zero(self, value):
+        return set()
+
+    def addInPlace(self, one, two):
+        return one | two
+
+
+def test_tasks_are_not_merged_for_being_small(spark, monkeypatch):
+    """What two parts hold is small and comparing it is not, so their tasks stay apart."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=64)]) for k in range(400)], "vec_id long, embedding array<float>")
+    places, compare = spark.sparkContext.accumulator(set(), Distinct()), vectors._compare
+
+    def placing(turn, cosine):
+        run = compare(turn, cosine)
+
+        def placed(table):
+            places.add({TaskContext.get().partitionId()})
+            return run(table)
+
+        return placed
+
+    monkeypatch.setattr(vectors, "_compare", placing)
+    vectors.links(df, part=6400).collect()  # four parts, ten tasks
+    assert len(places.value) >= 6
+
+
+def test_dense_groups_and_pairs_about_the_threshold(spark):
+    """Tiles of which most pairs are links, repeated rows among them, and cosines that single precision cannot tell from 0.9."""
+    rng = np.random.default_rng(8)
+    vs = list(np.ones(64) + rng.normal(size=(260, 64)) * 0.3) + list(rng.normal(size=(60, 64)))
+    rows = [(k, [float(x) for x in np.float32(v)], 0) for k, v in enumerate(vs)]
+    rows += [(1000 + k, rows[k][1], 0) for k in range(0, 260, 5)]
+    rows += [(2000, [1.0, 0.0], 0)] + [(2001 + k, [float(np.float32(0.9)), float(np.nextafter(np.float32(0.43588989), np.float32(k), dtype=np.float32))], 0) for k in (0, 1)]
+    assert found(spark, rows) == brute(rows)
+    assert found(spark, rows, part=64 * 100) == brute(rows)
