@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,32 +271,26 @@ def ambiguous_pages(blobs: DataFrame, keys: list[str]) -> DataFrame:
     return told.filter(F.col("ambiguous") > AMBIGUOUS * F.col("n"))
 
 
-def _labelled(mask: np.ndarray) -> np.ndarray:
-    """4-connected components of a mask, numbered from 1, by union of runs of rows."""
-    root: list[int] = [0]
-    out = np.zeros(mask.shape, dtype=np.int64)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    before: list[tuple[int, int, int]] = []
-    for y, line in enumerate(mask):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], line.astype(np.int8), [0]])))
-        now = []
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            above = [find(k) for c, d, k in before if c < b and d > a]
-            k = min(above) if above else len(root)
-            if not above:
-                root.append(k)
-            for other in above:
-                root[other] = k
-            out[y, a:b] = k
-            now.append((a, b, k))
-        before = now
-    return np.array([find(i) for i in range(len(root))])[out]
+def _united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the numbers below n that each is connected to by the pairs a[i], b[i]."""
+    root = np.arange(n)
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def _overlaps(start: np.ndarray, end: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of intervals (start, end) and disjoint, sorted intervals (starts, ends) that share a place."""
+    low, high = np.searchsorted(ends, start, "right"), np.searchsorted(starts, end, "left")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(start)), n)
+    return a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
 def opened(mask: np.ndarray) -> np.ndarray:
@@ -309,77 +304,134 @@ def opened(mask: np.ndarray) -> np.ndarray:
 
 #: Pixels of a tile's side; an opening looks two pixels beyond it.
 TILE, HALO = 1024, 2
+#: Pixels of the tiles that are labelled at once, where an image or a tile is no larger.
+AT_ONCE = 4 << 20
+_TOUCH = pa.struct([("upright", pa.bool_()), ("border", pa.int32()), ("place", pa.int32()), ("before", pa.bool_())])
 _PART = "area int, x0 int, x1 int, y0 int, y1 int, lead long, touches array<struct<upright: boolean, border: int, place: int, before: boolean>>"
 
 
-#: Bytes of ink that one batch of tiles holds.
-TILES_BYTES = 4 << 20
-
-
-def _parts_of(ink: np.ndarray, top: int, left: int, up: int, back: int, height: int, width: int, whole: tuple[int, int]) -> list[tuple]:
-    """The parts of blobs in a tile: rows from top, columns from left, of which the first `up` rows and `back`
-    columns belong to the tiles beside it. touches: the pixels at the tile's borders inside the image."""
-    lab = _labelled(opened(ink)[up : up + height, back : back + width])
-    ys, xs = np.nonzero(lab)
-    if not len(ys):
-        return []
-    order = np.argsort(lab[ys, xs], kind="stable")
-    ys, xs = ys[order] + top, xs[order] + left
-    names, first = np.unique(lab[ys - top, xs - left], return_index=True)
-    ends = [f(v, first).tolist() for f, v in ((np.minimum.reduceat, xs), (np.maximum.reduceat, xs), (np.minimum.reduceat, ys), (np.maximum.reduceat, ys), (np.minimum.reduceat, ys.astype(np.int64) * whole[1] + xs))]
-    touches: dict[int, list[dict]] = {}
-    sides = [(True, left, lab[:, 0], top, False), (True, left + width, lab[:, -1], top, True), (False, top, lab[0], left, False), (False, top + height, lab[-1], left, True)]
-    for upright, border, line, start, before in sides:
-        if 0 < border < whole[1 if upright else 0]:
-            for place in np.flatnonzero(line).tolist():
-                touches.setdefault(int(line[place]), []).append({"upright": upright, "border": border, "place": start + place, "before": before})
-    area = np.diff(np.append(first, len(ys))).tolist()
-    return [(n, *e, touches.get(k, [])) for k, n, *e in zip(names.tolist(), area, *ends, strict=True)]
-
-
-def detect_blobs(images: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+@dataclass
+class _Tile:
+    """Ink of a tile with its halo: rows from top, columns from left, of which the first `up` rows and `back` columns
+    belong to the tiles beside it; the image by its number, and whether all its tiles are labelled at once."""
+
+    ink: np.ndarray
+    image: int
+    top: int
+    left: int
+    up: int
+    back: int
+    rows: int
+    columns: int
+    height: int
+    width: int
+    all_here: bool
+
+
+def _parts_of(tiles: list[_Tile]) -> tuple[np.ndarray, list[pa.Array]]:
+    """The parts of blobs in some tiles: the images they belong to, and the columns of _PART. Runs of ink that meet, in a
+    tile or at the border of two that are here, are of one part. touches: the pixels at borders, of images not all here."""
+    of = {k: np.array([getattr(t, k) for t in tiles], np.int64) for k in ("image", "top", "left", "up", "back", "rows", "columns", "height", "width", "all_here")}
+    span = max(t.ink.shape[1] for t in tiles) + 2
+    base = np.cumsum([1, *(t.ink.shape[0] + 1 for t in tiles)])
+    canvas = np.zeros((base[-1], span), bool)  # one tile below the other, with blank pixels around each
+    for r, t in zip(base, tiles, strict=False):
+        canvas[r : r + t.ink.shape[0], 1 : 1 + t.ink.shape[1]] = t.ink
+    canvas, clean = np.zeros_like(canvas), opened(canvas)
+    for r, t in zip(base, tiles, strict=False):
+        own = slice(r + t.up, r + t.up + t.rows), slice(1 + t.back, 1 + t.back + t.columns)
+        canvas[own] = clean[own]
+    flat = canvas.ravel()
+    edge = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    row = start // span
+    tile = np.searchsorted(base, row, "right") - 1
+    told = {k: v[tile] for k, v in of.items()}
+    y, x0 = row - base[tile] - told["up"] + told["top"], start - row * span - 1 - told["back"] + told["left"]
+    x1 = x0 + (end - start) - 1
+    pairs = [_overlaps(start + span, end + span, start, end)]
+    sizes = np.zeros(of["image"].max() + 2, np.int64)
+    sizes[of["image"] + 1] = of["height"] * of["width"]
+    place = np.cumsum(sizes)[told["image"]] + y * told["width"] + x0
+    sides = {  # runs at a border: upright or not, before it or behind it
+        (True, True): np.flatnonzero((x1 + 1 == told["left"] + told["columns"]) & (x1 + 1 < told["width"])),
+        (True, False): np.flatnonzero((x0 == told["left"]) & (x0 > 0)),
+        (False, True): np.flatnonzero((y + 1 == told["top"] + told["rows"]) & (y + 1 < told["height"])),
+        (False, False): np.flatnonzero((y == told["top"]) & (y > 0)),
+    }
+    for upright in (True, False):
+        ahead, behind = sides[upright, True], sides[upright, False]
+        behind = behind[np.argsort(place[behind])]
+        first = place[ahead] + ((end - start)[ahead] if upright else told["width"][ahead])
+        a, b = _overlaps(first, first + (1 if upright else (end - start)[ahead]), place[behind], place[behind] + (1 if upright else (end - start)[behind]))
+        pairs.append((ahead[a], behind[b]))
+    root = _united(len(start), *(np.concatenate(c) for c in zip(*pairs, strict=True)))
+    order = np.argsort(root, kind="stable")
+    names, first = np.unique(root[order], return_index=True)
+    if not len(names):
+        return names, []
+    lead = y * told["width"] + x0
+    ends = [f.reduceat(v[order], first) for f, v in ((np.add, end - start), (np.minimum, x0), (np.maximum, x1), (np.minimum, y), (np.maximum, y), (np.minimum, lead))]
+    touches = []
+    for (upright, before), runs in sides.items():
+        runs = runs[told["all_here"][runs] == 0]
+        n = np.ones(len(runs), np.int64) if upright else (end - start)[runs]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        border = (x1 if upright else y)[runs] + 1 if before else (x0 if upright else y)[runs]
+        touches.append((np.repeat(root[runs], n), np.full(n.sum(), upright), np.repeat(border, n), np.repeat((y if upright else x0)[runs], n) + step, np.full(n.sum(), before)))
+    owner, *fields = (np.concatenate(c) for c in zip(*touches, strict=True))
+    by = np.argsort(owner, kind="stable")
+    listed = pa.StructArray.from_arrays([pa.array(c[by], f.type) for c, f in zip(fields, _TOUCH, strict=True)], fields=list(_TOUCH))
+    offsets = pa.array(np.searchsorted(owner[by], [*names, len(root)]), pa.int32())
+    return told["image"][order][first], [*(pa.array(c, pa.int64() if k == 5 else pa.int32()) for k, c in enumerate(ends)), pa.ListArray.from_arrays(offsets, listed)]
+
+
+def detect_blobs(images: DataFrame, keys: list[str], tile: int = TILE, at_once: int = AT_ONCE) -> DataFrame:
     """images: keys, height, width, pixels (8-bit grey, row by row). A row for each blob, with blob_id.
 
-    Images are cut into tiles, which are tasks of their own. Blobs that cross a border have a part in each tile; parts
-    meet at the pixels on both sides of the border, and connected parts are one blob."""
+    Images are cut into tiles, of which some are labelled at once. Blobs that cross a border have a part on each side, but
+    where all tiles of the image are at hand; parts meet at the pixels on both sides, and connected parts are one blob."""
     kinds = {f.name: f.dataType.simpleString() for f in images.schema.fields}
     named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    cut = "top int, left int, up int, back int, rows int, columns int, height int, width int, ink binary"
-
-    def tiles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*keys, "top", "left", "up", "back", "rows", "columns", "height", "width", "ink"]
-        found, size = [], 0
-        for part in parts:
-            for row in part.itertuples(index=False):
-                image = np.frombuffer(row.pixels, dtype=np.uint8).reshape(row.height, row.width) < INK
-                for top in range(0, row.height, tile):
-                    for left in range(0, row.width, tile):
-                        high, wide = min(tile, row.height - top), min(tile, row.width - left)
+    names = [*keys, *(c.split()[0] for c in _PART.split(", ")[:6]), "touches"]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[_Tile] = []
+        owners: list[pa.RecordBatch] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            image, columns = _parts_of(some)
+            if columns:
+                own = pa.Table.from_batches(owners).take(pa.array(image)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(pa.concat_arrays(c.chunks) for c in own.columns), *columns], names=names)
+            some.clear()
+            owners.clear()
+
+        size = 0
+        for batch in batches:
+            own, sized = batch.select(keys), [batch.column(c).to_pylist() for c in ("height", "width")]
+            for k, (height, width) in enumerate(zip(*sized, strict=True)):
+                image = np.frombuffer(batch.column("pixels")[k].as_buffer(), np.uint8).reshape(height, width) < INK
+                if some and size + image.size > at_once:
+                    yield from told()
+                    size = 0
+                owners.append(own.slice(k, 1))
+                for top in range(0, height, tile):
+                    for left in range(0, width, tile):
+                        high, wide = min(tile, height - top), min(tile, width - left)
                         y, x = max(0, top - HALO), max(0, left - HALO)
                         piece = image[y : top + high + HALO, x : left + wide + HALO]
                         if piece.any():
-                            ink = np.packbits(piece).tobytes()
-                            found.append((*[getattr(row, k) for k in keys], top, left, top - y, left - x, high, wide, row.height, row.width, ink))
-                            size += len(ink)
-                        if size > TILES_BYTES:
-                            yield pd.DataFrame(found, columns=names)
-                            found, size = [], 0
-        if found:
-            yield pd.DataFrame(found, columns=names)
-
-    def label(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = []
-            for row in part.itertuples(index=False):
-                shape = (min(row.height, row.top + row.rows + HALO) - row.top + row.up, min(row.width, row.left + row.columns + HALO) - row.left + row.back)
-                ink = np.unpackbits(np.frombuffer(row.ink, np.uint8), count=shape[0] * shape[1]).reshape(shape).astype(bool)
-                own = tuple(getattr(row, k) for k in keys)
-                found += [own + p for p in _parts_of(ink, row.top, row.left, row.up, row.back, row.rows, row.columns, (row.height, row.width))]
-            if found:
-                yield pd.DataFrame(found, columns=[*keys, "area", "x0", "x1", "y0", "y1", "lead", "touches"])
-
-    cells = images.select(*keys, "height", "width", "pixels").mapInPandas(tiles, f"{named}, {cut}")
-    parts = kept(cells.mapInPandas(label, f"{named}, {_PART}").withColumn("part", F.monotonically_increasing_id()))
+                            if some and size + piece.size > at_once and image.size > at_once:
+                                yield from told()
+                                owners.append(own.slice(k, 1))
+                                size = 0
+                            some.append(_Tile(piece, len(owners) - 1, top, left, top - y, left - x, high, wide, height, width, image.size <= at_once))
+                            size += piece.size
+        if some:
+            yield from told()
+
+    parts = kept(images.select(*keys, "height", "width", "pixels").mapInArrow(label, f"{named}, {_PART}").withColumn("part", F.monotonically_increasing_id()))
     border = parts.select(*keys, "part", F.inline("touches"))
     side = [*keys, "upright", "border", "place"]
     behind = border.filter("NOT before").select(*[F.col(c).alias(f"{c}_") for c in side], F.col("part").alias("b"))
@@ -387,7 +439,9 @@ def detect_blobs(images: DataFrame, keys: list[str], tile: int = TILE) -> DataFr
     behind = behind.hint("merge")  # its size is told from the list of images and not from their pixels, so it would be broadcast
     roots = components(ahead.join(behind, ordered.same(ahead, behind, side, side, "_")).select("a", "b"))
     roots = roots.hint("merge")
-    whole = parts.join(roots, parts["part"] == roots["node"], "left").groupBy(*keys, F.coalesce("root", "part").alias("root"))
+    crossing = parts.filter(F.size("touches") > 0)
+    crossing = crossing.join(roots, crossing["part"] == roots["node"], "left").select(parts.columns + [F.coalesce("root", "part").alias("root")])
+    whole = parts.filter(F.size("touches") == 0).withColumn("root", F.col("part")).unionByName(crossing).groupBy(*keys, "root")
     found = whole.agg(F.sum("area").cast("int").alias("area"), *[F.min(c).alias(c) for c in ("x0", "y0", "lead")], *[F.max(c).alias(c) for c in ("x1", "y1")]).filter(F.col("area").between(*BLOB_AREA))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("y0", "x0", "lead")) - 1  # blobs of one image
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1

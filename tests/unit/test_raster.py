@@ -52,3 +52,23 @@ def test_tiles_agree_with_the_whole_image(spark, tile):
 
 def test_no_images(spark):
     assert curves.detect_blobs(spark.createDataFrame([], IMAGE), ["page"]).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 900, 20_000])
+def test_images_labelled_in_pieces(spark, at_once):
+    """Blobs that cross into tiles that are labelled elsewhere, and images beside others."""
+    images = {1: noise(1, 90, 130), 2: noise(2, 33, 200), 3: np.full((40, 40), 255, np.uint8), 5: noise(5, 64, 64), 6: noise(6, 20, 20)}
+    df = spark.createDataFrame([(k, *v.shape, bytearray(v.tobytes())) for k, v in images.items()], IMAGE)
+    got = {}
+    for r in curves.detect_blobs(df, ["page"], 16, at_once).orderBy("page", "blob_id").collect():
+        got.setdefault(r.page, []).append((r.blob_id, r.cx, r.cy, r.area, r.bbox_w, r.bbox_h, r.fill_ratio))
+    assert got == {k: b for k, v in images.items() if (b := brute(v))}
+
+
+def test_tiles_of_many_small_images_are_labelled_at_once(monkeypatch):
+    """Not one tile after the other: ten pages of eight tiles take one opening."""
+    calls, opened = [], curves.opened
+    monkeypatch.setattr(curves, "opened", lambda mask: calls.append(1) or opened(mask))
+    tiles = [curves._Tile(noise(k, 64, 64) < curves.INK, k, 0, 0, 0, 0, 64, 64, 64, 64, True) for k in range(80)]
+    image, columns = curves._parts_of(tiles)
+    assert len(calls) == 1 and set(image) == set(range(80)) and len(columns[0]) == len(image)
