@@ -295,11 +295,14 @@ def _overlaps(start: np.ndarray, end: np.ndarray, starts: np.ndarray, ends: np.n
 
 def opened(mask: np.ndarray) -> np.ndarray:
     """Erosion then dilation by a plus of one pixel; beyond the border there is no ink."""
-    def around(m: np.ndarray) -> list[np.ndarray]:
+    def around(m: np.ndarray, join: np.ufunc) -> np.ndarray:
         p = np.pad(m, 1)
-        return [p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]]
+        out = join(m, p[:-2, 1:-1])
+        for beside in (p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]):
+            join(out, beside, out=out)
+        return out
 
-    return np.logical_or.reduce(around(np.logical_and.reduce(around(mask))))
+    return around(around(mask, np.logical_and), np.logical_or)
 
 
 #: Pixels of a tile's side; an opening looks two pixels beyond it.

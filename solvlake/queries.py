@@ -505,7 +505,7 @@ def drawn_pages(spark: SparkSession, sf: str) -> DataFrame:
     import pandas as pd
 
     def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in (some.iloc[k : k + 500] for some in parts for k in range(0, len(some), 500)):  # 12 MB of pages
             pages = []
             for page in part["page"]:
                 ink = np.full((120, 200), 255, np.uint8)
