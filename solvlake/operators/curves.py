@@ -293,6 +293,24 @@ def _overlaps(start: np.ndarray, end: np.ndarray, starts: np.ndarray, ends: np.n
     return a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Runs of a mask whose border is blank, as places row by row (start, end), and the pairs that meet in two rows."""
+    flat = mask.ravel()
+    edge = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    return start, end, _overlaps(start + mask.shape[1], end + mask.shape[1], start, end)
+
+
+def _labelled(mask: np.ndarray) -> np.ndarray:
+    """4-connected components of a mask, numbered from 1."""
+    padded = np.pad(mask, 1)
+    start, end, meeting = _runs(padded)
+    out = np.zeros(padded.size, np.int64)
+    for a, b, k in zip(start.tolist(), end.tolist(), (_united(len(start), *meeting) + 1).tolist(), strict=True):
+        out[a:b] = k
+    return out.reshape(padded.shape)[1:-1, 1:-1]
+
+
 def opened(mask: np.ndarray) -> np.ndarray:
     """Erosion then dilation by a plus of one pixel; beyond the border there is no ink."""
     def around(m: np.ndarray, join: np.ufunc) -> np.ndarray:
@@ -344,15 +362,13 @@ def _parts_of(tiles: list[_Tile]) -> tuple[np.ndarray, list[pa.Array]]:
     for r, t in zip(base, tiles, strict=False):
         own = slice(r + t.up, r + t.up + t.rows), slice(1 + t.back, 1 + t.back + t.columns)
         canvas[own] = clean[own]
-    flat = canvas.ravel()
-    edge = np.flatnonzero(flat[1:] != flat[:-1]) + 1
-    start, end = edge[::2], edge[1::2]
+    start, end, meeting = _runs(canvas)
     row = start // span
     tile = np.searchsorted(base, row, "right") - 1
     told = {k: v[tile] for k, v in of.items()}
     y, x0 = row - base[tile] - told["up"] + told["top"], start - row * span - 1 - told["back"] + told["left"]
     x1 = x0 + (end - start) - 1
-    pairs = [_overlaps(start + span, end + span, start, end)]
+    pairs = [meeting]
     sizes = np.zeros(of["image"].max() + 2, np.int64)
     sizes[of["image"] + 1] = of["height"] * of["width"]
     place = np.cumsum(sizes)[told["image"]] + y * told["width"] + x0
